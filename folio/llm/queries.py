@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from folio.llm import mixing, sharding
+from folio.llm import chat, mixing, sharding
 
 
 def queries():
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op9_chat": chat.op9_chat,
         "op7_sharding": lambda spark, d: sharding.op7_sharding(spark.read.parquet(f"{d}/documents.parquet")),
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_chat": chat.OP9_SQL}
