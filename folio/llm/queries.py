@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folio.llm import chat, mixing, sharding
+from folio.llm import chat, mixing, sharding, tokens
 
 
 def queries():
     return {
         "op2_mixing": mixing.op2_mixing,
         "op9_chat": chat.op9_chat,
+        "op3_tokens": tokens.op3_tokens,
         "op7_sharding": lambda spark, d: sharding.op7_sharding(spark.read.parquet(f"{d}/documents.parquet")),
     }
 
