@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folio.llm import chat, mixing, sharding, tokens
+from folio.llm import chat, mixing, sharding, tokens, topk
 
 
 def queries():
     return {
+        "op1_topk": topk.op1_topk,
         "op2_mixing": mixing.op2_mixing,
         "op9_chat": chat.op9_chat,
         "op3_tokens": tokens.op3_tokens,
@@ -15,4 +16,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_chat": chat.OP9_SQL}
+    return {"op1_topk": topk.OP1_SQL, "op9_chat": chat.OP9_SQL}
