@@ -19,9 +19,12 @@ each whole text, which the tests check.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from folio.llm.common import new_path, stored
 #: Text bytes of a shard, about.
 SHARD_BYTES = 32 << 20
 #: Text bytes that are encoded at a time, and the distinct pieces that a task remembers at most.
-STEP_BYTES, REMEMBERED = 2 << 20, 400_000
+STEP_BYTES, REMEMBERED = 1 << 20, 1_500_000
 END_ID = 0
 _LEVELS, _SPACE = 40, 2.0
 #: ASCII letters, and marks that always begin a new piece after one.
@@ -96,6 +99,7 @@ class PieceEncoder:
     """Encodes many texts at once; see the module's docstring."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -103,8 +107,32 @@ class PieceEncoder:
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not json.loads(self.tokenizer.to_str())["normalizer"]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.known: dict[int, int] = {}
-        self.ids, self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces known by their hashes, in two sorted runs of which the second is short; and their ids."""
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _recall(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each piece that is known, else -1."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, number in self.runs:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[place] == keys, number[place], out)
+        return out
+
+    def _remember(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        both = lambda a, b: (np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
+        long, short = self.runs
+        if len(short[0]) > 1 << 17:
+            long, short = both(long, short), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+            order = np.argsort(long[0], kind="stable")
+            long = (long[0][order], long[1][order])
+        short = both(short, (keys, numbers))
+        order = np.argsort(short[0], kind="stable")
+        self.runs = [long, (short[0][order], short[1][order])]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and their number for each text."""
@@ -128,30 +156,35 @@ class PieceEncoder:
         end = np.append(start[1:], len(data))
         keys = bytehash.pieces(bytehash.prefixes(data), start, end)
         own, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.fromiter((self.known.get(k, -1) for k in own.tolist()), np.int64, len(own))
+        at = self._recall(own)
         new = np.flatnonzero(at < 0)
+        if len(self.counts) + len(new) > REMEMBERED:
+            self._forget()
+            new = np.arange(len(own))
         if len(new):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                self.ids, self.starts, self.counts = self.ids[:0], self.starts[:0], self.counts[:0]
-                new, at = np.arange(len(own)), np.full(len(own), -1, np.int64)
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
+            counts = np.fromiter(map(len, found), np.int32, len(found))
             at[new] = len(self.counts) + np.arange(len(new))
-            self.known.update(zip(own[new].tolist(), at[new].tolist()))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+            self._remember(own[new], at[new].astype(np.int32))
+            self.starts = np.append(self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32))
             self.counts = np.append(self.counts, counts)
-            self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), np.int64, int(counts.sum())))
+            self.ids = np.append(self.ids, np.array(list(chain.from_iterable(found)), np.int32))
         piece = at[inverse]
         counts = self.counts[piece]
-        before = np.cumsum(counts) - counts
+        before = np.cumsum(counts, dtype=np.int64) - counts
         flat = self.ids[np.repeat(self.starts[piece] - before, counts) + np.arange(int(counts.sum()))]
         text_of = np.searchsorted(offsets, start, "right") - 1
         return flat, np.bincount(text_of, counts, n).astype(np.int64)
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> PieceEncoder:
+    """One for each worker process, which keeps what it knows from task to task."""
+    return PieceEncoder(path)
+
+
 def with_ends(flat: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
     """The ids with `end_id` after each text's."""
     out = np.full(len(flat) + len(counts), end_id, np.int64)
@@ -198,7 +231,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_bytes: int = SHARD_BYTES
             if out is None:
                 where, at = _file_system(name)
                 where.create_dir(at.rpartition("/")[0], recursive=True)
-                encoder, out = PieceEncoder(tokenizer), where.open_output_stream(f"{at}.bin")
+                encoder, out = encoder_of(tokenizer), where.open_output_stream(f"{at}.bin")
             data, offsets = bytehash.text_buffer(batch.column(1))
             own = batch.column(0)
             ids += [np.array(own.fill_null(-(1 << 63)), np.int64)]
