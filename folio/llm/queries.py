@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import chat, mixing, sharding, tokens, topk
+from folio.llm import chat, langid, mixing, sharding, tokens, topk, toxicity
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op2_mixing": mixing.op2_mixing,
         "op9_chat": chat.op9_chat,
         "op3_tokens": tokens.op3_tokens,
+        "op8_langid": langid.op8_langid,
+        "op10_toxicity": toxicity.op10_toxicity,
         "op7_sharding": lambda spark, d: sharding.op7_sharding(spark.read.parquet(f"{d}/documents.parquet")),
     }
 
