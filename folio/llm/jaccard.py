@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,25 +262,63 @@ def _forest(far: np.ndarray, can: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def open_single(rows: DataFrame) -> DataFrame:
+    """a, b of those rows (a, na, sa, b, nb, sb: two nodes, their sizes and sketches) that can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(2).to_pylist(), batch.column(5).to_pylist()
+            differ = np.zeros(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(one, two)):
+                bits = 8 * min(len(x), len(y))
+                differ[k] = int(np.bitwise_count(fold(x, bits) ^ fold(y, bits)).sum())
+            keep = may_link(batch.column(1).to_numpy(), batch.column(4).to_numpy(), differ)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], schema=EDGE).filter(pa.array(keep))
+
+    ordered = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return rows.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a long, b long").select(*ordered)
+
+
 def open_pairs(pairs: DataFrame, nodes: DataFrame, across: bool) -> DataFrame:
     """a, b: pairs of nodes to check. pairs: x, y (units); nodes: unit, node, n, sketch, label. Without `across` a
-    forest of the pairs that can be similar; with it, all of them whose labels differ."""
-
-    def run(pdf):
-        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
-        if across and pdf.label.nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        node, label = pdf.node.to_numpy(), pdf.label.to_numpy()
-        far, can = _distances(pdf.n.tolist(), pdf.sketch.tolist())
+    forest of the pairs that can be similar; with it, all of them whose labels differ. A task streams its pairs of
+    units one by one."""
+
+    def one(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        rows = sorted({r[0]: r for r in rows}.values())
+        node, n, sketches, label = zip(*rows)
+        node, label = np.array(node), np.array(label)
+        if len(rows) < 2 or across and (label == label[0]).all():
+            return node[:0], node[:0]
+        far, can = _distances(list(n), list(sketches))
         if across:
             i, j = np.nonzero(np.triu(can & (label[:, None] != label[None, :])))
         else:
             found = np.array(_forest(far, can), np.int64).reshape(-1, 2)
             i, j = found[:, 0], found[:, 1]
-        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            found = []
+            for x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (x, y) != now and rows:
+                    found.append(one(rows))
+                    rows = []
+                now = (x, y)
+                rows.append(tuple(row))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=EDGE)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in one(rows)], schema=EDGE)
 
     sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("unit"))
-    return sides.join(nodes, "unit").groupBy("x", "y").applyInPandas(run, "a long, b long").distinct()
+    dealt = sides.join(nodes, "unit").select("x", "y", "node", "n", "sketch", "label")
+    return dealt.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def check_pairs(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -350,13 +387,21 @@ def similar(docs: DataFrame) -> DataFrame:
     chosen = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     if orphans:
         chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", "text"))
-    first = stored(open_pairs(spread, placed.withColumn("label", F.col("node")), False), "forest")
+    # two units of one node each, as most are, are compared at once; the others as blocks, if their sizes allow
+    of = lambda c, k: stats.select(F.col("unit").alias(c), *[F.col(x).alias(f"{k}_{x}") for x in stats.columns[1:]])
+    stats = placed.groupBy("unit").agg(F.count(F.lit(1)).alias("count"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sized = spread.join(of("x", "p"), "x").join(of("y", "q"), "y").where((PART * F.col("p_lo") <= PER * F.col("q_hi")) & (PART * F.col("q_lo") <= PER * F.col("p_hi")))
+    sized = stored(sized.select("x", "y", ((F.col("p_count") == 1) & (F.col("q_count") == 1) & (F.col("x") != F.col("y"))).alias("single")), "sized")
+    blocks = sized.where(~F.col("single")).select("x", "y")
+    end = lambda c, k: placed.select(F.col("unit").alias(c), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    single = open_single(sized.where("single").join(end("x", "a"), "x").join(end("y", "b"), "y"))
+    first = stored(open_pairs(blocks, placed.withColumn("label", F.col("node")), False).unionByName(single).distinct(), "forest")
     ends = lambda e: e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(_sets(chosen).join(ends(first), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     links = stored(check_pairs(first, sets), "links")
     labels = components(links)
     labelled = placed.join(labels, "node", "left").select("unit", "node", "n", "sketch", F.coalesce("root", "node").alias("label"))
-    more = stored(open_pairs(spread, labelled, True).join(first, ["a", "b"], "left_anti"), "across")
+    more = stored(open_pairs(blocks, labelled, True).join(first, ["a", "b"], "left_anti"), "across")
     if more.limit(1).count():
         found = stored(check_pairs(more, sets), "links")
         if found.limit(1).count():
