@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import chat, decontam, jaccard, langid, mixing, sharding, tokens, topk, toxicity
+from folio.llm import chat, decontam, jaccard, langid, mixing, sharding, suffixes, tokens, topk, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op3_tokens": tokens.op3_tokens,
         "op8_langid": langid.op8_langid,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op4_suffixes": suffixes.op4_suffixes,
         "op5_jaccard": jaccard.op5_jaccard,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_sharding": lambda spark, d: sharding.op7_sharding(spark.read.parquet(f"{d}/documents.parquet")),
