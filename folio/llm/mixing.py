@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import WORD, buckets_for, spread, stored, table
@@ -80,6 +80,11 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return named.join(base, ["key", "chunk"]).select("key", (F.col("base") + F.row_number().over(within) - 1).alias("rank"), "slot")
 
 
+def row_hash(seed: int = 17) -> Column:
+    """What tells a row of documents from others, and shuffles it."""
+    return F.xxhash64(F.lit(seed), "doc_id", "source", F.coalesce("text", F.lit("")))
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, most: int = MOST_PASSES, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mix `docs` (doc_id, text, source; further columns are not read): documents, blocks and the schedule.
 
@@ -100,7 +105,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, m
             F.col("source"),
             F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source"))).alias("key"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "source", text).alias("row"),
+            row_hash(seed).alias("row"),
         ),
         "words",
     )

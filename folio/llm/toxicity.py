@@ -34,6 +34,8 @@ BEGINNINGS, MOST = (3, 4, 5, 6, 8), 8000
 #: (lower end of the interval).
 SUPPORT, PRECISION = 4, 0.6
 THRESHOLD = 0.3
+#: Characters handled at a time.
+STEP = 1 << 20
 _WORD = np.ones(256, bool)
 _WORD[[c for c in range(128) if not chr(c).isalnum()]] = False
 
@@ -223,37 +225,63 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"toxic": batch.column(1)[k].as_py(), "h": batch.column(2)[k].as_py(), "features": own.tobytes(), "kinds": kind[first].tobytes()}], names)
 
 
+def _scorer(features: np.ndarray, weights: np.ndarray, bias: float):
+    """A function from texts to their scores."""
+    width = max(len(features), 1)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(features >> np.uint64(44)).astype(np.int64)] = True
+
+    def part(texts: list[str]) -> np.ndarray:
+        f, text, _, _ = text_features(texts)
+        near = np.flatnonzero(maybe[(f >> np.uint64(44)).astype(np.int64)])
+        f, text = f[near], text[near]
+        place = np.minimum(np.searchsorted(features, f), max(len(features) - 1, 0))
+        hit = features[place] == f if len(features) else np.zeros(len(f), bool)
+        pair = np.unique(text[hit] * width + place[hit])  # a feature counts once in a text
+        z = bias + np.bincount(pair // width, weights[pair % width] if len(pair) else None, len(texts))
+        return 1 / (1 + np.exp(-z.clip(-30, 30)))
+
+    def whole(texts: list[str]) -> np.ndarray:
+        out, a = [np.zeros(0)], 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size < STEP):
+                size += len(texts[b])
+                b += 1
+            out.append(part(texts[a:b]))
+            a = b
+        return np.concatenate(out)
+
+    return whole
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of `docs` (doc_id, text; further columns are not read). A null or empty text has the
-    score of no feature. Repeated rows are scored each."""
+    score of no feature. Repeated rows are scored each. An empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
-    names = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weights, bias = shared.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(features >> np.uint64(44)).astype(np.int64)] = True
+        scorer = _scorer(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size < 1 << 20):
-                    size += len(texts[b])
-                    b += 1
-                f, text, _, _ = text_features(texts[a:b])
-                near = np.flatnonzero(maybe[(f >> np.uint64(44)).astype(np.int64)])
-                f, text = f[near], text[near]
-                place = np.minimum(np.searchsorted(features, f), max(len(features) - 1, 0))
-                hit = features[place] == f if len(features) else np.zeros(len(f), bool)
-                pair = np.unique(text[hit] * max(len(features), 1) + place[hit])  # a feature counts once in a text
-                z = bias + np.bincount(pair // max(len(features), 1), weights[pair % max(len(features), 1)] if len(pair) else None, b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(1 / (1 + np.exp(-z.clip(-30, 30))))], schema=names)
-                a = b
+            found = scorer([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Those rows of `docs` (with a column text), whole, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(*shared.value)
+        for batch in batches:
+            found = scorer([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
+            yield batch.filter(pa.array(found < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic of the documents that have a label and aren't held out (crc32 of doc_id as text, mod 4, is 2)."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
