@@ -36,6 +36,8 @@ PART, PER = 75, 100
 #: Nodes of a unit; bytes of text handled at a time; a shingle is frequent if so many of a batch's nodes have it; how
 #: many frequent ones are known at most (this order only sets the cost: any order is exact).
 UNIT, STEP, OFTEN, KNOWN = 2048, 1 << 20, 8, 1 << 20
+#: So many ids are sent to every task instead of shuffling the texts.
+FEW = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -287,18 +289,58 @@ def open_pairs(pairs: DataFrame, nodes: DataFrame, across: bool) -> DataFrame:
     forest of the pairs that can be similar; with it, all of them whose labels differ. A task streams its pairs of
     units one by one."""
 
+    def small(rows: list[tuple], mixed: bool) -> list[tuple[int, int, int]]:
+        """(distance, a, b) of the pairs that can be similar, by plain integers."""
+        out, ints = [], [int.from_bytes(r[2], "little") for r in rows]
+        for i, (x, n, s, _, u) in enumerate(rows):
+            for j in range(i):
+                y, m, t, _, v = rows[j]
+                if u == v and mixed or PART * n > PER * m or PART * m > PER * n:
+                    continue
+                p, q, long = ints[i], ints[j], 8 * max(len(s), len(t))
+                while long > 8 * min(len(s), len(t)):
+                    long //= 2
+                    p, q = ((p >> long) ^ (p & ((1 << long) - 1)) if len(s) * 8 > long else p, (q >> long) ^ (q & ((1 << long) - 1)) if len(t) * 8 > long else q)
+                d = (p ^ q).bit_count()
+                if PER * (n + m - d) >= PART * (n + m + d):
+                    out.append((d, x, y))
+        return out
+
     def one(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         rows = sorted({r[0]: r for r in rows}.values())
-        node, n, sketches, label = zip(*rows)
-        node, label = np.array(node), np.array(label)
-        if len(rows) < 2 or across and (label == label[0]).all():
-            return node[:0], node[:0]
+        node, n, sketches, label, unit = zip(*rows)
+        # members of one unit meet where that unit is opened against itself
+        mixed = len(set(unit)) > 1
+        empty = np.zeros(0, np.int64)
+        if len(rows) < 2 or across and len(set(label)) < 2:
+            return empty, empty
+        if len(rows) <= 64:
+            found = small(rows, mixed)
+            if across:
+                named = dict(zip(node, label))
+                chosen = [(x, y) for _, x, y in found if named[x] != named[y]]
+            else:
+                root, chosen = {x: x for x in node}, []
+                for _, x, y in sorted(found):
+                    p, q = x, y
+                    while root[p] != p:
+                        p = root[p]
+                    while root[q] != q:
+                        q = root[q]
+                    if p != q:
+                        root[p] = q
+                        chosen.append((x, y))
+            pairs_ = np.array(chosen, np.int64).reshape(-1, 2)
+            return np.minimum(pairs_[:, 0], pairs_[:, 1]), np.maximum(pairs_[:, 0], pairs_[:, 1])
+        node, label, unit = np.array(node), np.array(label), np.array(unit)
         far, can = _distances(list(n), list(sketches))
+        if mixed:
+            can &= unit[:, None] != unit[None, :]
         if across:
             i, j = np.nonzero(np.triu(can & (label[:, None] != label[None, :])))
         else:
-            found = np.array(_forest(far, can), np.int64).reshape(-1, 2)
-            i, j = found[:, 0], found[:, 1]
+            edges = np.array(_forest(far, can), np.int64).reshape(-1, 2)
+            i, j = edges[:, 0], edges[:, 1]
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +359,7 @@ def open_pairs(pairs: DataFrame, nodes: DataFrame, across: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in one(rows)], schema=EDGE)
 
     sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("unit"))
-    dealt = sides.join(nodes, "unit").select("x", "y", "node", "n", "sketch", "label")
+    dealt = sides.join(nodes, "unit").select("x", "y", "node", "n", "sketch", "label", "unit")
     return dealt.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -384,7 +426,8 @@ def similar(docs: DataFrame) -> DataFrame:
     # the sets of nodes that may have a partner (each such is an end of the forest), from one document each
     wanted = placed.where(F.col("doc_id").isNotNull()).select("doc_id")
     orphans = placed.where(F.col("doc_id").isNull()).limit(1).count()
-    chosen = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    few = F.broadcast if wanted.count() <= FEW else (lambda x: x)
+    chosen = docs.select("doc_id", "text").join(few(wanted), "doc_id", "left_semi")
     if orphans:
         chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", "text"))
     # two units of one node each, as most are, are compared at once; the others as blocks, if their sizes allow
