@@ -91,21 +91,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     texts = docs.select(F.col("doc_id"), F.col("text")).where(F.col("text").isNotNull())
     row = F.xxhash64("doc_id", "text")
+    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")
+    key = ["doc_id", "row", "n", "n_words", "start"]
+    # each window's own shingles are cut from the document's where the benchmark's meet them
     found = []
     for n in lengths:
-        own = texts.select("doc_id", row.alias("row"), F.posexplode(shingles_of(words_of(F.col("text")), n)).alias("pos", "shingle"))
-        found.append(own.join(hint(item_shingles.where(F.col("n") == n)), "shingle").select("doc_id", "row", "n", "n_words", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")).distinct())
-    schema = "doc_id long, row long, n int, n_words int, start int"
+        own = texts.select("doc_id", row.alias("row"), shingles_of(words_of(F.col("text")), n).alias("own"))
+        if few:  # nothing but the windows leaves the task, so a document's shingles may go along
+            met = own.select("doc_id", "row", "own", F.posexplode("own").alias("pos", "shingle")).join(F.broadcast(item_shingles.where(F.col("n") == n)), "shingle")
+            met = met.select("doc_id", "row", "own", "n", "n_words", start)
+        else:
+            at = own.select("doc_id", "row", F.posexplode("own").alias("pos", "shingle")).join(item_shingles.where(F.col("n") == n), "shingle")
+            met = own.join(at.select("doc_id", "row", "n", "n_words", start).distinct(), ["doc_id", "row"])
+        found.append(met.select(*key, F.slice("own", F.col("start") + 1, F.col("n_words") - F.col("n") + 1).alias("shingles")).distinct())
+    schema = "doc_id long, row long, n int, n_words int, start int, shingles array<bigint>"
     spark = docs.sparkSession
-    windows = stored(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema), "windows")
-
-    # the windows' own words: the few documents that have any are read again
-    placed = windows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("n", "n_words", "start")).alias("at"))
-    opened = texts.select("doc_id", row.alias("row"), "text").join(placed, ["doc_id", "row"]).select("doc_id", "row", words_of(F.col("text")).alias("w"), "at").select("doc_id", "row", "w", F.explode("at").alias("at"))
-    cut = opened.select("doc_id", "row", "at.n", "at.n_words", "at.start", F.slice("w", F.col("at.start") + 1, F.col("at.n_words")).alias("w"))
-    own_hashes = reduce(lambda a, n: F.when(F.col("n") == n, shingles_of(F.col("w"), n)).otherwise(a), lengths, F.array().cast("array<bigint>"))
-    cut = stored(cut.select("doc_id", "row", "n", "n_words", "start", own_hashes.alias("shingles")).distinct(), "cut")
-    key = ["doc_id", "row", "n", "n_words", "start"]
+    cut = stored(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema), "cut")
     prints = (
         cut.select(*key, F.explode("shingles").alias("shingle")).groupBy(*key).agg(F.count(F.lit(1)).alias("size"), *_fingerprint(F.col("shingle"))).select(*key, "size", _bits(F.col("size")).alias("bits"))
     )
