@@ -20,3 +20,39 @@ def intersection(p: str, q: str) -> Column:
 def iou(p: str, q: str) -> Column:
     both = intersection(p, q)
     return both / (area(p) + area(q) - both)
+
+
+def anchors(p: str = "") -> dict[str, Column]:
+    """The nine anchor points of a box, as x and y by name."""
+    x = {"left": F.col(f"{p}x1"), "center": (F.col(f"{p}x1") + F.col(f"{p}x2")) / 2, "right": F.col(f"{p}x2")}
+    y = {"top": F.col(f"{p}y1"), "middle": (F.col(f"{p}y1") + F.col(f"{p}y2")) / 2, "bottom": F.col(f"{p}y2")}
+    return {f"{v}_{h}_{axis}": c for v, b in y.items() for h, a in x.items() for axis, c in (("x", a), ("y", b))}
+
+
+def expand(pix: float, width: float, height: float) -> dict[str, Column]:
+    """A box grown by pix on each side, within (0, 0, width, height)."""
+    low = lambda c: F.greatest(F.col(c) - pix, F.lit(0.0))
+    return {"x1": low("x1"), "y1": low("y1"), "x2": F.least(F.col("x2") + pix, F.lit(float(width))), "y2": F.least(F.col("y2") + pix, F.lit(float(height)))}
+
+
+def shrink(pix: int) -> dict[str, Column]:
+    """A box less pix on each side, which leaves a pixel at least; what x allows bounds y as well."""
+    room = lambda a, b: F.floor((F.col(b) - F.col(a) - 1) / 2)
+    in_x = F.greatest(F.lit(0), F.least(F.lit(pix), room("x1", "x2")))
+    in_y = F.greatest(F.lit(0), F.least(in_x, room("y1", "y2")))
+    return {"x1": F.col("x1") + in_x, "y1": F.col("y1") + in_y, "x2": F.col("x2") - in_x, "y2": F.col("y2") - in_y}
+
+
+def rotate(quarter: Column, width: float, height: float) -> dict[str, Column]:
+    """A box after `quarter` turns (0 to 3) of its page of width and height."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    turned = {1: (y1, height - x2, y2, height - x1), 2: (width - x2, height - y2, width - x1, height - y1), 3: (width - y2, x1, width - y1, x2)}
+    pick = lambda k, same: F.when(quarter == 1, turned[1][k]).when(quarter == 2, turned[2][k]).when(quarter == 3, turned[3][k]).otherwise(same)
+    return {name: pick(k, same) for k, (name, same) in enumerate((("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2)))}
+
+
+def axis_iou(p: str, q: str, axis: str) -> Column:
+    """Common length over the whole extent on one axis; 0 if apart."""
+    a1, a2, b1, b2 = (F.col(f"{s}{axis}{k}") for s in (p, q) for k in (1, 2))
+    both = F.least(a2, b2) - F.greatest(a1, b1)
+    return F.when(both > 0, both / (F.greatest(a2, b2) - F.least(a1, b1))).otherwise(F.lit(0.0))
