@@ -33,9 +33,10 @@ from folio.llm.components import components
 WORDS = 5
 #: Similarity as a fraction: common * PER >= PART * union.
 PART, PER = 75, 100
-#: Nodes of a unit; bytes of text handled at a time; a shingle is frequent if so many of a batch's nodes have it; how
-#: many frequent ones are known at most (this order only sets the cost: any order is exact).
-UNIT, STEP, OFTEN, KNOWN = 2048, 1 << 20, 8, 1 << 20
+#: Nodes of a unit; bytes of text handled at a time; a shingle is frequent if so many of a batch's groups have it (a
+#: shingle of k documents, dealt over t batches, is in two of one batch once k is near sqrt(2 * t)); how many frequent
+#: ones are known at most (this order only sets the cost: any order is exact).
+UNIT, STEP, OFTEN, KNOWN = 2048, 1 << 20, 2, 1 << 20
 #: So many ids are sent to every task instead of shuffling the texts.
 FEW = 1_000_000
 _SPACE = np.zeros(256, bool)
@@ -117,7 +118,8 @@ def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node, group, sketch, frequent (shingles that many of the batch's nodes have; in its first row)."""
+    """doc_id, n, node, group, sketch, frequent (shingles that several of the batch's groups have, each
+    told by its first node, so near copies count once; in its first row)."""
     names = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("group", pa.int64()), ("sketch", pa.binary()), ("frequent", pa.list_(pa.struct([("shingle", pa.int64()), ("times", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,7 @@ def facts(docs: DataFrame) -> DataFrame:
                 group = _sums(bytehash.mix64(values ^ np.uint64(0x77)), offsets, np.minimum).view(np.int64)
                 sketches = [sketch(values[offsets[k] : offsets[k + 1]]) for k in range(b - a)]
                 out.append(pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(offsets)), pa.array(node), pa.array(group), pa.array(sketches, pa.binary()), pa.nulls(b - a, names.field(5).type)], schema=names))
-                for k, x in enumerate(node.tolist()):
+                for k, x in enumerate(group.tolist()):
                     if x not in seen:
                         seen.add(x)
                         held.append(values[offsets[k] : offsets[k + 1]])
