@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import geometry as G
 from folio.functions import text as T
 from folio.operators import layout as L
+from folio.operators import order as O
 from folio.sources.blocks import BLOCKS_SQL, CONTAINERS, blocks
 
 
@@ -94,10 +95,14 @@ def paragraph_runs(spark, sf_dir):
     return L.paragraphs(blocks(spark, sf_dir))
 
 
+def reading_order(spark, sf_dir):
+    return O.xy_order(blocks(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (bbox_anchors, bbox_expand, bbox_shrink, bbox_rotate, axis_iou_pairs, parent_assignment, best_container, all_containers, overlap_suppression, clean_types, column_types)
-    + (page_extent, x_profile, usual_left, block_numbers, page_neighbours, paragraph_runs)
+    + (page_extent, x_profile, usual_left, block_numbers, page_neighbours, paragraph_runs, reading_order)
 }
 
 _W = f"WITH {BLOCKS_SQL}"
