@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import area, intersection, iou
-from folio.plans import layout, qa, texts
+from folio.plans import layout, qa, texts, trees
 from folio.sources.blocks import BLOCKS_SQL, blocks
 
 #: Page furniture that rendering leaves out (fixed values).
@@ -86,6 +86,6 @@ SQL = {
     "job_state_final": "SELECT user_id, CASE last(event_type ORDER BY ts, event_id) WHEN 'signup' THEN 'undefined' WHEN 'view' THEN 'waiting' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'success' ELSE 'error' END AS state, count(*) AS n_events FROM events GROUP BY user_id",
 }
 
-for _more in (layout, qa, texts):
+for _more in (layout, qa, texts, trees):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
