@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,6 +132,53 @@ def test_contaminated_finds_passages(spark, rows, docs, none):
     assert decontam.contaminated(none, bench).count() == 0
 
 
+def most_similar(texts, items, similarity=0.75):
+    """Brute force over all windows: (text, item) -> (start, similarity) of the first most similar one."""
+    out = {}
+    for j, item in items.items():
+        w = words(item)
+        n = min(len(w), 5)
+        cut = lambda v: Counter(tuple(v[k : k + n]) for k in range(len(v) - n + 1))
+        want = cut(w)
+        for i, text in texts.items():
+            v = words(text)
+            for start in range(len(v) - n + 1):
+                own = cut(v[start : start + len(w)])
+                common = (own & want).total()
+                s = common / (own.total() + want.total() - common)
+                if s >= similarity and s > out.get((i, j), (0, 0))[1]:
+                    out[i, j] = (start, s)
+    return out
+
+
+def test_contaminated_equals_all_windows(spark):
+    r = random.Random(11)
+    word = lambda k: [f"{r.choice('abcdef')}{r.randrange(500)}" for _ in range(k)]
+    items = {1: word(100), 2: word(60), 3: word(30), 4: ["p1", "p2", "p3"], 5: (word(6) * 6)[:34], 6: word(50)}
+    texts = {1: word(80) + items[1][50:] + items[1][:50] + word(80)}  # its halves stand swapped
+    texts[2] = word(30) + items[2][20:40] + items[2][40:] + items[2][:20] + word(9)  # its thirds turned
+    texts[3] = ["first", *items[3][1:]] + word(40)  # an edit at the document's start
+    texts[4] = word(20) + items[3][:-1]  # cut by the document's end
+    texts[5] = items[2][5:57]  # shorter than the item
+    texts[6] = word(7) + items[4] + word(3) + items[4]
+    texts[7] = word(12) + items[5] + items[5] + word(12)  # repeated shingles
+    for i in range(8, 60):  # moved and edited passages, alike or not
+        w = list(items[r.choice([1, 2, 3, 5, 6])])
+        at = r.randrange(len(w))
+        w = w[at:] + w[:at] if i % 2 else w
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = "edited"
+        if i % 3 == 0:
+            w.insert(r.randrange(len(w)), "added")
+        texts[i] = word(r.randrange(40)) + w + word(r.randrange(40))
+    texts, items = ({k: " ".join(v) for k, v in x.items()} for x in (texts, items))
+    table = lambda x, key: spark.createDataFrame(list(x.items()), f"{key} long, text string")
+    want = most_similar(texts, items)
+    got = {(x.doc_id, x.item_id): (x.start, x.similarity) for x in decontam.contaminated(table(texts, "doc_id"), table(items, "item_id")).collect()}
+    assert {(i, j) for i, j in want} >= {(1, 1), (2, 2), (3, 3), (4, 3), (5, 2), (6, 4), (7, 5)}
+    assert got == want
+
+
 def test_shards_are_even_and_keep_copies_together(docs, none):
     found = sharding.kd_shards(docs, 4).collect()
     by = {}
