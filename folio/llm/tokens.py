@@ -12,8 +12,9 @@ costs one or two probes on average. A key that isn't in the shard is turned away
 
 Encoding splits a text at places where the tokenizer's own pre-tokenizer always splits (before a space or around a
 newline that a visible character follows, and between a letter and a stop), finds the distinct pieces of a few MB by their 64-bit hashes, and gives
-only the new ones to the tokenizers library; its ids are then gathered for every piece. The result is that of encoding
-each whole text, which the tests check.
+only the new ones to the tokenizers library; its ids are then gathered for every piece. A text that holds the literal of
+an added token, such as <|endoftext|>, is encoded whole. The result is that of encoding each whole text by the given
+file, which the tests check.
 """
 
 from __future__ import annotations
@@ -103,8 +104,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not json.loads(self.tokenizer.to_str())["normalizer"]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self._forget()
@@ -139,10 +140,41 @@ class PieceEncoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
-        if not self.by_piece:
-            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
-            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
+        whole = self._whole(data, offsets)
+        if whole.all():
+            return self._encode_texts(data, offsets)
+        if not whole.any():
+            return self._encode_pieces(data, offsets)
+        counts, ids = np.zeros(n, np.int64), []
+        for own, encode in ((whole, self._encode_texts), (~whole, self._encode_pieces)):
+            size = np.diff(offsets)
+            flat, counts[own] = encode(data[np.repeat(own, size)], np.append(0, np.cumsum(size[own])))
+            ids.append(flat)
+        of_whole, out = np.repeat(whole, counts), np.zeros(int(counts.sum()), np.int64)
+        out[of_whole], out[~of_whole] = ids
+        return out, counts
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts aren't encoded by pieces: all for some tokenizers, else those that hold the literal of an added token."""
+        out = np.full(len(offsets) - 1, not self.by_piece)
+        raw = data.tobytes()
+        for literal in self.added if self.by_piece else ():
+            at = raw.find(literal)
+            while at >= 0:
+                text = np.searchsorted(offsets, at, "right") - 1
+                out[text] |= at + len(literal) <= offsets[text + 1]  # else it begins in one text and ends in another
+                at = raw.find(literal, at + 1)
+        return out
+
+    def _encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
+
+    def _encode_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(n, np.int64)
         # a character that may be white space doesn't count as visible: ASCII up to 0x20, and lead bytes of others
         visible = (data > 32) & ~np.isin(data, [0xC2, 0xE1, 0xE2, 0xE3])
         follows = np.append(visible[1:], False)

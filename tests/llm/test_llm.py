@@ -83,6 +83,19 @@ def test_token_shards_read_back(spark, rows, docs, none):
     assert tokens.write_shards(none, path).count() == 0
 
 
+def test_added_tokens_are_encoded_as_by_the_file():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    end, fresh = "<|endoftext|>", Tokenizer.from_file(path)
+    texts = ["plain words, here", f"a {end} b", "", f"{end}{end}", "ends in <|endo", "ftext|> begins", "<|endoftext |>", f"é {end}\n{end}\n\n x. y", "a <|endoftext|", f"x{end}y"]
+    for some in (texts, texts[1:4], texts[:1], ["", f"{end}"], [""]):
+        raw = [t.encode() for t in some]
+        flat, counts = tokens.PieceEncoder(path).encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+        want = [fresh.encode(t, add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, [])
+
+
 def test_suffix_order():
     parts = [b"banana", b"ananas", b"aab", b"bananb", b"aab"]
     ends = np.cumsum([len(p) for p in parts])
