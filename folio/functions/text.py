@@ -22,6 +22,8 @@ HEAD = r"^(?:[a-z#*†‡§¶⁰¹²³⁴⁵⁶⁷⁸⁹\s]{0,2}[A-Z]|#)"
 CLOSED = r"(?:\([^)]{0,64}\)|（[^）]{0,64}）|\[[^\]]{0,64}\]|【[^】]{0,64}】){1,10}$"
 TAIL = r"""[.!?。！？"”:：;；]$"""
 BLANKS = " \n\r\t"
+#: White space as Python's strip() has it.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def url_stem(url: Column) -> Column:
@@ -66,8 +68,8 @@ def job_token(key: str, name: Column) -> Column:
 
 
 def strip_images(s: Column) -> Column:
-    """Without Markdown images; three or more line feeds become two."""
-    return F.trim(F.regexp_replace(F.regexp_replace(s, MD_IMAGE, ""), "\n{3,}", "\n\n"))
+    """Without Markdown images, each within a line, and without white space at the ends; three or more line feeds become two."""
+    return F.trim(F.regexp_replace(F.regexp_replace(s, "(?d)" + MD_IMAGE, ""), "\n{3,}", "\n\n"), F.lit(SPACES))
 
 
 def refine_title(title: Column) -> Column:

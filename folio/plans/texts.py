@@ -35,11 +35,17 @@ def source_kinds(spark, sf_dir):
 
 
 def text_functions(spark, sf_dir):
-    """Short form, preview, escaped form and hash of each whole document."""
+    """Short form, preview, escaped form and hash of each whole document. `stripped` is of the first five characters; `stripped_texts` has it of the whole text."""
     t = F.coalesce("text", F.lit(""))
     return _read(spark, sf_dir, "documents").select("doc_id", T.truncate(t).alias("short"), F.substring(t, 1, 2000).alias("preview"), F.length(t).alias("content_chars"), F.sha2(T.html_escape(t), 256).alias("escaped_hash"), T.strip_images(F.concat(F.lit("![a](b.png)x"), F.left(t, F.lit(5)), F.lit("y"))).alias("stripped"))
 
 
+def stripped_texts(spark, sf_dir):
+    """Hash and length of each whole document without Markdown images."""
+    t = T.strip_images(F.coalesce("text", F.lit("")))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("stripped_hash"), F.length(t).alias("stripped_chars"))
+
+
 def chart_rows(spark, sf_dir):
     """Documents read as charts, a line a row and a space between cells: rows with their cells; rows without any go."""
     d = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
@@ -77,7 +83,7 @@ def run_metadata(spark, sf_dir):
     return b.agg(F.count(F.lit(1)).alias("items"), F.countDistinct("token").alias("documents"), F.countDistinct("token", "page").alias("pages"), F.count_if(F.col("type").isin("image", "figure")).alias("images"))
 
 
-QUERIES = {f.__name__: f for f in (url_functions, source_kinds, text_functions, chart_rows, caption_keywords, clean_texts, rendered, job_outcomes, run_metadata)}
+QUERIES = {f.__name__: f for f in (url_functions, source_kinds, text_functions, stripped_texts, chart_rows, caption_keywords, clean_texts, rendered, job_outcomes, run_metadata)}
 
 
 def _lit(s: str) -> str:
@@ -106,6 +112,7 @@ SELECT page_id, CASE WHEN a = '' THEN 'url_document' ELSE a END AS stem, CASE WH
 SELECT page_id, CASE WHEN regexp_matches(s, '{T.BASE64}') THEN 'base64' WHEN regexp_matches(s, '{T.PATH}') THEN 'path' WHEN regexp_matches(s, '(?i)^https?://') THEN 'url' ELSE 'none' END AS source_kind,
 CASE WHEN trim(s) = '' THEN 'error' WHEN regexp_matches(trim(s), '^https?://') THEN 'url' WHEN regexp_matches(trim(s), '(?i)\\.(png|jpg|jpeg|webp)$') THEN 'image' ELSE 'file' END AS input_kind FROM s""",
     "text_functions": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 30 THEN t ELSE left(t, 20) || '...' || right(t, 10) END AS short, substr(t, 1, 2000) AS preview, length(t) AS content_chars, sha256({_esc}) AS escaped_hash, trim(regexp_replace('x' || left(t, 5) || 'y', '\\n{{3,}}', chr(10) || chr(10), 'g')) AS stripped FROM d""",
+    "stripped_texts": f"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '{T.MD_IMAGE}', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '{T.SPACES}') AS t FROM documents) SELECT doc_id, sha256(t) AS stripped_hash, length(t) AS stripped_chars FROM d""",
     "chart_rows": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS row FROM documents),
 c AS (SELECT doc_id, row, list_transform(string_split(regexp_replace(translate(line, ' ', '|'), '^\\|+|\\|+$', '', 'g'), '|'), lambda x: nullif(trim(x), '')) AS cells FROM l)
 SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(len(cells) AS INTEGER) AS n_cells, CAST(len(cells) - list_count(cells) AS INTEGER) AS n_empty, cells[-1] AS last FROM c WHERE list_count(cells) > 0""",

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import duckdb
 import pytest
 
@@ -17,5 +20,17 @@ def test_query_equals_sql(spark, name):
     assert sorted(ours.columns) == sorted(theirs.columns) and key(ours) == key(theirs)
 
 
+def test_whole_texts_are_stripped_of_images(spark, tmp_path):
+    texts = ["abcdef ![a](b.png) g", "abcdef\n\n\n\n![x](y)\n\nz", "\t\n long enough ![a\u2028b](c)\u3000\n", "![a\nb](c) stays", "", None, "plain", "![a](b)![c](d) end \xa0"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    want = [re.sub(r"\n{3,}", "\n\n", re.sub(r"!\[.*?\]\((.*?)\)", "", t or "")).strip() for t in texts]
+    want = {(k, hashlib.sha256(t.encode()).hexdigest(), len(t)) for k, t in enumerate(want)}
+    assert {tuple(r) for r in QUERIES["stripped_texts"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert set(con.execute(SQL["stripped_texts"]).fetchall()) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
