@@ -15,7 +15,7 @@ def tree_nodes(spark, sf_dir):
     other = ("equation", "figure", "chart")
     leaf = F.struct("block", "type", only("latex_repr", "equation"), only("desc", "figure"), only("data", "chart"), F.when(~F.col("type").isin(*other), F.col("text")).alias("text"))
     page = b.groupBy("token", "page").agg(F.array_sort(F.collect_list(leaf)).alias("all"))
-    first, rest = F.to_json(F.col("all")[0]), F.to_json(F.slice("all", 2, 1000))
+    first, rest = F.to_json(F.col("all")[0]), F.to_json(F.slice("all", 2, F.size("all")))
     text = F.concat(F.lit("["), first, F.lit(',{"block":100,"type":"group","items":'), rest, F.lit("}]"))
     pages = page.select("token", "page", text.alias("t")).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))
     raw = F.concat(F.lit('{"status":"success","pages_tree":['), F.array_join(F.transform("p", lambda e: e["t"]), ","), F.lit("]}"))

@@ -1,5 +1,7 @@
 import json
+from collections import Counter
 
+from folio.plans.trees import tree_nodes
 from folio.sources.pages_tree import kind_of, nodes, read_documents, walk
 
 
@@ -25,3 +27,9 @@ def test_files_and_wrong_documents(spark, tmp_path):
     assert {k: got[k].error for k in texts} == {"a": None, "b": "not JSON", "c": "no pages_tree", "d": "not a list of pages", "e": None}
     assert (got["a"].text, got["a"].y2, got["a"].block, got["e"].x2) == ("T", 0.5, 0, 3.0)
     assert nodes(spark.createDataFrame([], "token string, raw string")).count() == 0
+
+
+def test_long_pages_are_whole(spark, tmp_path):
+    spark.createDataFrame([(1, "\n".join("abcdefghijkl"))] * 90 + [(2, "alone")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.token, r.kind == "group") for r in tree_nodes(spark, str(tmp_path)).collect())
+    assert got == {("doc-1", False): 90 * 12, ("doc-1", True): 1, ("doc-2", False): 1, ("doc-2", True): 1}
