@@ -86,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     each row of docs and item the most similar of all windows, the first of equal ones, if its distance is within the
     radius. Words are lower-cased; shingles are of five words, or of all words of an item that has fewer, which then is
     sought as such. A window at a document's end is shorter. Null or empty texts of either table match nothing.
-    Repeated rows are reported once. Empty tables give an empty result; further columns are not read.
+    Null ids are ids like others. Repeated rows are reported once. Empty tables give an empty result; further columns are not read.
     """
     items = benchmark.select(F.col("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", F.size("w").alias("n_words"), F.least(F.size("w"), F.lit(SHINGLE)).alias("n"), "w")
@@ -111,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     held = lambda a, b: F.size(a) - F.size(F.array_except(a, b))  # noqa: E731  at least as many as are in common
     most = F.least(held(F.col("shingles"), F.col("has")), held(F.col("has"), F.col("shingles")))
     enough = most * (1 + similarity) >= similarity * (F.size("shingles") + F.size("has")) - 1e-9
-    key = ["doc_id", "row", "n", "n_words", "start"]
+    key = ["doc_id", "row", "n", "n_words", "start"]  # the row stands for its doc_id too, which may be null, so joins leave that out
     # each window's own shingles are cut from the document's where the benchmark's meet them
     found = []
     for n in lengths:
@@ -122,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             met = met.select("doc_id", "row", "own", "item", "n", "n_words", _starts(F.col("pos"), full, F.size("own")))
         else:
             at = own.select("doc_id", "row", F.size("own").alias("length"), F.posexplode("own").alias("pos", "shingle")).join(shared, "shingle")
-            met = own.join(at.select("doc_id", "row", "item", "n", "n_words", _starts(F.col("pos"), full, F.col("length"))).distinct(), ["doc_id", "row"])
+            met = own.join(at.select("row", "item", "n", "n_words", _starts(F.col("pos"), full, F.col("length"))).distinct(), "row")
         found.append(met.select(*key, "item", window.alias("shingles")).join(has, "item").where(enough).select(*key, "shingles").distinct())
     schema = "doc_id long, row long, n int, n_words int, start int, shingles array<bigint>"
     spark = docs.sparkSession
@@ -138,8 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     # exact check: common shingles with their numbers
     counted = cut.select(*key, F.explode("shingles").alias("shingle")).groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("a"))
-    common = counted.join(hint(item_counted), ["n", "n_words", "shingle"]).groupBy(*key, "item").agg(F.sum(F.least("a", "b")).alias("common"))
-    alike = near.join(common, [*key, "item"]).withColumn("similarity", F.col("common") / (F.col("size") + F.col("item_size") - F.col("common")).cast("double"))
+    common = counted.join(hint(item_counted), ["n", "n_words", "shingle"]).groupBy(*key[1:], "item").agg(F.sum(F.least("a", "b")).alias("common"))
+    alike = near.join(common, [*key[1:], "item"]).withColumn("similarity", F.col("common") / (F.col("size") + F.col("item_size") - F.col("common")).cast("double"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", (-F.col("distance")).alias("close"))).alias("m")
     return (
         alike.where(F.col("similarity") >= similarity)

@@ -192,6 +192,16 @@ def test_contaminated_equals_all_windows(spark):
     assert got == want
 
 
+def test_contaminated_with_null_and_equal_ids(spark, monkeypatch):
+    word = lambda c: " ".join(f"{c}{k}" for k in range(12))
+    bench = spark.createDataFrame([(1, word("a")), (1, word("b")), (None, word("c"))], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"x {word('a')}"), (11, word("b")), (None, f"y {word('b')} z"), (12, word("c"))], "doc_id long, text string")
+    for small in (decontam.SMALL, 0):
+        monkeypatch.setattr(decontam, "SMALL", small)
+        got = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontam.contaminated(docs, bench).collect()}
+        assert got == {(10, 1, 1, 1.0), (11, 1, 0, 1.0), (None, 1, 1, 1.0), (12, None, 0, 1.0)}
+
+
 def test_shards_are_even_and_keep_copies_together(docs, none):
     found = sharding.kd_shards(docs, 4).collect()
     by = {}
