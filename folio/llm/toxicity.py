@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters look at a text and say toxic, clean or nothing. Two lexicons and a pattern are fixed (LEXICON, REMARK); the
-others are lexicons mined from labelled rows: whole words, and word beginnings of several lengths, that nearly always
-come with the label 1. A generative label model estimates each voter's accuracy from how the voters agree, by
+Voters look at a text and say toxic, clean or nothing. Two lexicons and three patterns are fixed (LEXICON, PATTERNS);
+the others are lexicons mined from labelled rows: whole words, and word beginnings of several lengths, that nearly
+always come with the label 1. A generative label model estimates each voter's accuracy from how the voters agree, by
 expectation-maximisation over the counts of vote patterns, and finds pairs of voters that agree more than their
 accuracies explain; such a pair is then modelled jointly, so that it doesn't count twice. The label itself is one more
 voter, and a noisy one. A linear classifier is trained on the posterior labels; it sees words and word beginnings only
@@ -13,6 +13,7 @@ The fit reads `most` labelled rows at most, those first by a hash of doc_id and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,29 +23,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import bytehash
+from folio.llm.common import stored
 
 #: Insults by kind: for persons, and for what they do or are (fixed values).
 LEXICON = (
     ("idiot", "idiots", "moron", "morons", "imbecile", "loser", "losers", "scum", "trash", "clown", "jerk", "bastard", "bitch", "asshole", "scumbag", "dumbass"),
     ("stupid", "pathetic", "worthless", "disgusting", "dumb", "filthy", "ugly", "vile", "retarded", "fucking", "shitty", "idiotic", "moronic"),
 )
+#: Phrases by form, over lower-cased text: an insult said to somebody, a dismissal, a spelling that hides a word.
+PATTERNS = (
+    rb"\byou(?:'re| are| r)? (?:(?:a|an|such|so|just|really|all|nothing|but|total|complete|bunch|of|the) ){0,4}(?:%s)\b" % b"|".join(w.encode() for words in LEXICON for w in words),
+    rb"\b(?:shut up|go to hell|drop dead|kill yourself|piss off|get lost|screw you|fuck you|nobody (?:likes|wants) you|i hate you)\b",
+    rb"\b(?:f[*@#]+c?k|sh[*@!1]t|b[*!1]tch|a[*$]{2}hole|id[*1!]ot|m[*0]r[*0]n|st[*]pid)[a-z]*",
+)
+_FORMS = tuple(map(re.compile, PATTERNS))
 #: Bytes of the word beginnings that are features beside whole words; the rows of a fit at most.
 BEGINNINGS, MOST = (3, 4, 5, 6, 8), 8000
 #: A mined entry: so many labelled texts have it at least, and of those, so large a part is labelled 1 at least
 #: (lower end of the interval).
 SUPPORT, PRECISION = 4, 0.6
 THRESHOLD = 0.3
-#: Characters handled at a time.
-STEP = 1 << 20
+#: Characters handled at a time; features that a task holds before it adds them up.
+STEP, MERGE = 1 << 20, 1 << 20
 _WORD = np.ones(256, bool)
 _WORD[[c for c in range(128) if not chr(c).isalnum()]] = False
 
 
-def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, text, kind) of all words and word beginnings, feature a 64-bit hash; kind 0 whole word, then
-    BEGINNINGS; and the words' number in each text."""
+def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, text, kind) of all words, word beginnings and patterns, feature a 64-bit hash; kind 0 whole word, then
+    BEGINNINGS, then PATTERNS."""
     raw = [t.lower().encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
+    joined = b"\0".join(raw) + b"\0"
+    data = np.frombuffer(joined, np.uint8)
     offsets = np.cumsum([0] + [len(r) + 1 for r in raw])
     inside = _WORD[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
@@ -57,7 +67,38 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         feature.append(bytehash.pieces(sums, start[long], start[long] + n) ^ np.uint64(k))
         text.append(owner[long])
         kind.append(np.full(int(long.sum()), k, np.int8))
-    return np.concatenate(feature), np.concatenate(text), np.concatenate(kind), np.bincount(owner, minlength=len(texts))
+    for k, form in enumerate(_FORMS):
+        at = np.array([m.start() for m in form.finditer(joined)], np.int64)
+        feature.append(np.full(len(at), pattern_hash(k), np.uint64))
+        text.append(np.searchsorted(offsets, at, "right") - 1)
+        kind.append(np.full(len(at), len(BEGINNINGS) + 1 + k, np.int8))
+    return np.concatenate(feature), np.concatenate(text), np.concatenate(kind)
+
+
+def pattern_hash(k: int) -> np.uint64:
+    return bytehash.mix64(np.array([0x70A77E12 + k], np.uint64))[0]
+
+
+def portions(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Pieces of `texts`, STEP characters together or little more, and the text that each is of. A text is cut at blanks
+    only; a pattern across such a cut isn't seen."""
+    held, of, size = [], [], 0
+    for k, t in enumerate(texts):
+        at = 0
+        while at < len(t) or at == 0:
+            end = len(t)
+            if end - at > STEP:
+                end = t.find(" ", at + STEP)
+                end = len(t) if end < 0 else end
+            held.append(t[at:end])
+            of.append(k)
+            size += end - at
+            at = max(end, at + 1)
+            if size >= STEP:
+                yield held, np.array(of)
+                held, of, size = [], [], 0
+    if held:
+        yield held, np.array(of)
 
 
 def word_hash(word: str) -> int:
@@ -115,9 +156,9 @@ def _em(patterns: np.ndarray, n: np.ndarray, cliques: list[tuple[int, ...]], sta
     return model, p
 
 
-def fit_label_model(votes: np.ndarray, excess: float = 0.3, most_pairs: int = 3) -> LabelModel:
+def fit_label_model(votes: np.ndarray, excess: float = 0.3) -> LabelModel:
     """votes: rows by voters, -1 clean, 0 nothing, 1 toxic. Starts from the votes' balance, and then pairs the voters
-    whose votes stay correlated by more than `excess` given the class, the strongest first."""
+    whose votes stay correlated by more than `excess` given the class, the strongest first; a voter is in one pair."""
     patterns, n = np.unique(votes, axis=0, return_counts=True)
     m = votes.shape[1]
     start = 1 / (1 + np.exp(-1.5 * (patterns.clip(0).sum(1) - 0.5 * (patterns < 0).sum(1) / max(1, m) - 0.5)))
@@ -138,7 +179,7 @@ def fit_label_model(votes: np.ndarray, excess: float = 0.3, most_pairs: int = 3)
                 found.append((-strength, a, b))
     cliques, used = [], set()
     for _, a, b in sorted(found):
-        if not {a, b} & used and len(cliques) < most_pairs:
+        if not {a, b} & used:
             cliques.append((a, b))
             used |= {a, b}
     if not cliques:
@@ -158,51 +199,39 @@ class Model:
 
 
 def fit(rows: DataFrame, most: int = MOST) -> Model:
-    """Fit on `rows` (text, toxic 0 or 1), `most` of them at most. Null labels don't count; a null text is empty.
+    """Fit on `rows` (text, toxic 0 or 1), `most` different texts at most. Null labels don't count; a null text is empty.
     Equal texts count once, with the mean of their labels rounded down. Without rows, or with one class only, the model
-    knows the fixed lexicons alone."""
+    knows the fixed lexicons and patterns alone."""
     fixed = [np.array(sorted(word_hash(w) for w in words), np.uint64) for words in LEXICON]
+    fixed += [np.array([pattern_hash(k)]) for k in range(len(PATTERNS))]
+    own = np.unique(np.concatenate(fixed))
     texts = F.coalesce("text", F.lit(""))
-    sample = (
-        rows.where(F.col("toxic").isNotNull())
-        .select(texts.alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(11), texts).alias("h"))
-        .orderBy("h", "toxic")
-        .limit(most)
-        .mapInArrow(_sparse, "toxic int, h long, features binary, kinds binary")
-        .toArrow()
-    )
-    by_text: dict[int, list] = {}
-    for y, h, f, k in zip(*(sample.column(c).to_pylist() for c in range(4))):
-        by_text.setdefault(h, [[], f, k])[0].append(y)
-    y = np.array([sum(v[0]) // len(v[0]) for v in by_text.values()], np.int64)
-    both = [(np.frombuffer(f, np.uint64), np.frombuffer(k, np.int8)) for _, f, k in by_text.values()]
-    del sample, by_text
-    if not len(y) or y.min() == y.max():
-        own = np.unique(np.concatenate(fixed))
+    hashed = rows.where(F.col("toxic").isNotNull()).select(texts.alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(11), texts).alias("h"))
+    sample = hashed.groupBy("h").agg(F.first("text").alias("text"), F.floor(F.avg("toxic")).cast("int").alias("toxic"))
+    sample = stored(sample.orderBy("h").limit(most).repartition(8, "h"), "sample")
+    classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(classes) < 2:
         return Model(own, np.full(len(own), 3.0), -3.0)
-    sizes = np.array([len(f) for f, _ in both])
-    feature, kind, text = np.concatenate([f for f, _ in both]), np.concatenate([k for _, k in both]), np.repeat(np.arange(len(y)), sizes)
-    known, first, at = np.unique(feature, return_index=True, return_inverse=True)
-    total, positive = np.bincount(at).astype(float), np.bincount(at, y[text].astype(float))
-    rate = positive / total
-    lower = rate - 1.0 * np.sqrt((rate * (1 - rate) + 0.25 / total) / total)
-    mined = (positive >= SUPPORT) & (lower >= PRECISION)
-    kinds = kind[first]
-    # voters: the fixed lexicons, two or more fixed entries, the mined lexicons by kind, and the label
-    is_fixed = [np.isin(known, f) for f in fixed]
-    has = lambda flags: np.bincount(text[flags[at]], minlength=len(y)) > 0
-    says = [np.where(has(f), 1, 0) for f in is_fixed]
-    says.append(np.where(np.bincount(text[(is_fixed[0] | is_fixed[1])[at]], minlength=len(y)) > 1, 1, 0))
-    says += [np.where(has(mined & (kinds == k)), 1, -1) for k in range(len(BEGINNINGS) + 1) if (mined & (kinds == k)).any()]
+    counted = sample.select("text", "toxic").mapInArrow(_counts, "feature long, kind int, total long, positive long").groupBy("feature").agg(F.max("kind").alias("kind"), F.sum("total").alias("total"), F.sum("positive").alias("positive"))
+    rate = F.col("positive") / F.col("total")
+    lower = rate - F.sqrt((rate * (1 - rate) + 0.25 / F.col("total")) / F.col("total"))
+    table = counted.where((F.col("positive") >= SUPPORT) & (lower >= PRECISION)).select("feature", "kind").toArrow()
+    mined = table.column(0).to_numpy().view(np.uint64)
+    # the classifier sees entries that tell something: mined ones and the fixed
+    used = np.unique(np.concatenate([mined, own]))
+    kinds = np.full(len(used), -1)
+    kinds[np.searchsorted(used, mined)] = table.column(1).to_numpy()
+    y, rows_, cols = _matrix(sample, used)
+    has = lambda flags: np.bincount(rows_[flags[cols]], minlength=len(y))
+    # voters: the fixed lexicons and patterns, two or more fixed words, the mined lexicons by kind, and the label
+    is_fixed = [np.isin(used, f) for f in fixed]
+    says = [np.where(has(f) > 0, 1, 0) for f in is_fixed]
+    says.append(np.where(has(is_fixed[0] | is_fixed[1]) > 1, 1, 0))
+    says += [np.where(has(kinds == k) > 0, 1, -1) for k in range(len(BEGINNINGS) + 1) if (kinds == k).any()]
     says.append(np.where(y == 1, 1, -1))
     label_model = fit_label_model(np.stack(says, 1))
     target = label_model.posterior(np.stack(says, 1))
-    # the classifier sees entries that tell something: mined ones and the fixed
-    used = mined | is_fixed[0] | is_fixed[1]
-    column = np.cumsum(used) - 1
-    take = used[at]
-    rows_, cols = text[take], column[at[take]]
-    w, b = np.zeros(int(used.sum())), float(np.log(target.mean() / (1 - target.mean()) + 1e-9))
+    w, b = np.zeros(len(used)), float(np.log(target.mean() / (1 - target.mean()) + 1e-9))
     speed, pulled = np.full(len(w), 1e-6), 1e-6
     for _ in range(300):  # AdaGrad
         z = b + np.bincount(rows_, w[cols], len(y))
@@ -213,16 +242,59 @@ def fit(rows: DataFrame, most: int = MOST) -> Model:
         pulled += gb * gb
         w -= 0.2 * gw / np.sqrt(speed)
         b -= 0.2 * gb / np.sqrt(pulled)
-    return Model(known[used], w, b, label_model)
+    return Model(used, w, b, label_model)
+
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, kind, total, positive: in how many texts, and labelled 1, the features of a task's texts are. Texts are
+    added up MERGE at a time, so that what is held is the distinct features."""
+    known: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    fresh: list[tuple[np.ndarray, ...]] = []
+
+    def merge() -> None:
+        nonlocal known
+        both = [np.concatenate(c) for c in zip(known, *fresh)]
+        fresh.clear()
+        feature, first, at = np.unique(both[0], return_index=True, return_inverse=True)
+        known = [feature, both[1][first], *(np.bincount(at, c, len(feature)).astype(np.int64) for c in both[2:])]
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = pa.schema([("toxic", pa.int32()), ("h", pa.int64()), ("features", pa.binary()), ("kinds", pa.binary())])
     for batch in batches:
-        for k in range(batch.num_rows):
-            f, _, kind, _ = text_features([batch.column(0)[k].as_py()])
-            own, first = np.unique(f, return_index=True)
-            yield pa.RecordBatch.from_pylist([{"toxic": batch.column(1)[k].as_py(), "h": batch.column(2)[k].as_py(), "features": own.tobytes(), "kinds": kind[first].tobytes()}], names)
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own, kinds = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for piece, _ in portions([text]):
+                f, _, kind = text_features(piece)
+                own, first = np.unique(np.concatenate([own, f]), return_index=True)
+                kinds = np.concatenate([kinds, kind])[first]
+            one = np.ones(len(own), np.int64)
+            fresh.append((own, kinds, one, one * toxic))
+            if sum(len(x[0]) for x in fresh) > MERGE:
+                merge()
+    merge()
+    for a in range(0, len(known[0]), 1 << 16):
+        feature, kind, total, positive = (c[a : a + (1 << 16)] for c in known)
+        yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(total), pa.array(positive)], names=["feature", "kind", "total", "positive"])
+
+
+def _matrix(sample: DataFrame, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the sample's texts, and (text, number in `used`) of the features that each has."""
+    shared = sample.sparkSession.sparkContext.broadcast(used)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = shared.value
+        for batch in batches:
+            numbers = []
+            for text in batch.column(1).to_pylist():
+                own = [np.zeros(0, np.int64)]
+                for piece, _ in portions([text]):
+                    f, _, _ = text_features(piece)
+                    place = np.minimum(np.searchsorted(used, f), len(used) - 1)
+                    own.append(np.unique(place[used[place] == f]))
+                numbers.append(np.unique(np.concatenate(own)).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(numbers, pa.binary())], names=["h", "toxic", "numbers"])
+
+    found = sample.select("h", "text", "toxic").mapInArrow(run, "h long, toxic int, numbers binary").orderBy("h").toArrow()
+    own = [np.frombuffer(x.as_py(), np.int32) for x in found.column(2)]
+    return found.column(1).to_numpy().astype(np.int64), np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate([*own, np.zeros(0, np.int32)]).astype(np.int64)
 
 
 def _scorer(features: np.ndarray, weights: np.ndarray, bias: float):
@@ -232,25 +304,22 @@ def _scorer(features: np.ndarray, weights: np.ndarray, bias: float):
     maybe[(features >> np.uint64(44)).astype(np.int64)] = True
 
     def part(texts: list[str]) -> np.ndarray:
-        f, text, _, _ = text_features(texts)
+        """text * width + number of the features that each text has, once each."""
+        f, text, _ = text_features(texts)
         near = np.flatnonzero(maybe[(f >> np.uint64(44)).astype(np.int64)])
         f, text = f[near], text[near]
         place = np.minimum(np.searchsorted(features, f), max(len(features) - 1, 0))
         hit = features[place] == f if len(features) else np.zeros(len(f), bool)
-        pair = np.unique(text[hit] * width + place[hit])  # a feature counts once in a text
-        z = bias + np.bincount(pair // width, weights[pair % width] if len(pair) else None, len(texts))
-        return 1 / (1 + np.exp(-z.clip(-30, 30)))
+        return text[hit] * width + place[hit]
 
     def whole(texts: list[str]) -> np.ndarray:
-        out, a = [np.zeros(0)], 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size < STEP):
-                size += len(texts[b])
-                b += 1
-            out.append(part(texts[a:b]))
-            a = b
-        return np.concatenate(out)
+        pairs = [np.zeros(0, np.int64)]
+        for piece, of in portions(texts):
+            pair = part(piece)
+            pairs.append(np.unique(of[pair // width] * width + pair % width))
+        pair = np.unique(np.concatenate(pairs))  # a feature counts once in a text
+        z = bias + np.bincount(pair // width, weights[pair % width] if len(pair) else None, len(texts))
+        return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
     return whole
 
@@ -284,15 +353,16 @@ def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
     """text and toxic of documents that have a label and aren't held out (crc32 of doc_id as text, mod 4, is 2): of
-    `most` labels, first by a hash of doc_id. They are chosen before any text is read, and so few that they are sent
-    to every task, so texts aren't shuffled."""
+    `most` labels of such documents, first by a hash of doc_id. They are chosen by ids alone, before any text is read,
+    and so few that they are sent to every task, so texts aren't shuffled. Of several labels the greatest counts."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = own.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(most)
+    own = own.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
 
 
 def op10_toxicity(spark, sf_dir):
+    """Learns from the rows whose crc32(doc_id as text) mod 4 is not 2; those are held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
