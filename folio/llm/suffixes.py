@@ -4,11 +4,12 @@
 2. Each 50-byte string has a minimizer, the smallest of the hashes of its 24-byte parts. Strings that are equal have
    equal minimizers; a string whose minimizer stands in one document only has no copy elsewhere. Neighbouring strings
    mostly share a minimizer, so a document is cut into stretches of one minimizer each, and those whose minimizer
-   stands in several documents are segments. Equal segments are one, with the smallest doc_id that has it.
+   stands in several documents are segments. Equal segments are one, with the smallest doc_id that has it. Segments
+   none of whose strings has its hash twice in their batch are left out.
 3. The segments of a batch of minimizers are a collection of short sequences. Its Burrows-Wheeler transform is built
    column by column: each round inserts one symbol per sequence, from the ends to the starts. The place of a suffix
    follows from that of the suffix it extends, by counting the symbol's occurrences before it. Each round passes once,
-   front to back, over the transform so far.
+   front to back, over the transform so far, and carries nothing else along.
 4. Among suffixes next to each other, runs with 50 bytes in common are the repeated strings; a string is removed where
    its run has a document with a smaller doc_id.
 
@@ -31,7 +32,7 @@ from folio.llm.common import stored
 #: Bytes of a string, of the parts from which its minimizer is taken; strings of a segment at most (bits of a mask).
 LENGTH, PART, MOST = 50, 24, 63
 #: Bytes of text and of segments handled at a time.
-STEP, BATCH = 1 << 20, 2 << 20
+STEP, BATCH = 1 << 20, 1 << 20
 
 
 def _minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +42,7 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(start):
         return start, np.zeros(0, np.uint64)
     at = np.arange(parts)
-    low = bytehash.pieces(bytehash.prefixes(data), at, at + PART)
+    low = bytehash.rough_pieces(bytehash.rough_prefixes(data), at, at + PART)
     width, reach = LENGTH - PART + 1, 1
     while reach * 2 <= width:  # the least of `reach` values from each place
         low = np.minimum(low[:-reach], low[reach:])
@@ -68,45 +69,64 @@ def _stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start[begin], np.minimum(count[owner] - nth * MOST, MOST), low[begin], text[begin]
 
 
-def transform_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes of the sequences data[start:end] as (sequence, length), by inserting a column a round.
+def transform(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The Burrows-Wheeler transform of the sequences data[start:end], by inserting a column a round: for each suffix in
+    order the byte before it plus 1, or 0 where it is its sequence's start. Texts are UTF-8, which has no byte 255.
 
-    `symbol` is the transform so far: for each suffix in order the byte before it (0 where it is its sequence's start;
-    the others are kept above 0 by adding 1). Sorting the transform's entries by symbol, keeping their order, gives the
-    order of the suffixes that they begin; so an entry's rank there is its extended suffix's place.
+    A suffix's place is known from the suffix that it extends: as many come before it as there are smaller symbols in
+    the transform so far, and equal ones ahead. `waits` holds the places of the last round's suffixes and `owner` their
+    sequences; nothing else is carried from round to round but the transform.
     """
-    m = len(starts)
     length = ends - starts
-    before = lambda seq, n: np.where(length[seq] > n, data[ends[seq] - n - 1].astype(np.uint16) + 1, 0)
-    seq, size = np.arange(m), np.zeros(m, np.int64)
-    symbol = before(seq, 0).astype(np.uint16)
-    new = np.arange(m)  # places of the suffixes of the last round
+    owner = np.arange(len(starts))
+    before = lambda seq, n: np.where(length[seq] > n, data[ends[seq] - n - 1] + np.uint8(1), np.uint8(0))
+    symbol, waits = before(owner, 0), owner
     for n in range(1, int(length.max(initial=0)) + 1):
-        order = np.argsort(symbol, kind="stable")
-        ended = int((symbol == 0).sum())
-        rank = np.empty(len(symbol), np.int64)
-        rank[order] = np.arange(len(symbol)) - ended + m
-        grow = new[symbol[new] > 0]
-        place = np.sort(rank[grow])
-        owner = seq[grow][np.argsort(rank[grow])]
-        total = len(symbol) + len(place)
-        old = np.ones(total, bool)
-        old[place] = False
-        wider = [np.empty(total, x.dtype) for x in (seq, size, symbol)]
-        for target, source, added in zip(wider, (seq, size, symbol), (owner, np.full(len(owner), n), before(owner, n))):
-            target[old] = source
-            target[place] = added
-        seq, size, symbol = wider
-        new = place
+        grow = symbol[waits] > 0
+        places, owner = followers(symbol)[waits[grow]] + len(starts), owner[grow]
+        order = np.argsort(places)
+        waits, owner = places[order], owner[order]
+        old = np.ones(len(symbol) + len(waits), bool)
+        old[waits] = False
+        wider = np.empty(len(old), np.uint8)
+        wider[old], wider[waits] = symbol, before(owner, n)
+        symbol = wider
+    return symbol
+
+
+def followers(symbol: np.ndarray) -> np.ndarray:
+    """For each entry of a transform the place, after the empty suffixes, of the suffix that its symbol begins."""
+    ended = int((symbol == 0).sum())
+    out = np.empty(len(symbol), np.int32 if len(symbol) < 1 << 31 else np.int64)
+    out[np.argsort(symbol, kind="stable")] = np.arange(len(symbol)) - ended
+    return out
+
+
+def transform_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted suffixes of the sequences data[start:end] as (sequence, length): the finished transform is walked from
+    all sequences' ends to their starts."""
+    m = len(starts)
+    symbol = transform(data, starts, ends)
+    after = followers(symbol)
+    seq, size = np.empty(len(symbol), np.int32), np.empty(len(symbol), np.int32)
+    at, owner, n = np.arange(m), np.arange(m), 0
+    while len(at):
+        seq[at], size[at] = owner, n
+        go = symbol[at] > 0
+        at, owner, n = after[at[go]] + m, owner[go], n + 1
     return seq, size
 
 
 def repeated(segments: list[bytes], docs: np.ndarray) -> np.ndarray:
     """For each segment a mask of its strings (bit k: the string at k) that another segment with a smaller doc has."""
-    lengths = np.array([len(s) for s in segments])
+    lengths = np.array([len(s) for s in segments], np.int64)
+    masks = np.zeros(len(segments), np.int64)
     data = np.frombuffer(b"".join(segments) + bytes(64), np.uint8)
     ends = np.cumsum(lengths)
-    starts = ends - lengths
+    maybe = np.flatnonzero(_has_twin(data, ends - lengths, lengths - LENGTH + 1))
+    if not len(maybe):
+        return masks
+    starts, ends, docs = (ends - lengths)[maybe], ends[maybe], docs[maybe]
     seq, size = transform_order(data, starts, ends)
     whole = size >= LENGTH
     seq, size = seq[whole], size[whole]
@@ -117,15 +137,26 @@ def repeated(segments: list[bytes], docs: np.ndarray) -> np.ndarray:
     for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
         w = np.ascontiguousarray(words[at + k]).view(np.uint64).ravel()
         same &= w[1:] == w[:-1]
-    run = np.concatenate([[0], np.cumsum(~same)]) if len(at) else np.zeros(0, np.int64)
-    masks = np.zeros(len(segments), np.int64)
-    if len(at):
-        least = np.minimum.reduceat(docs[seq], np.flatnonzero(np.append(True, ~same)))
-        hit = least[run] < docs[seq]
-        np.bitwise_or.at(masks, seq[hit], np.int64(1) << (at[hit] - starts[seq[hit]]))
+    run = np.concatenate([[0], np.cumsum(~same)])
+    least = np.minimum.reduceat(docs[seq], np.flatnonzero(np.append(True, ~same)))
+    hit = least[run] < docs[seq]
+    np.bitwise_or.at(masks, maybe[seq[hit]], np.int64(1) << (at[hit] - starts[seq[hit]]))
     return masks
 
 
+def _has_twin(data: np.ndarray, starts: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Which segments have a string whose hash occurs twice."""
+    owner = np.repeat(np.arange(len(starts)), strings)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings) + starts[owner]
+    key = bytehash.rough_pieces(bytehash.rough_prefixes(data), at, at + LENGTH)
+    order = np.argsort(key)
+    twin = np.append(key[order[1:]] == key[order[:-1]], False)
+    twin[1:] |= twin[:-1].copy()
+    out = np.zeros(len(starts), bool)
+    out[owner[order[twin]]] = True
+    return out
+
+
 def shared_minimizers(texts: DataFrame) -> DataFrame:
     """row, lows: for each text (row, raw) its minimizers that stand in another text too."""
 
@@ -183,7 +214,7 @@ def segments(texts: DataFrame) -> DataFrame:
 
 
 def removals(found: DataFrame) -> DataFrame:
-    """row, a, b: bytes [a, b) to remove. `found` is what `segments` returns; a task streams its minimizers in order."""
+    """row, doc, a, b: bytes [a, b) of the text to remove. `found` is what `segments` returns; a task streams its minimizers in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece: list[bytes] = []  # distinct segments of the batch in hand, their smallest docs, and all their places
@@ -198,12 +229,12 @@ def removals(found: DataFrame) -> DataFrame:
             mask = np.where(doc > np.array(least)[nth], full, masks[nth])
             out = []
             whole = (mask == full) & (mask != 0)
-            out.append((row[whole], start[whole], start[whole] + count[whole] + (LENGTH - 1)))
+            out.append((row[whole], doc[whole], start[whole], start[whole] + count[whole] + (LENGTH - 1)))
             for k in np.flatnonzero((mask != 0) & ~whole):
                 bits = np.array([(int(mask[k]) >> j) & 1 for j in range(int(count[k]))], np.int8)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], bits, [0]])))
-                out.append((np.full(len(edge) // 2, row[k]), start[k] + edge[::2], start[k] + edge[1::2] + (LENGTH - 1)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["row", "a", "b"])
+                out.append((np.full(len(edge) // 2, row[k]), np.full(len(edge) // 2, doc[k]), start[k] + edge[::2], start[k] + edge[1::2] + (LENGTH - 1)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["row", "doc", "a", "b"])
 
         last: tuple | None = None
         for batch in batches:
@@ -229,7 +260,7 @@ def removals(found: DataFrame) -> DataFrame:
             yield finish()
 
     dealt = found.repartition("low").sortWithinPartitions("low", "segment")
-    return dealt.mapInArrow(run, "row long, a long, b long")
+    return dealt.mapInArrow(run, "row long, doc long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -237,19 +268,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Bytes are UTF-8 bytes; a null text is empty. Rows with the same doc_id are one document here: strings that only
     they share stay. A null doc_id is larger than any. Texts of fewer than 50 bytes are kept. An empty table gives an
-    empty result. Texts are told apart by a 64-bit hash, their length included.
+    empty result. Copies are told by SHA-256.
     """
     nobody = (1 << 63) - 1
     raw = F.coalesce("text", F.lit("")).cast("binary")
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc"), raw.alias("raw")).withColumn("row", F.xxhash64("raw", F.length("raw")))
-    known = stored(slim.select("doc", "row").distinct(), "known")
-    first = known.groupBy("row").agg(F.min("doc").alias("first"))
+    known = stored(slim.select("doc", "row", F.unhex(F.sha2("raw", 256)).alias("digest")).distinct(), "known")
+    first = known.groupBy("digest").agg(F.min("doc").alias("first"), F.first("row").alias("row"))
     lows = stored(shared_minimizers(slim), "lows")
     chosen = lows.join(first, "row").select(F.col("row"), F.col("first").alias("doc"), "lows")
     # equal rows of one doc are one
     opened = slim.join(chosen, ["row", "doc"])
-    found = removals(segments(opened)).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts"))
-    plan = known.join(first, "row").join(stored(found, "cuts"), "row", "left").select("doc", "row", (F.col("doc") > F.col("first")).alias("copy"), F.when(F.col("doc") == F.col("first"), F.col("cuts")).alias("cuts"))
+    found = removals(segments(opened)).groupBy("row", "doc").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts"))
+    copies = known.join(first.select("digest", "first"), "digest").select("doc", "row", (F.col("doc") > F.col("first")).alias("copy"))
+    plan = copies.join(stored(found, "cuts"), ["row", "doc"], "left")
     names = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,5 +311,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_suffixes(spark, sf_dir):
+    """Of every document its bytes, those removed, and a digest of what stays."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
