@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets into which `spread` deals each group at least.
 BUCKETS = 256
-#: Rows of a bucket that one task takes without trouble.
-BUCKET_ROWS = 50_000
+#: Rows of a bucket that one task takes without trouble; a key with more rows than HOT is dealt over several tasks.
+BUCKET_ROWS, HOT = 50_000, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, a temporary one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and the session runs
+    on one machine, as in tests, a temporary one of our own; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -59,6 +62,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: DataFrame | None = None) -> DataFrame:
+    """`left` joined with `right`, which has one row for each key. Of a key that has more than HOT rows in `left`, right's
+    row is copied and left's rows are dealt over the copies, so no task takes them all. rows: key and _n, the number of
+    its rows in `left`, or rows of left to count. What is broadcast is one row for every HOT rows of `left` at most."""
+    if rows is None or "_n" not in rows.columns:
+        rows = (left if rows is None else rows).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(rows.where(F.col("_n") > HOT).select(key, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts")))
+    dealt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.col("_parts"))).cast("int")
+    one = left.join(hot, key, "left").withColumn("_copy", dealt).drop("_parts")
+    two = right.join(hot, key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return one.join(two, [key, "_copy"]).drop("_copy")
+
+
 def buckets_for(rows: int) -> int:
     """So many buckets that an even group of `rows` rows has BUCKET_ROWS in each at most."""
     return max(BUCKETS, -(-rows // BUCKET_ROWS))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored
+from folio.llm.common import lookup, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for the nodes of `edges` (a, b; any order, repeats allowed).
 
-    Each step is proportional to the edges and needs no node's neighbours together: a large-star links each larger
+    Each step is proportional to the edges, and a node with many neighbours is dealt over several tasks: a large-star links each larger
     neighbour to the smallest one, a small-star each smaller one. The steps end when nothing changes, after about the
     logarithm of the longest path. No edges: no rows.
     """
@@ -19,11 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        large = lookup(both, least.select("u", "m"), "u", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = stored(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        moved = lookup(large, least.select("u", "m"), "u", least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stored(moved.where("u > v").distinct(), "small")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:

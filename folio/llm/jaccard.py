@@ -1,20 +1,21 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds the 64-bit hashes of its distinct five-word shingles; equal sets are one node.
-
-1. Nodes are partitioned into groups of similar ones: those that share the smallest of a second hash of their shingles.
-2. Two sets with similarity t share one of the first n - ceil(t * n) + 1 shingles of each, in any order that is the
-   same for all. The order is rare ones first. Each group's union of those shingles is its row of the token-group
-   matrix, kept as (shingle, group); if two groups' rows have nothing in common, no member of one is similar to a
-   member of the other, and the pair isn't opened.
-3. Opening a pair of groups compares members by size and by parity sketches: a sketch bit is the parity of the number
-   of shingles that hash to it, so the bits in which two sketches differ never exceed the shingles in which the sets
-   differ, and a pair above the bound is surely below the threshold. Nothing similar is lost.
-4. What is left is nearly always similar. A spanning forest of it (least distance first) is checked exactly, and after
-   that every pair whose ends the checked links haven't joined. So each document's component is exact, and a group of
-   thousands of near copies costs a check for each member, not for each pair.
-
-Groups are opened in units of UNIT nodes at most, so no task takes more than two units, whatever a group's size.
+A document's set holds the 64-bit hashes of its distinct five-word shingles; equal sets are one node, told by 128 bits.
+
+1. Nodes are partitioned into groups of similar ones. Nodes with two smallest shingles in common meet the first node of
+   those that do; parity sketches drop most that aren't similar (the bits in which two sketches differ never exceed the
+   shingles in which the sets differ), and the others are checked exactly. A group is a component of checked links, so
+   a cluster of thousands of near copies is one group by a check or two for each member. What this misses, 2. finds.
+2. The token-group matrix has each group's union of shingles, kept by ranges of shingles as blobs. A member that is
+   similar to a node of another group has PART / PER of its shingles in unions of other groups at least. So the
+   shingles are counted that other groups have, for each group and chunk of documents; only where they are enough the
+   chunk's part of the group is opened. A shingle goes into a range once for each chunk and group, and once for all of
+   a chunk's groups where several have it: no shingle's rows are in proportion to its documents.
+3. Of the opened nodes' shingles those stay that several groups have, rare ones first. Two similar nodes share one of
+   the first n - ceil(t * n) + 1 of each. Nodes of different groups that share such a one, and whose sizes and shared
+   shingles allow the similarity at all, are checked: by sketches, then exactly.
+
+So no link between groups is lost, and links inside a group change no component.
 """
 
 from __future__ import annotations
@@ -23,22 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import bytehash
-from folio.llm.common import stored
+from folio.llm.common import lookup, stored
 from folio.llm.components import components
 
 WORDS = 5
 #: Similarity as a fraction: common * PER >= PART * union.
 PART, PER = 75, 100
-#: Nodes of a unit; bytes of text handled at a time; a shingle is frequent if so many of a batch's groups have it (a
-#: shingle of k documents, dealt over t batches, is in two of one batch once k is near sqrt(2 * t)); how many frequent
-#: ones are known at most (this order only sets the cost: any order is exact).
-UNIT, STEP, OFTEN, KNOWN = 2048, 1 << 20, 2, 1 << 20
-#: So many ids are sent to every task instead of shuffling the texts.
+#: Bytes of text handled at a time; shingles of a chunk, and of a range of the matrix, about.
+STEP, CHUNK, RANGE = 1 << 20, 1 << 21, 1 << 21
+#: So many ids are sent to every task instead of shuffling the sets.
 FEW = 1_000_000
+#: Bands of two smallest shingles by which nodes meet at first.
+BANDS = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,20 +76,34 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield a, b, value, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))])
 
 
-def _sums(values: np.ndarray, offsets: np.ndarray, how) -> np.ndarray:
-    """`how` (a ufunc) over each non-empty run; 0 for an empty one."""
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum over each run; 0 for an empty one."""
     out = np.zeros(len(offsets) - 1, np.uint64)
     full = offsets[1:] > offsets[:-1]
     if full.any():
-        out[full] = how.reduceat(values, offsets[:-1][full])
+        out[full] = np.add.reduceat(values, offsets[:-1][full])
     return out
 
 
-def node_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set, its size included."""
-    salted = bytehash.mix64(values + np.uint64(0xA5A5))
-    mixed = bytehash.mix64(_sums(salted, offsets, np.add) ^ bytehash.mix64(_sums(bytehash.mix64(salted), offsets, np.add) + np.diff(offsets).astype(np.uint64)))
-    return mixed.view(np.int64)
+def digests(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """128 bits of each set."""
+    both = np.stack([_sums(bytehash.mix64(values + np.uint64(salt)), offsets) for salt in (0xA5A5, 0x3C3C77)], 1)
+    return [x.tobytes() for x in both]
+
+
+def band_keys(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """For each set the hashes of its bands: each the smallest shingles of two of 2 * BANDS ranges, if one has any."""
+    n = len(offsets) - 1
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    cell = text * (2 * BANDS) + (values >> np.uint64(60)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+    least = np.full(n * 2 * BANDS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    least[cell[first]] = values[first]
+    pair = least.reshape(n, BANDS, 2)
+    has = (pair != np.uint64(0xFFFFFFFFFFFFFFFF)).any(2)
+    key = bytehash.mix64(bytehash.mix64(pair[:, :, 0] + np.arange(BANDS, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + pair[:, :, 1])
+    ends = np.append(0, np.cumsum(has.sum(1)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[has].view(np.int64)))
 
 
 def sketch_bits(n: int) -> int:
@@ -117,256 +132,51 @@ def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
     return PER * (total - differ) >= PART * (total + differ)
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node, group, sketch, frequent (shingles that several of the batch's groups have, each
-    told by its first node, so near copies count once; in its first row)."""
-    names = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("group", pa.int64()), ("sketch", pa.binary()), ("frequent", pa.list_(pa.struct([("shingle", pa.int64()), ("times", pa.int64())])))])
+def shingle_table(docs: DataFrame) -> DataFrame:
+    """rid (unique), doc_id, n, digest, keys, sketch, shingles (sorted 64-bit hashes, binary) of each row of `docs`."""
+    names = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            seen: set[int] = set()
-            held, out = [], []
             for a, b, values, offsets in shingle_sets(batch.column(1)):
-                node = node_ids(values, offsets)
-                group = _sums(bytehash.mix64(values ^ np.uint64(0x77)), offsets, np.minimum).view(np.int64)
-                sketches = [sketch(values[offsets[k] : offsets[k + 1]]) for k in range(b - a)]
-                out.append(pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(offsets)), pa.array(node), pa.array(group), pa.array(sketches, pa.binary()), pa.nulls(b - a, names.field(5).type)], schema=names))
-                for k, x in enumerate(group.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        held.append(values[offsets[k] : offsets[k + 1]])
-            own, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            often = times >= OFTEN
-            said = [{"shingle": s, "times": t} for s, t in zip(own[often].view(np.int64).tolist(), times[often].tolist())]
-            for k, x in enumerate(out):
-                if k == 0:
-                    x = x.set_column(5, names.field(5), pa.array([said] + [None] * (x.num_rows - 1), names.field(5).type))
-                yield x
-
-    schema = "doc_id long, n long, node long, group long, sketch binary, frequent array<struct<shingle:long,times:long>>"
+                own = [values[offsets[k] : offsets[k + 1]] for k in range(b - a)]
+                columns = [
+                    pa.array(np.arange(rid, rid + b - a)), batch.column(0)[a:b], pa.array(np.diff(offsets)), pa.array(digests(values, offsets), pa.binary()),
+                    band_keys(values, offsets), pa.array(map(sketch, own), pa.binary()), pa.array([x.tobytes() for x in own], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=names)
+                rid += b - a
+
+    schema = "rid long, doc_id long, n long, digest binary, keys array<long>, sketch binary, shingles binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def matrix_rows(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """shingle, group: the token-group matrix, of the shingles that decide (see the module's docstring).
-
-    frequent: shingle, times; its KNOWN most frequent rows reach every task.
-    """
-    known = frequent.groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(KNOWN).toArrow()
-    key = known.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    level = (1 + np.log2(np.maximum(known.column(1).to_numpy(), 1))).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((key[order], level[order]))
-    names = pa.schema([("shingle", pa.int64()), ("group", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, level = shared.value
-        seen: set[int] = set()
-        for batch in batches:
-            for a, b, values, offsets in shingle_sets(batch.column(0)):
-                n = np.diff(offsets)
-                group = _sums(bytehash.mix64(values ^ np.uint64(0x77)), offsets, np.minimum).view(np.int64)
-                fresh = np.array([x not in seen for x in node_ids(values, offsets).tolist()]) & (n > 0)
-                if len(seen) < 1 << 20:
-                    seen.update(node_ids(values, offsets).tolist())
-                text = np.repeat(np.arange(b - a), n)
-                if len(key):
-                    place = np.minimum(np.searchsorted(key, values), len(key) - 1)
-                    rank = np.where(key[place] == values, level[place], 0)
-                else:
-                    rank = np.zeros(len(values), np.int64)
-                order = np.lexsort((values, rank, text))
-                within = np.arange(len(values)) - np.repeat(offsets[:-1], n)
-                decide = n - -(-PART * n // PER) + 1
-                take = order[(within < decide[text]) & fresh[text]]
-                yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(group[text[take]])], schema=names)
-
-    return docs.select("text").mapInArrow(run, "shingle long, group long")
-
-
-def group_pairs(matrix: DataFrame) -> DataFrame:
-    """g, h (g < h): groups whose rows of the matrix have a shingle in common. Rows of a shingle are streamed in order,
-    and each task tells a pair once for each stretch of rows."""
-    names = pa.schema([("g", pa.int64()), ("h", pa.int64())])
+def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, d: those of `pairs` (a, b; distinct) whose sizes and sketches allow the similarity, and the bits in which
+    their sketches differ. nodes: node, n, sketch."""
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-        def pairs(s: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-            keep = np.append(True, (s[1:] != s[:-1]) | (g[1:] != g[:-1]))[: len(s)]
-            s, g = s[keep], g[keep]
-            found = np.zeros((0, 2), np.int64)
-            step, parts = 1, []
-            left = np.arange(len(s))
-            while True:
-                left = left[left + step < len(s)]
-                left = left[s[left + step] == s[left]]
-                if not len(left):
-                    break
-                parts.append(np.stack([g[left], g[left + step]], 1))
-                step += 1
-                if sum(map(len, parts)) > 1 << 20:
-                    parts = [np.unique(np.concatenate(parts), axis=0)]
-            if parts:
-                found = np.unique(np.concatenate(parts), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=names)
-
         for batch in batches:
-            s, g = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns))
-            if not len(s):
-                continue
-            last = int(np.searchsorted(s, s[-1]))  # the last shingle may go on
-            rest = (s[last:], g[last:])
-            yield pairs(s[:last], g[:last])
-        yield pairs(*rest)
-
-    return matrix.repartition("shingle").sortWithinPartitions("shingle", "group").mapInArrow(run, "g long, h long").distinct()
-
-
-def _distances(n: list[int], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bits in which sketches differ (of those sizes that can be similar), and which pairs can be, among all rows."""
-    size = np.array(n, np.int64)
-    order = np.argsort(size, kind="stable")
-    far = np.zeros((len(n), len(n)), np.int32)
-    can = np.zeros((len(n), len(n)), bool)
-    folded: dict[int, np.ndarray] = {}
-    lengths = np.array([len(s) * 8 for s in sketches])
-    for bits in sorted(set(lengths.tolist())):
-        folded[bits] = np.stack([fold(s, bits) if len(s) * 8 >= bits else np.zeros(bits // 64, np.uint64) for s in sketches])
-    for i in order.tolist():
-        # partners at least as large, whose sketches are folded to this one's bits
-        js = np.flatnonzero((size >= size[i]) & (PART * size <= PER * size[i]) & (lengths >= lengths[i]))
-        d = np.bitwise_count(folded[lengths[i]][js] ^ folded[lengths[i]][i]).sum(1)
-        far[i, js] = far[js, i] = d
-        ok = may_link(size[i], size[js], d)
-        can[i, js] = can[js, i] = ok
-    np.fill_diagonal(can, False)
-    return far, can
-
-
-def _forest(far: np.ndarray, can: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that can be similar, least distance first (Prim's way, tree by tree)."""
-    n, out = len(far), []
-    cost = np.where(can, far, 1 << 30)
-    inside = np.zeros(n, bool)
-    for root in range(n):
-        if inside[root]:
-            continue
-        inside[root] = True
-        best, via = cost[root].copy(), np.full(n, root)
-        while True:
-            masked = np.where(inside, 1 << 30, best)
-            j = int(masked.argmin())
-            if masked[j] >= 1 << 30:
-                break
-            inside[j] = True
-            out.append((int(via[j]), j))
-            closer = cost[j] < best
-            best[closer], via[closer] = cost[j][closer], j
-    return out
-
-
-EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
+            n, m = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            differ = np.abs(n - m)
+            keep = np.flatnonzero(may_link(n, m, differ))
+            for k in keep.tolist():
+                x, y = batch.column(2)[k].as_py(), batch.column(5)[k].as_py()
+                bits = 8 * min(len(x), len(y))
+                differ[k] = max(differ[k], int(np.bitwise_count(fold(x, bits) ^ fold(y, bits)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(differ)], schema=names).filter(pa.array(may_link(n, m, differ)))
 
-def open_single(rows: DataFrame) -> DataFrame:
-    """a, b of those rows (a, na, sa, b, nb, sb: two nodes, their sizes and sketches) that can be similar."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = lookup(lookup(pairs.select("a", "b"), of("b"), "b"), of("a"), "a")
+    return both.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a long, b long, d long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column(2).to_pylist(), batch.column(5).to_pylist()
-            differ = np.zeros(batch.num_rows, np.int64)
-            for k, (x, y) in enumerate(zip(one, two)):
-                bits = 8 * min(len(x), len(y))
-                differ[k] = int(np.bitwise_count(fold(x, bits) ^ fold(y, bits)).sum())
-            keep = may_link(batch.column(1).to_numpy(), batch.column(4).to_numpy(), differ)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], schema=EDGE).filter(pa.array(keep))
-
-    ordered = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    return rows.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a long, b long").select(*ordered)
-
-
-def open_pairs(pairs: DataFrame, nodes: DataFrame, across: bool) -> DataFrame:
-    """a, b: pairs of nodes to check. pairs: x, y (units); nodes: unit, node, n, sketch, label. Without `across` a
-    forest of the pairs that can be similar; with it, all of them whose labels differ. A task streams its pairs of
-    units one by one."""
-
-    def small(rows: list[tuple], mixed: bool) -> list[tuple[int, int, int]]:
-        """(distance, a, b) of the pairs that can be similar, by plain integers."""
-        out, ints = [], [int.from_bytes(r[2], "little") for r in rows]
-        for i, (x, n, s, _, u) in enumerate(rows):
-            for j in range(i):
-                y, m, t, _, v = rows[j]
-                if u == v and mixed or PART * n > PER * m or PART * m > PER * n:
-                    continue
-                p, q, long = ints[i], ints[j], 8 * max(len(s), len(t))
-                while long > 8 * min(len(s), len(t)):
-                    long //= 2
-                    p, q = ((p >> long) ^ (p & ((1 << long) - 1)) if len(s) * 8 > long else p, (q >> long) ^ (q & ((1 << long) - 1)) if len(t) * 8 > long else q)
-                d = (p ^ q).bit_count()
-                if PER * (n + m - d) >= PART * (n + m + d):
-                    out.append((d, x, y))
-        return out
-
-    def one(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        rows = sorted({r[0]: r for r in rows}.values())
-        node, n, sketches, label, unit = zip(*rows)
-        # members of one unit meet where that unit is opened against itself
-        mixed = len(set(unit)) > 1
-        empty = np.zeros(0, np.int64)
-        if len(rows) < 2 or across and len(set(label)) < 2:
-            return empty, empty
-        if len(rows) <= 64:
-            found = small(rows, mixed)
-            if across:
-                named = dict(zip(node, label))
-                chosen = [(x, y) for _, x, y in found if named[x] != named[y]]
-            else:
-                root, chosen = {x: x for x in node}, []
-                for _, x, y in sorted(found):
-                    p, q = x, y
-                    while root[p] != p:
-                        p = root[p]
-                    while root[q] != q:
-                        q = root[q]
-                    if p != q:
-                        root[p] = q
-                        chosen.append((x, y))
-            pairs_ = np.array(chosen, np.int64).reshape(-1, 2)
-            return np.minimum(pairs_[:, 0], pairs_[:, 1]), np.maximum(pairs_[:, 0], pairs_[:, 1])
-        node, label, unit = np.array(node), np.array(label), np.array(unit)
-        far, can = _distances(list(n), list(sketches))
-        if mixed:
-            can &= unit[:, None] != unit[None, :]
-        if across:
-            i, j = np.nonzero(np.triu(can & (label[:, None] != label[None, :])))
-        else:
-            edges = np.array(_forest(far, can), np.int64).reshape(-1, 2)
-            i, j = edges[:, 0], edges[:, 1]
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            found = []
-            for x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (x, y) != now and rows:
-                    found.append(one(rows))
-                    rows = []
-                now = (x, y)
-                rows.append(tuple(row))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=EDGE)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in one(rows)], schema=EDGE)
-
-    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("unit"))
-    dealt = sides.join(nodes, "unit").select("x", "y", "node", "n", "sketch", "label", "unit")
-    return dealt.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "a long, b long").distinct()
-
-
-def check_pairs(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of `edges` (a, b) whose sets are similar; sets: node, shingles (sorted 64-bit hashes, binary)."""
+def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b; distinct) whose sets are similar; sets: rid, shingles."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,24 +185,217 @@ def check_pairs(edges: DataFrame, sets: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
                 both = np.concatenate([x, y])
-                both.sort()
+                both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(PER * common >= PART * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=names).filter(pa.array(keep, pa.bool_()))
 
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return edges.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    few = F.broadcast if pairs.count() <= FEW else (lambda x: x)
+    one = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")).join(few(pairs.select("a", "b")), "b")
+    two = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")).join(few(pairs.select("a").distinct()), "a", "left_semi")
+    return lookup(one, two, "a", pairs).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: exactly checked links that join most similar nodes (node, n, sketch, keys); see 1. of the module."""
+    met = nodes.select("node", F.explode("keys").alias("key"))
+    firsts = met.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    pairs = lookup(met, firsts.select("key", "a"), "key", firsts).where("a < node").select("a", F.col("node").alias("b")).distinct()
+    close = stored(near(stored(pairs, "met"), nodes), "near")
+    # the closest first; of the others those whose ends aren't joined by then
+    best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    links = stored(check_pairs(stored(best, "closest"), sets), "links")
+    label = components(links)
+    open_ = close.join(best, ["a", "b"], "left_anti")
+    for c in "ab":
+        open_ = open_.join(label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    # one pair for each two groups and end is enough to try; the rest is found by the matrix
+    more = stored(open_.where("ra != rb").groupBy("ra", "b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "closer")
+    return links.unionByName(stored(check_pairs(more, sets), "links"))
+
+
+def matrix_ranges(members: DataFrame, bits: int) -> DataFrame:
+    """The token-group matrix by chunks of documents and ranges of shingles. members: rid, group, alone (is the group's
+    only node), n, shingles.
+
+    A chunk's documents of one group are a unit. Each row has a chunk's part of one range (the first `bits` bits of its
+    shingles): of the shingles that one unit of the chunk has the next 32 bits, by units (`low`, `counts`); of those
+    that several have, which are known to be shared, the 32 bits once (`told`); and the groups of the units that aren't
+    alone. One more row of each chunk has its documents, their units, and for each unit its smallest set and the number
+    of shingles that it shares with others of the chunk (`rids`, `counts`, `low`, `told`)."""
+    columns = ["range", "chunk", "head", "units", "low", "counts", "told", "rids", "at", "groups"]
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 6]
+    names = pa.schema(list(zip(columns, kinds)))
+
+    def cut(rid, group, alone, n, arrays) -> Iterator[pa.RecordBatch]:
+        named, unit = np.unique(group, return_inverse=True)
+        units = len(named)
+        value, owner = np.concatenate(arrays), np.repeat(unit, n)
+        order = np.lexsort((owner, value)) if units < len(rid) else np.argsort(value)
+        value, owner = value[order], owner[order]
+        new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
+        value, owner = value[new], owner[new]
+        like = value[1:] == value[:-1]
+        several = np.append(False, like) | np.append(like, False)
+        told = np.unique(value[several])
+        shared = np.bincount(owner[several], minlength=units)
+        value, owner = value[~several], owner[~several]
+        smallest = np.full(units, 1 << 62)
+        np.minimum.at(smallest, unit, n)
+        crowd = np.zeros(units, bool)
+        crowd[unit[~alone]] = True
+        at = np.flatnonzero(crowd)
+        chunk, rows = int(rid[0]), []
+        row = lambda r, head, *parts: dict(zip(columns, (r, chunk, head, units, *(p.tobytes() for p in parts))))
+        rows.append(row(int(bytehash.mix64(np.array([chunk], np.uint64))[0] >> np.uint64(64 - bits)), True, smallest, unit.astype(np.uint32), shared, rid, at[:0], named[:0]))
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        a, t = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (value, told))
+        low = lambda x: ((x >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for r in range(1 << bits):
+            v, u, say = value[a[r] : a[r + 1]], owner[a[r] : a[r + 1]], told[t[r] : t[r + 1]]
+            if not len(v) and not len(say):
+                continue
+            counts = np.bincount(u, minlength=units)
+            counts = counts.astype(np.min_scalar_type(int(counts.max())))
+            rows.append(row(r, False, low(v[np.argsort(u, kind="stable")]), counts, low(say), rid[:0], at.astype(np.uint32), named[at]))
+            if len(rows) >= 16:
+                yield pa.RecordBatch.from_pylist(rows, names)
+                rows = []
+        yield pa.RecordBatch.from_pylist(rows, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            rid, group, alone, n, arrays = zip(*held)
+            return cut(np.array(rid), np.array(group), np.array(alone), np.array(n), arrays)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                values = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64)
+                held.append((*(batch.column(c)[k].as_py() for c in range(4)), values))
+                size += len(values)
+                if size >= CHUNK:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    schema = "range int, chunk long, head boolean, units int, low binary, counts binary, told binary, rids binary, at binary, groups binary"
+    return members.select("rid", "group", "alone", "n", "shingles").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    names = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+def open_units(ranges: DataFrame, parts: int) -> DataFrame:
+    """rid: the nodes of those units that may have a member similar to a node of another group."""
+
+    def whole(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[dict]]:
+        """Rows by their key, which they are sorted by."""
+        held: list[dict] = []
+        for batch in batches:
+            for k, x in enumerate(batch.column(key).to_pylist()):
+                if held and held[-1][batch.schema.field(key).name] != x:
+                    yield held
+                    held = []
+                held.append(batch.slice(k, 1).to_pylist()[0])
+        if held:
+            yield held
+
+    answer = pa.schema([("chunk", pa.int64()), ("units", pa.int32()), ("shared", pa.binary()), ("smallest", pa.binary()), ("unit", pa.binary()), ("rids", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole(batches, 0):
+            out = [{"chunk": r["chunk"], "units": r["units"], "shared": r["told"], "smallest": r["low"], "unit": r["counts"], "rids": r["rids"]} for r in rows if r["head"]]
+            rows = [r for r in rows if not r["head"]]
+            if rows:
+                base = np.cumsum([0] + [r["units"] for r in rows])
+                who = np.arange(base[-1])  # a number for each group
+                at = np.concatenate([np.frombuffer(r["at"], np.uint32).astype(np.int64) + b for r, b in zip(rows, base)])
+                named = np.concatenate([np.frombuffer(r["groups"], np.int64) for r in rows])
+                _, first, again = np.unique(named, return_index=True, return_inverse=True)
+                who[at] = at[first[again]] if len(at) else at
+                counts = np.concatenate([np.frombuffer(r["counts"], f"<u{len(r['counts']) // r['units']}").astype(np.int64) for r in rows])
+                unit, value = np.repeat(np.arange(base[-1]), counts), np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
+                told = np.unique(np.concatenate([np.frombuffer(r["told"], np.uint32) for r in rows]))
+                order = np.argsort(value, kind="stable")
+                value, unit = value[order], unit[order]
+                run = np.cumsum(np.append(False, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+                several = np.zeros(int(run[-1]) + 1 if len(run) else 0, bool)
+                group = who[unit]
+                several[run[1:][(run[1:] == run[:-1]) & (group[1:] != group[:-1])]] = True
+                if len(told) and len(value):
+                    place = np.minimum(np.searchsorted(told, value), len(told) - 1)
+                    several[run[told[place] == value]] = True
+                shared = np.bincount(unit[several[run]], minlength=base[-1])
+                out += [{"chunk": r["chunk"], "units": r["units"], "shared": shared[a:b].tobytes()} for r, a, b in zip(rows, base, base[1:]) if shared[a:b].any()]
+            yield pa.RecordBatch.from_pylist(out, answer)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole(batches, 0):
+            shared = sum(np.frombuffer(r["shared"], np.int64) for r in rows)
+            head = next(r for r in rows if r["rids"] is not None)
+            go = PER * shared >= PART * np.frombuffer(head["smallest"], np.int64)
+            rid = np.frombuffer(head["rids"], np.int64)[go[np.frombuffer(head["unit"], np.uint32)]]
+            yield pa.RecordBatch.from_arrays([pa.array(rid)], names=["rid"])
+
+    counted = ranges.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(count, "chunk long, units int, shared binary, smallest binary, unit binary, rids binary")
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(decide, "rid long")
+
+
+def pairs_across(members: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes of different groups that may be similar, by 3. of the module. members: rid, group, n,
+    shingles of the opened nodes."""
+    row = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("group", pa.int64()), ("n", pa.int64())])
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, group, n = (batch.column(k).to_numpy() for k in range(3))
+            for k in range(batch.num_rows):
+                values = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), *(pa.array(np.full(len(values), x[k])) for x in (rid, group, n))], schema=row)
+
+    rows = stored(members.select("rid", "group", "n", "shingles").mapInArrow(flat, "shingle long, node long, group long, n long"), "opened")
+    by_group = rows.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("_n"))
+    often = by_group.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.sum("_n").alias("_n")).where("df > 1")
+    shared = lookup(rows, often.select("shingle", "df"), "shingle", often)
+    own = Window.partitionBy("node")
+    shared = shared.select("*", F.row_number().over(own.orderBy("df", "shingle")).alias("nth"), F.count(F.lit(1)).over(own).alias("has"))
+    least = F.ceil(F.col("n") * PART / PER)
+    decide = stored(shared.where(F.col("nth") <= F.col("has") - least + 1).select("shingle", "node", "group", "n", "has"), "decide")
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def meet(node, group, n, has) -> np.ndarray:
+        """Pairs of one shingle's nodes, a strip of nodes against all that come after it."""
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(node), 256):
+            i, j = np.arange(k, min(k + 256, len(node))), np.arange(k, len(node))
+            most = np.minimum(has[i][:, None], has[j][None, :])
+            ok = (group[i][:, None] != group[j][None, :]) & (PER * most >= PART * (n[i][:, None] + n[j][None, :] - most)) & (node[i][:, None] < node[j][None, :])
+            x, y = np.nonzero(ok)
+            found.append(np.stack([node[i[x]], node[j[y]]], 1))
+        return np.concatenate(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 5
+
+        def pairs(columns) -> pa.RecordBatch:
+            s, node, *others = columns
+            order = np.lexsort((node, s))
+            s, node, others = s[order], node[order], [c[order] for c in others]
+            edge = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)]), len(s))
+            found = np.concatenate([np.zeros((0, 2), np.int64), *(meet(node[x:y], *(c[x:y] for c in others)) for x, y in zip(edge, edge[1:]) if y - x > 1)])
+            found = np.unique(found, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=names)
+
         for batch in batches:
-            for a, b, values, offsets in shingle_sets(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(node_ids(values, offsets)), pa.array([values[offsets[k] : offsets[k + 1]].tobytes() for k in range(b - a)], pa.binary())], schema=names)
+            if not batch.num_rows:
+                continue
+            both = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
+            last = int(np.searchsorted(both[0], both[0][-1]))  # the last shingle may go on
+            rest = [c[last:] for c in both]
+            yield pairs([c[:last] for c in both])
+        yield pairs(rest)
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+    return decide.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -402,60 +405,37 @@ def similar(docs: DataFrame) -> DataFrame:
     link with nothing: their component is their own doc_id. Rows without a doc_id take part, and count for nothing in
     the smallest doc_id. Repeated rows are reported each. An empty table gives an empty result.
     """
-    known = stored(facts(docs), "sets")
+    known = stored(shingle_table(docs), "sets")
     full = known.where("n > 0")
-    nodes = full.groupBy("node").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    nodes = stored(nodes, "nodes")
-    matrix = matrix_rows(docs, known.where(F.col("frequent").isNotNull()).select(F.explode("frequent").alias("f")).select("f.*"))
-    pairs = stored(group_pairs(matrix), "pairs")
-    sizes = nodes.groupBy("group").count()
-    units = sizes.select("group", F.ceil(F.col("count") / UNIT).cast("int").alias("units"))
-    sub = F.pmod(F.xxhash64("node"), F.col("units"))
-    unit_of = lambda g, k: F.xxhash64(g, k.cast("int"))
-    opened = sizes.where("count > 1").select(F.col("group").alias("g"), F.col("group").alias("h")).unionByName(pairs)
-    spread = (
-        opened.join(units.select(F.col("group").alias("g"), F.col("units").alias("ug")), "g")
-        .join(units.select(F.col("group").alias("h"), F.col("units").alias("uh")), "h")
-        .select("g", "h", "uh", F.explode(F.sequence(F.lit(0), F.col("ug") - 1)).alias("i"))
-        .select("g", "h", "i", F.explode(F.sequence(F.lit(0), F.col("uh") - 1)).alias("j"))
-        .where("g != h or i <= j")
-        .select(unit_of(F.col("g"), F.col("i")).alias("x"), unit_of(F.col("h"), F.col("j")).alias("y"))
-    )
-    spread = stored(spread, "units")
-    placed = nodes.join(units, "group").select(unit_of(F.col("group"), sub).alias("unit"), "node", "n", "sketch", "doc_id")
-    touched = spread.select(F.explode(F.array("x", "y")).alias("unit")).distinct()
-    placed = stored(placed.join(touched, "unit"), "placed")
-    # the sets of nodes that may have a partner (each such is an end of the forest), from one document each
-    wanted = placed.where(F.col("doc_id").isNotNull()).select("doc_id")
-    orphans = placed.where(F.col("doc_id").isNull()).limit(1).count()
-    few = F.broadcast if wanted.count() <= FEW else (lambda x: x)
-    chosen = docs.select("doc_id", "text").join(few(wanted), "doc_id", "left_semi")
-    if orphans:
-        chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", "text"))
-    # two units of one node each, as most are, are compared at once; the others as blocks, if their sizes allow
-    of = lambda c, k: stats.select(F.col("unit").alias(c), *[F.col(x).alias(f"{k}_{x}") for x in stats.columns[1:]])
-    stats = placed.groupBy("unit").agg(F.count(F.lit(1)).alias("count"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    sized = spread.join(of("x", "p"), "x").join(of("y", "q"), "y").where((PART * F.col("p_lo") <= PER * F.col("q_hi")) & (PART * F.col("q_lo") <= PER * F.col("p_hi")))
-    sized = stored(sized.select("x", "y", ((F.col("p_count") == 1) & (F.col("q_count") == 1) & (F.col("x") != F.col("y"))).alias("single")), "sized")
-    blocks = sized.where(~F.col("single")).select("x", "y")
-    end = lambda c, k: placed.select(F.col("unit").alias(c), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    single = open_single(sized.where("single").join(end("x", "a"), "x").join(end("y", "b"), "y"))
-    first = stored(open_pairs(blocks, placed.withColumn("label", F.col("node")), False).unionByName(single).distinct(), "forest")
-    ends = lambda e: e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_sets(chosen).join(ends(first), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-    links = stored(check_pairs(first, sets), "links")
-    labels = components(links)
-    labelled = placed.join(labels, "node", "left").select("unit", "node", "n", "sketch", F.coalesce("root", "node").alias("label"))
-    more = stored(open_pairs(blocks, labelled, True).join(first, ["a", "b"], "left_anti"), "across")
-    if more.limit(1).count():
-        found = stored(check_pairs(more, sets), "links")
-        if found.limit(1).count():
-            labels = components(links.unionByName(found))
-    rooted = full.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    equal = full.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("_n"))
+    equal = stored(equal, "equal")
+    members = stored(lookup(full.select("rid", "doc_id", "digest"), equal.select("digest", "node", "n"), "digest", equal).select("rid", "doc_id", "n", "node"), "members")
+    nodes = stored(full.select(F.col("rid").alias("node"), "n", "sketch", "keys").join(equal.select("node"), "node", "left_semi"), "nodes")
+    sets = known.select("rid", "n", "shingles")
+    links = stored(groups(nodes, sets), "links")
+    label = stored(components(links).select(F.col("node").alias("rid"), F.col("root").alias("group")), "groups")
+    # nodes that aren't alone in their group, and copies of nodes, which the matrix leaves out
+    tags = stored(label.unionByName(members.where("rid != node").select("rid", F.lit(-1).cast("long").alias("group"))), "tags")
+    few = F.broadcast if tags.count() <= FEW else (lambda x: x)
+    tagged = sets.where("n > 0").join(few(tags), "rid", "left").where("coalesce(group, 0) >= 0")
+    tagged = tagged.select("rid", F.coalesce("group", "rid").alias("group"), F.col("group").isNull().alias("alone"), "n", "shingles")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    bits = max(5, (total // RANGE).bit_length())
+    opened = stored(open_units(matrix_ranges(tagged, bits), 1 << bits), "open")
+    few = F.broadcast if opened.count() <= FEW else (lambda x: x)
+    found = stored(pairs_across(tagged.join(few(opened), "rid", "left_semi")), "across")
+    close = stored(near(found, nodes).select("a", "b"), "near")
+    if close.limit(1).count():
+        label = components(links.unionByName(stored(check_pairs(close, sets), "links"))).select(F.col("node").alias("rid"), F.col("root").alias("group"))
+        label = stored(label, "groups")
+    label = label.select(F.col("rid").alias("node"), F.col("group").alias("root"))
+    rooted = equal.join(label, "node", "left").select("node", "first", "_n", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    of_node = stored(lookup(rooted.select("node", "root"), least.select("root", "component_id"), "root", least).select("node", "component_id"), "components")
+    out = lookup(members, of_node, "node", equal.select("node", "_n")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(known.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op5_jaccard(spark, sf_dir):
+    """Of every document its set's size and the smallest doc_id that it is linked to, by any number of steps."""
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
