@@ -56,3 +56,88 @@ def axis_iou(p: str, q: str, axis: str) -> Column:
     a1, a2, b1, b2 = (F.col(f"{s}{axis}{k}") for s in (p, q) for k in (1, 2))
     both = F.least(a2, b2) - F.greatest(a1, b1)
     return F.when(both > 0, both / (F.greatest(a2, b2) - F.least(a1, b1))).otherwise(F.lit(0.0))
+
+
+CORNERS = ("x1", "y1", "x2", "y2")
+
+
+def scaled(x: float | Column, y: float | Column, p: str = "") -> dict[str, Column]:
+    """A box times x and y. Divide by passing reciprocals of exact powers, else divide the columns."""
+    return {c: F.col(f"{p}{c}") * (x if c[0] == "x" else y) for c in CORNERS}
+
+
+def shifted(x: float | Column, y: float | Column, p: str = "") -> dict[str, Column]:
+    return {c: F.col(f"{p}{c}") + (x if c[0] == "x" else y) for c in CORNERS}
+
+
+def whole(how: str, p: str = "") -> dict[str, Column]:
+    """Corners as whole numbers: round (half to even), int (towards zero), ceil or floor."""
+    ways = {"round": F.bround, "int": lambda c: c, "ceil": F.ceil, "floor": F.floor}
+    return {c: ways[how](F.col(f"{p}{c}")).cast("long") for c in CORNERS}
+
+
+def distance(ax: Column, ay: Column, bx: Column, by: Column, method: str = "euclidean") -> Column:
+    """Between two points, euclidean or manhattan."""
+    if method == "manhattan":
+        return F.abs(ax - bx) + F.abs(ay - by)
+    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+
+
+def overlap_length(p: str, q: str, axis: str) -> Column:
+    """Common length on an axis; below 0 where the boxes are apart."""
+    return F.least(F.col(f"{p}{axis}2"), F.col(f"{q}{axis}2")) - F.greatest(F.col(f"{p}{axis}1"), F.col(f"{q}{axis}1"))
+
+
+def guarded_iou(p: str, q: str) -> Column:
+    """IoU of boxes that may be empty: the union counts as 1e-6 at least."""
+    both = intersection(p, q)
+    return both / F.greatest(area(p) + area(q) - both, F.lit(1e-6))
+
+
+def guarded_iof(p: str, q: str) -> Column:
+    """The part of box q that lies in box p; q's area counts as 1e-6 at least."""
+    return intersection(p, q) / F.greatest(area(q), F.lit(1e-6))
+
+
+def soft_iou(p: str, q: str, axis: str) -> Column:
+    """Common length on an axis over the whole extent plus 1e-5; below 0 across a gap."""
+    extent = F.greatest(F.col(f"{p}{axis}2"), F.col(f"{q}{axis}2")) - F.least(F.col(f"{p}{axis}1"), F.col(f"{q}{axis}1"))
+    return overlap_length(p, q, axis) / (extent + F.lit(1e-5))
+
+
+def is_relative(width: Column, height: Column) -> Column:
+    """Whether a box is in parts of its page: its far corner is within the page, give or take a pixel."""
+    most = 1 + 1 / F.least(width, height)
+    return F.col("x2").between(F.lit(0.0), most) & F.col("y2").between(F.lit(0.0), most)
+
+
+def relative(width: Column, height: Column) -> dict[str, Column]:
+    """The box in parts of its page, whatever it is in."""
+    own = is_relative(width, height)
+    return {c: F.when(own, F.col(c)).otherwise(F.col(c) / (width if c[0] == "x" else height)) for c in CORNERS}
+
+
+def absolute(width: Column, height: Column) -> dict[str, Column]:
+    """The box in pixels of its page, whatever it is in."""
+    own = is_relative(width, height)
+    return {c: F.when(own, F.col(c) * (width if c[0] == "x" else height)).otherwise(F.col(c)) for c in CORNERS}
+
+
+def crop_box(width: float, height: float, zoom: float = 1.0) -> dict[str, Column]:
+    """Pixels of a relative box on a page image, towards zero. The caller leaves out boxes without a pixel."""
+    return {c: (F.col(c) * (width if c[0] == "x" else height) * zoom).cast("int") for c in CORNERS}
+
+
+def sub_box(p: str, q: str, x: Column, y: Column) -> dict[str, Column]:
+    """Box q as seen from box p's corner, scaled by x and y, rounded up."""
+    return {c: F.ceil((F.col(f"{q}{c}") - F.col(f"{p}{c[0]}1")) * (x if c[0] == "x" else y)) for c in CORNERS}
+
+
+def clamped(width: float, height: float) -> dict[str, Column]:
+    """A box moved into an image of width and height; a pixel wide and high at least."""
+    out: dict[str, Column] = {}
+    for axis, size in (("x", width), ("y", height)):
+        low = F.greatest(F.lit(0.0), F.least(F.col(f"{axis}1"), F.lit(float(size - 1))))
+        out[f"{axis}1"] = low.cast("int")
+        out[f"{axis}2"] = F.greatest(low + 1, F.least(F.col(f"{axis}2"), F.lit(float(size)))).cast("int")
+    return out

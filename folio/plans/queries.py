@@ -6,22 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import area, intersection, iou
-from folio.plans import layout, qa, texts, trees
+from folio.functions.render import render
+from folio.plans import groups, layout, qa, rich, texts, trees
 from folio.sources.blocks import BLOCKS_SQL, blocks
 
 #: Page furniture that rendering leaves out (fixed values).
 MARGINALIA = ("pageheader", "pagefooter", "pagenumber")
 
 
-def markdown():
-    """A block's Markdown by its type."""
-    text = F.col("text")
-    return F.when(F.col("type") == "title", F.concat(F.lit("# "), text)).when(F.col("type") == "equation", F.concat(F.lit("$$\n"), text, F.lit("\n$$"))).otherwise(text)
-
-
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown: blocks in order, joined by blank lines, without page furniture."""
-    body = blocks(spark, sf_dir).where(~F.col("type").isin(*MARGINALIA)).select("token", "page", F.struct("block", markdown().alias("md")).alias("b"))
+    body = blocks(spark, sf_dir).where(~F.col("type").isin(*MARGINALIA)).select("token", "page", F.struct("block", render("markdown").alias("md")).alias("b"))
     return body.groupBy("token", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["md"]), "\n\n").alias("markdown"), F.count(F.lit(1)).alias("n_blocks"))
 
 
@@ -76,7 +71,7 @@ _common = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0.0) * greatest(le
 _area = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))".format
 _joined = "FROM blocks a JOIN blocks b ON a.token = b.token AND a.page = b.page"
 SQL = {
-    "page_markdown": f"WITH {BLOCKS_SQL} SELECT token, page, string_agg(CASE type WHEN 'title' THEN '# ' || text WHEN 'equation' THEN '$$' || chr(10) || text || chr(10) || '$$' ELSE text END, chr(10) || chr(10) ORDER BY block) AS markdown, count(*) AS n_blocks FROM blocks WHERE type NOT IN ('pageheader', 'pagefooter', 'pagenumber') GROUP BY token, page",
+    "page_markdown": f"WITH {BLOCKS_SQL}, r AS (SELECT *, {texts._render_sql('markdown')} FROM blocks) SELECT token, page, string_agg(markdown, chr(10) || chr(10) ORDER BY block) AS markdown, count(*) AS n_blocks FROM r WHERE type NOT IN ('pageheader', 'pagefooter', 'pagenumber') GROUP BY token, page",
     "type_counts": f"WITH {BLOCKS_SQL} SELECT type, count(*) AS n FROM blocks GROUP BY type",
     "bbox_metrics": f"WITH {BLOCKS_SQL} SELECT token, page, block, x2 - x1 AS w, y2 - y1 AS h, (x2 - x1) * (y2 - y1) AS area, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM blocks",
     "iou_pairs": f"WITH {BLOCKS_SQL}, p AS (SELECT a.token, a.page, a.block AS a_block, b.block AS b_block, {_common} AS i, {_area('a')} + {_area('b')} AS s {_joined} AND a.block < b.block) SELECT token, page, a_block, b_block, i / (s - i) AS iou FROM p WHERE i > 0",
@@ -86,6 +81,6 @@ SQL = {
     "job_state_final": "SELECT user_id, CASE last(event_type ORDER BY ts, event_id) WHEN 'signup' THEN 'undefined' WHEN 'view' THEN 'waiting' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'success' ELSE 'error' END AS state, count(*) AS n_events FROM events GROUP BY user_id",
 }
 
-for _more in (layout, qa, texts, trees):
+for _more in (layout, qa, texts, trees, rich, groups):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
