@@ -21,7 +21,6 @@ MARGINALIA = ("pageheader", "pagefooter", "pagebar", "pagenote", "pagenumber", "
 QA_SKIPPED = ("hline", "pagebar", "pageheader", "pagefooter", "pagenote", "pagenumber", "watermark")
 QA_CAPTIONS = ("algorithmcaption", "expressioncaption", "figurecaption", "imagecaption", "tablecaption")
 QA_IMAGES = ("figure", "image", "chart", "table", "molecule", "figuregroup", "imagegroup")
-QA_TEXTS = ("paragraph", "title", "documenttitle")
 #: Where an ordered page's blocks go: in the margin, at the top of the nesting, or at its bottom.
 MARGIN = ("pageheader", "pagefooter", "pagenumber", "pagebar", "pagenote", "watermark")
 TOP = ("group", "image", "figuregroup", "figure", "expression", "chart", "moleculegroup")
@@ -32,7 +31,7 @@ OCR_CODES = {
     "spanish": "es", "serbian": "rs_latin", "serbian_latin": "rs_latin", "latin": "la", "tamil": "ta", "telugu": "te", "thai": "th",
 }
 #: Which kind of a part a combined figure shows, the most telling first.
-SUB_FIGURES = ("chart", "table", "expression", "molecule", "figure")
+SUB_FIGURES = {"chart": "chart", "table": "table", "expression": "chemical reaction", "molecule": "molecule"}
 
 
 def semantic(kind: Column) -> Column:
@@ -60,9 +59,9 @@ def lane(kind: Column) -> Column:
 
 
 def sub_figure(kinds: Column) -> Column:
-    """Of the types in a combined figure the most telling, null without one."""
+    """What a combined figure shows by the most telling of the types in it; a figure without any of them."""
     out = None
-    for kind in SUB_FIGURES:
+    for kind, name in SUB_FIGURES.items():
         here = F.array_contains(kinds, kind)
-        out = F.when(here, kind) if out is None else out.when(here, kind)
-    return out
+        out = F.when(here, name) if out is None else out.when(here, name)
+    return out.otherwise("figure")

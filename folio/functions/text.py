@@ -93,3 +93,105 @@ def starts_paragraph(s: Column) -> Column:
 def ends_paragraph(s: Column) -> Column:
     """Whether a line ends a paragraph: a closing mark before closed brackets."""
     return F.trim(F.regexp_replace(s, CLOSED, ""), F.lit(BLANKS)).rlike(TAIL)
+
+
+JSON_QUERY = r"((?:https?://|/)[^\s?\"]+)\?[^\s\"]+"
+#: What a quoted path keeps as it is, beside letters, digits and -_.~ (fixed values).
+KEPT = "/:@&=?"
+
+
+def redact_json(raw: Column) -> Column:
+    """URL queries in any string of a JSON text become `<redacted>`; quotes end a URL, so the JSON stays whole."""
+    return F.regexp_replace(raw, JSON_QUERY, "$1?<redacted>")
+
+
+def quote_path(s: Column) -> Column:
+    """Percent-encoded, but for letters, digits, -_.~ and KEPT."""
+    out = F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))
+    for code, char in (("%7E", "~"), *((f"%{ord(c):02X}", c) for c in KEPT)):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return F.replace(out, F.lit("*"), F.lit("%2A"))
+
+
+def hmac_sha256(key: str, body: Column) -> Column:
+    """Hex of the HMAC of a binary; the key is a parameter, so its pads are constants."""
+    raw = key.encode()
+    if len(raw) > 64:
+        raise ValueError("the key must have 64 bytes at most")
+    pad = lambda n: F.unhex(F.lit(bytes(b ^ n for b in raw.ljust(64, b"\0")).hex()))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), body), 256))), 256)
+
+
+def signed(signature: Column, key: str, body: Column) -> Column:
+    """Whether a callback's signature is `sha256=` and the body's HMAC."""
+    return F.coalesce(signature == F.concat(F.lit("sha256="), hmac_sha256(key, body)), F.lit(False))
+
+
+def image_reference(kind: Column, source: Column, form: str) -> Column:
+    """How a source is shown in markdown, latex or html, empty for what is no source. An https URL counts as a path."""
+    b64, path, url = (source_kind(source) == k for k in ("base64", "path", "url"))
+    empty = F.trim(F.coalesce(source, F.lit(""))) == ""
+    if form == "markdown":
+        out = F.when(b64, F.concat(F.lit("!["), kind, F.lit("](data:image/png;base64,"), source, F.lit(")")))
+        out = out.when(path, F.concat(F.lit("!["), kind, F.lit("](<"), source, F.lit(">)"))).when(url, F.concat(F.lit("!["), kind, F.lit("]("), source, F.lit(")")))
+    elif form == "html":
+        tag = lambda src: F.concat(F.lit("<img src='"), src, F.lit("' alt='"), kind, F.lit("'/>"))
+        out = F.when(b64, tag(F.concat(F.lit("data:image/png;base64,"), source))).when(path | url, tag(source))
+    elif form == "latex":
+        tag = lambda src: F.concat(F.lit("\\includegraphics[width=0.5\\textwidth]{"), src, F.lit("}"))
+        out = F.when(b64, tag(F.lit(""))).when(path | url, tag(quote_path(source)))
+    else:
+        return F.lit("")
+    return F.when(empty, F.lit("")).otherwise(F.coalesce(out, F.lit("")))
+
+
+#: Head, tail and suffix of a document in each format (fixed values).
+WRAPPED = {
+    "latex": ("\\documentclass{article}\\n\\n\\usepackage{booktabs}\\n\\n\\begin{document}\\n", "\\end{document}", "tex"),
+    "html": ("<html>\n\n<body>\n", "</body>\n\n</html>", "html"),
+    "markdown": ("", "", "md"),
+    "plain": ("", "", "plain"),
+    "markup": ("", "", "txt"),
+}
+
+
+def wrap_document(content: Column, form: str) -> Column:
+    """A whole document: the content between its format's head and tail, each with a line feed after it."""
+    head, tail, _ = WRAPPED[form]
+    return F.concat(F.lit(head + "\n" if head else ""), F.coalesce(content, F.lit("")), F.lit(tail + "\n" if tail else ""))
+
+
+def dpi_for(dpi: int, width: Column, height: Column, most: int = 4096) -> Column:
+    """Dots per inch so that a page of width by height points has `most` pixels a side at most; 1 at least."""
+    return F.least(F.lit(dpi), F.greatest(F.lit(1), F.floor(F.lit(most * 72) / F.greatest(width, height)).cast("int")))
+
+
+#: Names of parse options and the modes they stand for, and the modes of a scientific paper (fixed values).
+MODES = {"disable": "Disable", "ocr-fast": "OCRFast", "ocr-hq": "OCRHighQuality", "digital": "DigitalExported", "base64": "DumpBase64"}
+PAPER = {"textual": "ocr-hq", "equation": "ocr-hq", "table": "ocr-hq", "chart": "base64", "figure": "base64", "expression": "base64", "molecule": "ocr-fast"}
+
+
+def parse_mode(field: str, alias: Column) -> Column:
+    """The mode that an option's name stands for, its default where null; null for a name that the field doesn't know."""
+    known = {a: m for a, m in MODES.items() if field == "textual" or a != "digital"}
+    pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return pairs[F.coalesce(alias, F.lit(PAPER[field]))]
+
+
+def mode_alias(mode: Column) -> Column:
+    """The name of a mode."""
+    return F.create_map(*[F.lit(x) for a, m in MODES.items() for x in (m, a)])[mode]
+
+
+def resolved_input(file: Column, image: Column, url: Column) -> Column:
+    """struct<kind, value, error> of a request that names one of a file, an image and a URL."""
+    given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    n = given(file).cast("int") + given(image).cast("int") + given(url).cast("int")
+    error = (
+        F.when(n != 1, "exactly one of file, image and url")
+        .when(given(url) & ~F.trim(url).rlike("^https?://"), "url must start with http:// or https://")
+        .when(given(image) & ~F.trim(image).rlike(r"(?i)\.(png|jpg|jpeg|webp)$"), "not a supported image type")
+    )
+    kind = F.when(error.isNotNull(), F.lit(None)).when(given(url), "url").when(given(image), "image").otherwise("file")
+    value = F.trim(F.coalesce(F.when(given(url), url), F.when(given(image), image), file))
+    return F.struct(kind.alias("kind"), F.when(error.isNull(), value).alias("value"), error.alias("error"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.kinds import QA_CAPTIONS, QA_IMAGES, QA_SKIPPED, QA_TEXTS
+from folio.functions.kinds import QA_CAPTIONS, QA_IMAGES, QA_SKIPPED
 from folio.functions.text import SPACES
 from folio.operators.tree import PAGE, parent_of
 
@@ -82,7 +82,3 @@ def content_list(nodes: DataFrame, prefix: str = "vqa_images") -> DataFrame:
     number = F.row_number().over(Window.partitionBy("token").orderBy("page", "path")) - 1
     image = F.col("_out") == "image"
     return rows.select("token", number.alias("id"), F.col("_out").alias("type"), F.when(~image, F.col("_text")).alias("text"), F.when(image, F.concat(F.lit(prefix + "/"), "_name")).alias("img_path"), F.when(image, caption).alias("caption"))
-
-
-def says_text(kind: Column) -> Column:
-    return kind.isin(*QA_TEXTS)

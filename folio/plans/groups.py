@@ -193,5 +193,5 @@ SELECT token, row_number() OVER (PARTITION BY token ORDER BY page, path) - 1 AS
   CASE WHEN out = 'image' THEN coalesce(captions, descr, cd, '') END AS caption FROM q WHERE out IS NOT NULL""",
     "type_lists": f"""WITH {BLOCKS_SQL} SELECT type, count(*) AS n, CASE WHEN type IN {K.TEXTUAL} THEN 'textual' WHEN type IN ('image', 'figure') THEN 'figure' WHEN type IN {_list(K.IGNORED + K.FUNCTIONAL)} THEN 'ignore' WHEN type IN ('equation', 'equationinline') THEN 'equation' ELSE type END AS semantic,
 CASE {' '.join(f"WHEN type IN {kinds} THEN '{name}'" for name, kinds in K.PARTITIONS.items())} END AS part, CASE WHEN type IN {K.MARGIN} THEN 'margin' WHEN type IN {K.TOP} THEN 'top' ELSE 'bottom' END AS lane,
-CASE WHEN type IN ('chart', 'table', 'expression', 'molecule') THEN type ELSE 'figure' END AS shows, 'fr' AS ocr FROM blocks GROUP BY type""",
+CASE WHEN type = 'expression' THEN 'chemical reaction' WHEN type IN ('chart', 'table', 'molecule') THEN type ELSE 'figure' END AS shows, 'fr' AS ocr FROM blocks GROUP BY type""",
 }
