@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages, each an operator of folio.llm, applied to all documents that the one before kept.
 
 A stage is a function of (spark, docs, sf_dir); docs has the columns of documents, and so has the result of every stage
-but the last. Rows with a null doc_id pass the stages that decide by doc_id.
+but the last; other columns are left out. Stages decide by row, told by a hash of all its columns, so null and repeated
+doc_ids are treated like others; a null text is empty. Rows that repeat in all columns share what is decided for them.
+An empty table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,30 +23,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.below(docs, toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"))))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with `_row`, a hash that tells its rows apart."""
+    return docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in COLUMNS]))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    kept = stored(jaccard.similar(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))), "kept").where("doc_id is not null")
-    out = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    """Of each group of linked documents one row stays: that with the smallest doc_id (null last), then the smallest hash.
+    Documents without a word are linked with nothing and all stay."""
+    rows = keyed(docs)
+    found = stored(jaccard.similar(rows.select(F.col("_row").alias("doc_id"), "text")), "groups")
+    linked = found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    chosen = linked.distinct().join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    kept = rows.join(chosen.select("_row"), "_row", "left_semi")
+    if linked.groupBy("_row").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row"])
+    wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias("_row")).distinct()
+    return kept.unionByName(rows.join(wordless, "_row", "left_semi")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage like a benchmark item go."""
-    docs = docs.select(*COLUMNS)
-    bad = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    bad = decontam.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(bad.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number; one without words stays once."""
+    """Each document as often as the mix takes its words, to the nearest whole number; one without words stays once. Of
+    rows that are alike in doc_id, source and text, one stands for all, as often as all of them together."""
     docs = docs.select(*COLUMNS)
     documents, _, _ = mixing.mix(docs)
-    times = documents.select("row", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"))
-    times = times.groupBy("row").agg(F.max("times").alias("times")).where("times > 0")
-    return docs.withColumn("row", mixing.row_hash()).join(times, "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    often = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
+    times = stored(documents.groupBy("row").agg(F.sum(often).cast("int").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 0"), "times")
+    rows = docs.withColumn("row", mixing.row_hash())
+    if times.where("rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["row"])
+    return rows.join(times, "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
