@@ -23,7 +23,7 @@ from folio.llm.common import ascii_lower, stored
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.75, 20, 64
 #: A benchmark with more shingles than this isn't broadcast; Spark then joins by shuffling.
 SMALL = 1_000_000
-_LANES = 4  # 16-bit counters in a 64-bit sum
+_LANES = 2  # 32-bit counters in a 64-bit sum; a text has fewer shingles than a counter holds
 
 
 def words_of(text: Column) -> Column:
@@ -45,8 +45,8 @@ def shingles_of(words: Column, n: int) -> Column:
 
 
 def _fingerprint(shingle: Column) -> list[Column]:
-    """Sums from which `_bits` makes a SimHash: each adds up 4 bits' counts in 16-bit lanes."""
-    lane = 0x0001_0001_0001_0001
+    """Sums from which `_bits` makes a SimHash: each adds up two bits' counts in 32-bit lanes."""
+    lane = 0x0000_0001_0000_0001
     return [F.sum(F.shiftrightunsigned(shingle, k).bitwiseAND(F.lit(lane))).alias(f"_s{k}") for k in range(BITS // _LANES)]
 
 
@@ -55,8 +55,8 @@ def _bits(count: Column) -> Column:
     parts = []
     for k in range(BITS // _LANES):
         for lane in range(_LANES):
-            ones = F.shiftrightunsigned(F.col(f"_s{k}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            value = (1 << (16 * lane + k)) - (1 << 64 if 16 * lane + k == 63 else 0)
+            ones = F.shiftrightunsigned(F.col(f"_s{k}"), 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            value = (1 << (32 * lane + k)) - (1 << 64 if 32 * lane + k == 63 else 0)
             parts.append(F.when(ones * 2 > count, F.lit(value)).otherwise(F.lit(0)).cast("bigint"))
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
@@ -150,4 +150,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def op6_decontaminate(spark, sf_dir):
+    """Every document's passages that are like a benchmark item, the most similar window for each item."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -4,7 +4,8 @@ Documents are dealt to shards by ranges of doc_id and encoded in ascending order
 
 * `.bin`: the ids of its documents, one after the other, little-endian, 16 bits each where the vocabulary allows, else 32;
 * `.idx`: a JSON header line, then the arrays it names: the documents' keys in order of writing, the hash's bit arrays,
-  and for each hash slot a fingerprint, an offset and a length.
+  and for each hash slot a fingerprint, an offset and a length. Beside each bit array lies the number of bits set
+  before every 512th bit.
 
 The hash is built in levels: keys that fall alone into a level's bit array own that bit, the others go to the next
 level; a key's slot is the number of bits set before its own. That maps n keys to 0..n-1 without a gap, and a lookup
@@ -73,18 +74,44 @@ def build_index(keys: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+class Level:
+    """A bit array that tells a set bit's rank in constant time."""
+
+    def __init__(self, words: np.ndarray, size: int, before: np.ndarray):
+        self.words, self.size, self.before = words, size, before
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Level:
+        words = np.frombuffer(np.packbits(np.pad(bits, (0, -len(bits) % 512)), bitorder="little").tobytes(), "<u8")
+        counts = np.bitwise_count(words).reshape(-1, 8).sum(1)
+        return cls(words, len(bits), (np.cumsum(counts) - counts).astype("<u4"))
+
+    def total(self) -> int:
+        return int(self.before[-1]) + int(np.bitwise_count(self.words[-8:]).sum())
+
+    def has(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Bits set before each place."""
+        word, out = place >> 6, self.before[place >> 9].astype(np.int64)
+        for k in range(7):  # whole words of the place's block
+            out += np.where(k < (word & 7), np.bitwise_count(self.words[(word & ~7) + k]), 0)
+        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return out + np.bitwise_count(self.words[word] & below)
+
+
+def slots(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     """Each key's slot; -1 for a key that no level knows."""
     out = np.full(len(keys), -1, np.int64)
     open_, base = np.arange(len(keys)), 0
     for level, bits in enumerate(levels):
         if not len(open_):
             break
-        place = _level_place(keys[open_], level, len(bits))
-        before = np.cumsum(bits, dtype=np.int64)
-        hit = bits[place] == 1
-        out[open_[hit]] = base + before[place[hit]] - 1
-        base += int(before[-1])
+        place = _level_place(keys[open_], level, bits.size)
+        hit = bits.has(place)
+        out[open_[hit]] = base + bits.rank(place[hit])
+        base += bits.total()
         open_ = open_[~hit]
     return out
 
@@ -237,7 +264,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_bytes: int = SHARD_BYTES
     """Encode `docs` (doc_id, text; further columns are not read) and write the shards to the shared folder.
 
     Returns the manifest, a row for each shard: shard, path (without .bin or .idx), docs, tokens, first_doc, last_doc.
-    Documents are in ascending doc_id order (null first); repeated doc_ids are kept, ordered by text. Null or empty
+    Documents are in ascending doc_id order (null first); repeated doc_ids are kept, ordered by a hash of the text. Null or empty
     text has the end id alone. An empty table gives an empty manifest. `tokenizer` is a path that every executor can
     read, part of the installation. A task that is run again writes files of other names; the manifest names those of
     the run that succeeded.
@@ -247,7 +274,8 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_bytes: int = SHARD_BYTES
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    dealt = slim.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, however many, may lie in several shards
+    dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     schema = "shard int, path string, docs long, tokens long, first_doc long, last_doc long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,13 +306,13 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_bytes: int = SHARD_BYTES
         changed = np.flatnonzero(np.append(True, key_ids[1:] != key_ids[:-1]))
         nth = np.arange(len(key_ids)) - np.repeat(changed, np.diff(np.append(changed, len(key_ids))))
         keys = document_keys(key_ids, nth)
-        levels = build_index(keys)
+        levels = [Level.of(bits) for bits in build_index(keys)]
         slot = slots(levels, keys)
         print_, offset, length = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u8"), np.zeros(len(keys), "<u8")
         print_[slot], offset[slot], length[slot] = fingerprints(keys), np.cumsum(lengths) - lengths, lengths
         parts = {"doc_id": key_ids.astype("<i8"), "nth": nth.astype("<u4"), "fingerprint": print_, "offset": offset, "length": length}
-        parts |= {f"level{k}": np.packbits(bits) for k, bits in enumerate(levels)}
-        head = {"dtype": "<u4" if encoder.wide else "<u2", "bits": [len(x) for x in levels], "arrays": [[k, v.dtype.str, len(v)] for k, v in parts.items()]}
+        parts |= {f"level{k}": bits.words for k, bits in enumerate(levels)} | {f"rank{k}": bits.before for k, bits in enumerate(levels)}
+        head = {"dtype": "<u4" if encoder.wide else "<u2", "bits": [x.size for x in levels], "arrays": [[k, v.dtype.str, len(v)] for k, v in parts.items()]}
         with where.open_output_stream(f"{at}.idx") as f:
             f.write(json.dumps(head).encode() + b"\n")
             for v in parts.values():
@@ -307,7 +335,7 @@ class Shard:
         for name, dtype, n in head["arrays"]:
             self.parts[name] = np.frombuffer(raw, dtype, n, place)
             place += self.parts[name].nbytes
-        self.levels = [np.unpackbits(self.parts[f"level{k}"], count=n) for k, n in enumerate(head["bits"])]
+        self.levels = [Level(self.parts[f"level{k}"], n, self.parts[f"rank{k}"]) for k, n in enumerate(head["bits"])]
 
     def find(self, doc_ids: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offset and length in ids of each document; length -1 for those that aren't here."""
@@ -364,6 +392,7 @@ def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
 
 
 def op3_tokens(spark, sf_dir):
+    """Every document's ids as written to shards and read back from them."""
     import public_tokenizers
 
     manifest = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

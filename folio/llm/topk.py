@@ -26,7 +26,7 @@ SHARD_ROWS, BLOCK_ROWS, LEAST_SHARDS, LEAF_ROWS, STRIP = 8192, 4096, 24, 256, 51
 
 
 class KDTree:
-    """Tight boxes around median splits. Rows are int64 of any size that keeps products below 2**53."""
+    """Tight boxes around median splits. Rows are whole numbers of any size; vectors without a component are one leaf."""
 
     def __init__(self, rows: np.ndarray, leaf: int = LEAF_ROWS):
         self.order = np.arange(len(rows))
@@ -43,8 +43,8 @@ class KDTree:
         self.nodes.append((a, b, -1, -1))
         self.low.append(low)
         self.high.append(high)
-        widest = int(np.argmax(high - low))
-        if b - a > leaf and high[widest] > low[widest]:
+        widest = int(np.argmax(high - low)) if len(low) else 0
+        if b - a > leaf and len(low) and high[widest] > low[widest]:
             middle = (a + b) // 2
             self.order[a:b] = self.order[a:b][np.argpartition(own[:, widest], middle - a)]
             self.nodes[at] = (a, b, self._grow(a, middle, leaf), self._grow(middle, b, leaf))
@@ -68,17 +68,28 @@ class KDTree:
         return leaves
 
 
+def _upwards(bounds: np.ndarray, exact) -> np.ndarray:
+    """Bounds as floats that are never below them."""
+    out = bounds.astype(np.float64)
+    return out if exact in (np.float32, np.float64) else np.nextafter(out, np.inf)
+
+
+def _long(score: np.ndarray) -> np.ndarray:
+    """Scores as longs; those beyond a long's range as its ends."""
+    if score.dtype != object:
+        return score.astype(np.int64)
+    ends = np.iinfo(np.int64)
+    return np.array([[min(max(int(x), ends.min + 2), ends.max) for x in row] for row in score], np.int64).reshape(score.shape)
+
+
 def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the k best of this shard that aren't below its kth score so far: query index, vec_id, score."""
     by_id = np.argsort(ids, kind="stable")
     ids, rows = ids[by_id], rows[by_id]
-    top = max(int(np.abs(rows).max(initial=0)), 1) * max(int(np.abs(queries).max(initial=0)), 1) * max(rows.shape[1], 1)
-    if top < 1 << 24:
-        exact = np.float32  # whole numbers below 2**24 are exact
-    elif top < 1 << 52:
-        exact = np.float64
-    elif top >= 1 << 62:
-        raise OverflowError("products exceed 64 bits")
+    most = lambda x: max(1, int(x.max(initial=0)), -int(x.min(initial=0)))  # noqa: E731  # the lowest long has no positive
+    top = most(rows) * most(queries) * max(rows.shape[1], 1)
+    # whole numbers below 2**24 and 2**52 are exact as floats; products beyond 64 bits are made of Python's integers
+    exact = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 52 else np.int64 if top < 1 << 62 else object
     tree = KDTree(rows)
     cast, n = rows.astype(exact), len(rows)
     low, high = tree.low.astype(exact), tree.high.astype(exact)
@@ -88,7 +99,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     for a in range(0, len(queries), STRIP):
         q, own_ids = queries[a : a + STRIP].astype(exact), query_ids[a : a + STRIP]
         limit = kth[a : a + STRIP].astype(np.float64)
-        bounds = tree.bounds(q).astype(np.float64)
+        bounds = _upwards(tree.bounds(q), exact)
         open_ = tree.reachable_leaves(bounds, limit)
         leaves = np.flatnonzero(open_.any(0))
         # best first: each query's leaves in order of their bounds
@@ -104,7 +115,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
                 who = np.flatnonzero(go & (leaf_of == leaf))
                 first, end = tree.nodes[leaf][:2]
                 members = tree.order[first:end]
-                score = (q[who] @ cast[members].T).astype(np.int64)
+                score = _long(q[who] @ cast[members].T)
                 take = (score >= limit[who, None]) & (ids[members][None, :] != own_ids[who, None])
                 for i in np.flatnonzero(take.any(1)):
                     j = np.flatnonzero(take[i])
@@ -113,7 +124,7 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
                     keep = np.lexsort((m, -s))[:k]  # rows are in order of vec_id
                     best_score[who[i]], best_row[who[i]] = s[keep], m[keep]
                     if s[keep[-1]] > none:
-                        limit[who[i]] = max(limit[who[i]], float(s[keep[-1]]))
+                        limit[who[i]] = max(limit[who[i]], np.nextafter(float(s[keep[-1]]), -np.inf) if abs(int(s[keep[-1]])) >= 1 << 53 else float(s[keep[-1]]))
         qi, slot = np.nonzero(best_row < n)
         found.append((qi + a, ids[best_row[qi, slot]], best_score[qi, slot]))
     if not found:
@@ -122,12 +133,17 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.int64).reshape(len(vectors), -1)
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
     Both frames have vec_id and vector (array<bigint>). Rows with a null vec_id, a null vector or a null component take
     no part; a query meets candidates of its own length only, and never those with its own vec_id. Repeated candidates
     are ranked each. A query with fewer candidates gets all; with none, no row. Empty tables give an empty result.
+    Vectors without a component score 0 with each other. A score beyond a long's range counts as its end.
     """
     valid = lambda df: df.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())).select(F.col("vec_id").cast("long").alias("vec_id"), "vector", F.size("vector").alias("dims"))
     candidates, queries = stored(valid(candidates), "vectors"), stored(valid(queries), "queries")
@@ -144,7 +160,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if not len(own) or not len(ask):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         kth = ask.kth.to_numpy(np.float64)
-        qi, vec, score = search_shard(own.vec_id.to_numpy(np.int64), np.stack(own.vector.to_numpy()).astype(np.int64), ask.vec_id.to_numpy(np.int64), np.stack(ask.vector.to_numpy()).astype(np.int64), kth, k)
+        qi, vec, score = search_shard(own.vec_id.to_numpy(np.int64), _stacked(own.vector), ask.vec_id.to_numpy(np.int64), _stacked(ask.vector), kth, k)
         return pd.DataFrame({"query_id": ask.vec_id.to_numpy(np.int64)[qi], "vec_id": vec, "score": score})
 
     def wave(own: DataFrame, ask: DataFrame) -> DataFrame:
@@ -155,7 +171,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     first = stored(wave(dealt.where(F.col("shard") == home), asked.select("*", home.alias("shard"), F.lit(None).cast("double").alias("kth"))), "first")
     # a query has k rows of the first wave at most
-    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("low")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("low").alias("kth"))
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.when(F.abs(F.col("low")) < 2**53, F.col("low").cast("double")).otherwise(F.col("low").cast("double") - F.abs(F.col("low").cast("double")) * 2.0**-50).alias("kth"))
     rest = asked.join(kth, "vec_id", "left").select("*", everywhere("shard", shards)).where(F.col("shard") != home)
     later = wave(dealt.where(F.col("shard") != home), rest)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -163,6 +179,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 
 def op1_topk(spark, sf_dir):
+    """Vectors of floor(64 * x); those that are null or hold a component that is null or not finite take no part."""
     x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     whole = x.where(~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     vectors = whole.select("vec_id", F.transform("embedding", lambda e: F.floor(e.cast("double") * 64).cast("long")).alias("vector"))
