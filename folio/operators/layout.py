@@ -33,6 +33,15 @@ def side(blocks: DataFrame, p: str, *more: str) -> DataFrame:
     return blocks.select(*PAGE, *[F.col(c).alias(f"{p}{c}") for c in ("block", "x1", "y1", "x2", "y2", *more)])
 
 
+def page_pairs(blocks: DataFrame, *more: str) -> DataFrame:
+    """token, page and all ordered pairs of a page's blocks, as a_ and b_ columns: a page's blocks meet in one array, which
+    costs one scan and one shuffle where a join of blocks with themselves costs two."""
+    cols = ("block", "x1", "y1", "x2", "y2", *more)
+    page = blocks.groupBy(*PAGE).agg(F.collect_list(F.struct(*cols)).alias("all"))
+    pairs = page.select(*PAGE, "all", F.explode("all").alias("a")).select(*PAGE, "a", F.explode("all").alias("b"))
+    return pairs.select(*PAGE, *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in cols])
+
+
 def parents(blocks: DataFrame, least: float = 0.95) -> DataFrame:
     """token, page, block, parent: the nearest larger block of a holding type that has `least` of the block's area
     inside; -1 if none does. Ties go to the smaller block number."""
@@ -84,7 +93,7 @@ def column_types(blocks: DataFrame, height: float = 1024.0) -> DataFrame:
     top, bottom = (lambda p: F.col(f"{p}y1") * height + 3), (lambda p: F.col(f"{p}y2") * height - 3)
     both = F.greatest(F.least(bottom("a_"), bottom("b_")) - F.greatest(top("a_"), top("b_")), F.lit(0.0))
     share = F.when(F.col("a_block") != F.col("b_block"), both / ((bottom("a_") - top("a_")) + (bottom("b_") - top("b_")) - both))
-    rows = side(blocks, "a_").join(side(blocks, "b_"), PAGE).groupBy(*PAGE, "a_block").agg(F.max(share).alias("share"), F.first("a_x1").alias("x1"), F.first("a_x2").alias("x2"))
+    rows = page_pairs(blocks).groupBy(*PAGE, "a_block").agg(F.max(share).alias("share"), F.first("a_x1").alias("x1"), F.first("a_x2").alias("x2"))
     page = rows.groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("n_items"), F.coalesce(F.avg("share"), F.lit(0.0)).alias("y"), F.median(F.col("x2") - F.col("x1")).alias("w"), (F.max("x2") - F.min("x1")).alias("extent")
     )

@@ -39,8 +39,7 @@ def bbox_rotate(spark, sf_dir):
 
 
 def axis_iou_pairs(spark, sf_dir):
-    b = blocks(spark, sf_dir)
-    near = L.side(b, "a_").join(L.side(b, "b_"), L.PAGE).where("a_block < b_block")
+    near = L.page_pairs(blocks(spark, sf_dir)).where("a_block < b_block")
     return near.select("token", "page", "a_block", "b_block", G.axis_iou("a_", "b_", "x").alias("iou_x"), G.axis_iou("a_", "b_", "y").alias("iou_y"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions.geometry import area, intersection, iou
 from folio.functions.render import render
-from folio.plans import figures, groups, layout, orders, probes, qa, rich, shapes, texts, trees
+from folio.operators.layout import page_pairs
+from folio.plans import figures, groups, layout, orders, probes, qa, records, rich, shapes, texts, trees
 from folio.sources.blocks import BLOCKS_SQL, blocks
 
 #: Page furniture that rendering leaves out (fixed values).
@@ -30,10 +31,7 @@ def bbox_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of blocks of a page; a page is bounded, so an equal-join on (token, page) is."""
-    b = blocks(spark, sf_dir).drop("text", "type")
-    side = lambda p: b.select("token", "page", *[F.col(c).alias(f"{p}{c}") for c in ("block", "x1", "y1", "x2", "y2")])
-    return side("a_").join(side("b_"), ["token", "page"])
+    return page_pairs(blocks(spark, sf_dir))
 
 
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +79,6 @@ SQL = {
     "job_state_final": "SELECT user_id, CASE last(event_type ORDER BY ts, event_id) WHEN 'signup' THEN 'undefined' WHEN 'view' THEN 'waiting' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'success' ELSE 'error' END AS state, count(*) AS n_events FROM events GROUP BY user_id",
 }
 
-for _more in (layout, qa, texts, trees, rich, groups, shapes, figures, orders, probes):
+for _more in (layout, qa, texts, trees, rich, groups, shapes, figures, orders, probes, records):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL

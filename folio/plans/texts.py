@@ -49,8 +49,8 @@ def stripped_texts(spark, sf_dir):
 def chart_rows(spark, sf_dir):
     """Documents read as charts, a line a row and a space between cells: rows with their cells; rows without any go."""
     d = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
-    cells = F.transform(F.split(F.regexp_replace(F.translate("line", " ", "|"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.nullif(F.trim(c), F.lit("")))
-    rows = d.select("doc_id", "row", cells.alias("cells")).where(F.exists("cells", lambda c: c.isNotNull()))
+    cells = F.transform(F.split(F.trim(F.translate("line", " ", "|"), F.lit("|")), r"\|"), lambda c: F.nullif(c, F.lit("")))
+    rows = d.where(F.col("line").rlike("[^ |]")).select("doc_id", "row", cells.alias("cells"))
     return rows.select("doc_id", "row", F.size("cells").alias("n_cells"), F.size(F.filter("cells", lambda c: c.isNull())).alias("n_empty"), F.element_at("cells", -1).alias("last"))
 
 

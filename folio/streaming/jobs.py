@@ -72,3 +72,13 @@ def first_callbacks(calls: DataFrame, key: str = "idempotency_key", ts: str = "t
         return calls.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
     cols = calls.columns
     return calls.groupBy(key).agg(F.min(F.struct(ts, *[c for c in cols if c not in (key, ts)])).alias("r")).select(*[F.col(c) if c == key else F.col(f"r.{c}") for c in cols])
+
+
+def retained(rows: DataFrame, ts: str, now: str, hours: int = 24) -> DataFrame:
+    """Rows that are kept at `now` (a column): those not older than `hours`. Results are kept a day, usage records 14."""
+    return rows.where(F.col(ts) >= F.col(now) - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def capped(requests: DataFrame, most: int = 5) -> DataFrame:
+    """Requests dealt over `most` tasks at most, so that a connector run on each row has no more of them open at once."""
+    return requests.coalesce(most)
