@@ -45,11 +45,19 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table in the shared folder and read back: lineage ends here and any executor can read it."""
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """`df` written as a table in the shared folder and read back: lineage ends here and any executor can read it.
+    batch: rows that are sent to Python at a time while it is written, where rows are large."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch:
+            spark.conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

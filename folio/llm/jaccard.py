@@ -27,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm import bytehash
-from folio.llm.common import lookup, stored
+from folio.llm import bytehash, common
+from folio.llm.common import lookup
 from folio.llm.components import components
 
 WORDS = 5
 #: Similarity as a fraction: common * PER >= PART * union.
 PART, PER = 75, 100
 #: Bytes of text handled at a time; shingles of a chunk, and of a range of the matrix, about.
-STEP, CHUNK, RANGE = 1 << 20, 1 << 21, 1 << 21
+STEP, CHUNK, RANGE = 1 << 18, 1 << 19, 1 << 19
+#: Rows with texts or sets that are sent to Python at a time.
+BATCH = 500
 #: So many ids are sent to every task instead of shuffling the sets.
 FEW = 1_000_000
 #: Bands of two smallest shingles by which nodes meet at first.
@@ -76,6 +78,10 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield a, b, value, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return common.stored(df, name, BATCH)
+
+
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The sum over each run; 0 for an empty one."""
     out = np.zeros(len(offsets) - 1, np.uint64)
