@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
+from folio.functions import kinds as K
+from folio.functions import render as R
 from folio.functions import text as T
-from folio.functions.render import render
+from folio.functions.render import MARKS, render
 from folio.plans.texts import _render_sql
 from folio.sources.blocks import BLOCKS_SQL, blocks
 
@@ -92,7 +94,25 @@ def wrapped_documents(spark, sf_dir):
     return out.select("token", *[F.sha2(whole(f), 256).alias(f) for f in ("plain", "markdown", "latex", "html")], T.parse_mode("textual", alias).alias("textual"), T.parse_mode("chart", alias).alias("chart"), T.mode_alias(T.parse_mode("textual", alias)).alias("alias"))
 
 
-QUERIES = {f.__name__: f for f in (bbox_moves, box_pairs, page_units, clamped_boxes, lanes_and_bars, quoted_texts, image_references, wrapped_documents)}
+def _shown_blocks(spark, sf_dir):
+    """Every fifth block an algorithm, every seventh without a text but with a source."""
+    b, k = blocks(spark, sf_dir), F.col("page") * 12 + F.col("block")
+    return b.select(*PAGE, "block", F.when(k % 5 == 3, "algorithm").otherwise(F.col("type")).alias("type"), F.when(k % 7 == 2, F.lit("")).otherwise(F.concat("text", F.lit("\n"))).alias("text"), F.when(k % 2 == 0, F.lit("img/a 1.png")).otherwise(F.lit("")).alias("source"))
+
+
+def formatted_blocks(spark, sf_dir):
+    """Each block as part of a document in all formats, and in markup."""
+    b = _shown_blocks(spark, sf_dir)
+    return b.select(*PAGE, "block", R.render_all("markup").alias("markup"), *[R.format_as(f, F.col("source")).alias(f) for f in ("plain", "markdown", "latex", "html")])
+
+
+def configured_blocks(spark, sf_dir):
+    """Texts in Markdown, figures in HTML as links, charts in Markdown with their data; no page furniture."""
+    b = _shown_blocks(spark, sf_dir)
+    return b.select(*PAGE, "block", R.format_by({"textual": "markdown", "figure": "html", "chart": "markdown"}, {"figure": "link", "chart": "base64"}, F.col("source"), marginalia=False).alias("shown"))
+
+
+QUERIES = {f.__name__: f for f in (formatted_blocks, configured_blocks, bbox_moves, box_pairs, page_units, clamped_boxes, lanes_and_bars, quoted_texts, image_references, wrapped_documents)}
 
 _W = f"WITH {BLOCKS_SQL}"
 _each = lambda f: ", ".join(f(c) for c in G.CORNERS)
@@ -116,7 +136,28 @@ def _modes_sql(field: str) -> str:
     return f"CASE coalesce(alias, '{T.PAPER[field]}') {known} END"
 
 
+_SHOWN = f"""{_W}, s AS (SELECT token, page, block, CASE WHEN (page * 12 + block) % 5 = 3 THEN 'algorithm' ELSE type END AS type, CASE WHEN (page * 12 + block) % 7 = 2 THEN '' ELSE text || chr(10) END AS text, CASE WHEN (page * 12 + block) % 2 = 0 THEN 'img/a 1.png' ELSE '' END AS source FROM blocks),
+r AS (SELECT *, {', '.join(map(_render_sql, ('plain', 'markdown', 'latex', 'html')))}, text = '' AND source <> '' AS e FROM s)"""
+_bare = "rtrim(text, chr(10))"
+_code = {
+    "markdown": f"'```' || chr(10) || {_bare} || chr(10) || '```'",
+    "latex": f"'\\begin{{verbatim}}' || chr(10) || {_bare} || chr(10) || '\\end{{verbatim}}'",
+    "html": "'<pre class=\"algorithm\"><code>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</code></pre>'",
+    "plain": "plain",
+}
+_image = {"markdown": "'![' || type || '](<' || source || '>)'", "latex": "'\\includegraphics[width=0.5\\textwidth]{img/a%201.png}'", "html": "'<img src=''' || source || ''' alt=''' || type || '''/>'", "plain": "''"}
+_whole = lambda f: f"CASE WHEN type = 'algorithm' THEN {_code[f]} ELSE {f} END"
+
+
+def _format_sql(f: str) -> str:
+    end = {"markdown": "chr(10)", "latex": "chr(10)", "html": "'<br>'", "plain": "''"}[f]
+    return f"CASE WHEN type IN {('section', *MARKS)} THEN '' ELSE {_whole(f)} || CASE WHEN e THEN {_image[f]} ELSE '' END || {end} END AS {f}"
+
+
 SQL = {
+    "formatted_blocks": f"""{_SHOWN} SELECT token, page, block, CASE WHEN type IN {MARKS} THEN '<' || type || '>' WHEN type IN ('text', 'paragraph') THEN text ELSE '\\begin{{' || type || '}}' || chr(10) || text || chr(10) || '\\end{{' || type || '}}' END AS markup, {', '.join(map(_format_sql, ('plain', 'markdown', 'latex', 'html')))} FROM r""",
+    "configured_blocks": f"""{_SHOWN} SELECT token, page, block, CASE WHEN type IN {K.MARGINALIA} OR type IN {('section', *MARKS)} THEN '' WHEN type = 'figure' THEN html || CASE WHEN e THEN '<img src=''' || source || ''' alt=''figure''/>' ELSE '' END || '<br>'
+  WHEN type = 'chart' THEN markdown || CASE WHEN e THEN '![chart](data:image/png;base64,' || source || ')' ELSE '' END WHEN type IN {K.TEXTUAL} THEN {_whole('markdown')} ELSE '' END AS shown FROM r""",
     "bbox_moves": f"""{_W}, p AS (SELECT token, page, block, {_each(lambda c: f"{c} * 100 AS {c}")} FROM blocks) SELECT token, page, block, {_each(lambda c: f"{c} * {2.0 if c[0] == 'x' else 0.5}::DOUBLE AS scaled_{c}")}, {_each(lambda c: f"{c} + {-16.0 if c[0] == 'x' else 8.0}::DOUBLE AS shifted_{c}")},
 {_each(lambda c: f"CAST(round_even({c}, 0) AS BIGINT) AS round_{c}")}, {_each(lambda c: f"CAST(trunc({c}) AS BIGINT) AS int_{c}")}, {_each(lambda c: f"CAST(ceil({c}) AS BIGINT) AS ceil_{c}")}, {_each(lambda c: f"CAST(floor({c}) AS BIGINT) AS floor_{c}")} FROM p""",
     "box_pairs": f"""{_W}, n AS (SELECT token, page, block, {_each(lambda c: f"{c} AS a_{c}")}, {_each(lambda c: f"lead({c}) OVER (PARTITION BY token, page ORDER BY block) AS b_{c}")} FROM blocks)
