@@ -39,7 +39,7 @@ def image_sizes(spark, sf_dir):
     b = blocks(spark, sf_dir).select(*PAGE, "block", _content().alias("raw")).withColumn("b64", F.base64("raw"))
     found = b.select("*", images.image_size(F.col("raw")).alias("s"), images.image_size_of_base64(F.col("b64")).alias("t"))
     kind = images.file_kind(F.when(F.col("block") % 4 == 3, F.lit("a.PDF")).otherwise(F.lit("a")), F.col("raw"))
-    return found.select(*PAGE, "block", F.col("s.format").alias("format"), F.col("s.width").alias("width"), F.col("s.height").alias("height"), F.col("t").eqNullSafe(F.col("s")).alias("same"), images.is_image(F.col("raw")).alias("is_image"), kind.alias("kind"))
+    return found.select(*PAGE, "block", F.coalesce("s.format", F.lit("none")).alias("format"), F.coalesce("s.width", F.lit(0)).alias("width"), F.coalesce("s.height", F.lit(0)).alias("height"), F.col("t").eqNullSafe(F.col("s")).alias("same"), images.is_image(F.col("raw")).alias("is_image"), F.coalesce(kind, F.lit("none")).alias("kind"))
 
 
 def nested_pages(spark, sf_dir):
@@ -51,6 +51,6 @@ def nested_pages(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (image_sizes, nested_pages)}
 SQL = {
     "image_sizes": f"""WITH {BLOCKS_SQL}, s AS (SELECT token, page, block, block % 9 AS k, CAST(round((x2 - x1) * 1024) AS INTEGER) AS w, CAST(round((y2 - y1) * 1024) AS INTEGER) AS h FROM blocks)
-SELECT token, page, block, CASE k WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 3 THEN 'jpg' WHEN 4 THEN 'webp' WHEN 5 THEN 'tiff' WHEN 6 THEN 'ico' END AS format, CASE WHEN k < 6 THEN w WHEN k = 6 THEN 32 END AS width, CASE WHEN k < 6 THEN h WHEN k = 6 THEN 256 END AS height,
-true AS same, k < 8 AS is_image, CASE WHEN block % 4 = 3 THEN 'pdf' WHEN k < 8 THEN 'snip' END AS kind FROM s""",
+SELECT token, page, block, CASE k WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 3 THEN 'jpg' WHEN 4 THEN 'webp' WHEN 5 THEN 'tiff' WHEN 6 THEN 'ico' ELSE 'none' END AS format, CASE WHEN k < 6 THEN w WHEN k = 6 THEN 32 ELSE 0 END AS width, CASE WHEN k < 6 THEN h WHEN k = 6 THEN 256 ELSE 0 END AS height,
+true AS same, k < 8 AS is_image, CASE WHEN block % 4 = 3 THEN 'pdf' WHEN k < 8 THEN 'snip' ELSE 'none' END AS kind FROM s""",
 }
