@@ -12,8 +12,10 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles; equ
    chunk's part of the group is opened. A shingle goes into a range once for each chunk and group, and once for all of
    a chunk's groups where several have it: no shingle's rows are in proportion to its documents.
 3. Of the opened nodes' shingles those stay that several groups have, rare ones first. Two similar nodes share one of
-   the first n - ceil(t * n) + 1 of each. Nodes of different groups that share such a one, and whose sizes and shared
-   shingles allow the similarity at all, are checked: by sketches, then exactly.
+   the first n - ceil(t * n) + 1 of each. Of shingles that the same nodes have one is enough. Nodes of different groups
+   that share such a one are compared by size, by the shingles that they share with others, and by sketches, where they
+   meet. Only a forest of those that may be similar leaves the task and is checked exactly; then all whose ends the
+   checked links haven't joined.
 
 So no link between groups is lost, and links inside a group change no component.
 """
@@ -347,9 +349,9 @@ def open_units(ranges: DataFrame, parts: int) -> DataFrame:
     return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(decide, "rid long")
 
 
-def pairs_across(members: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes of different groups that may be similar, by 3. of the module. members: rid, group, n,
-    shingles of the opened nodes."""
+def deciding(members: DataFrame) -> DataFrame:
+    """shingle, node, n, has: the shingles of the opened nodes that decide, by 3. of the module, and how many of a node's
+    other groups have. members: rid, group, n, shingles of the opened nodes."""
     row = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("group", pa.int64()), ("n", pa.int64())])
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,42 +368,95 @@ def pairs_across(members: DataFrame) -> DataFrame:
     own = Window.partitionBy("node")
     shared = shared.select("*", F.row_number().over(own.orderBy("df", "shingle")).alias("nth"), F.count(F.lit(1)).over(own).alias("has"))
     least = F.ceil(F.col("n") * PART / PER)
-    decide = stored(shared.where(F.col("nth") <= F.col("has") - least + 1).select("shingle", "node", "group", "n", "has"), "decide")
+    decide = stored(shared.where(F.col("nth") <= F.col("has") - least + 1).select("shingle", "node", "n", "has"), "decide")
+    # shingles of the same nodes count once; their nodes are told by a sum of hashes and their number
+    held = decide.groupBy("shingle").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    one = stored(held.groupBy("who", "_n").agg(F.min("shingle").alias("shingle")), "shingles")
+    return lookup(decide, one.select("shingle"), "shingle", one).select("shingle", "node", "n", "has")
+
+
+class Joined:
+    """Which nodes a task's own pairs have joined so far."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(nodes), np.int64)
+        for k, x in enumerate(nodes.tolist()):
+            while x in self.root:
+                x = self.root[x]
+            out[k] = x
+        return out
+
+    def forest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs that join what wasn't joined; a pair for each smaller root a round."""
+        left, out = np.arange(len(a)), [np.zeros(0, np.int64)]
+        while len(left):
+            nodes, at = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True)
+            x, y = np.split(self.of(nodes)[at], 2)
+            apart = x != y
+            left, low, high = left[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            _, first = np.unique(high, return_index=True)
+            self.root.update(zip(high[first].tolist(), low[first].tolist()))
+            out.append(left[first])
+            left = np.delete(left, first)
+        return np.concatenate(out)
+
+
+def meet(decide: DataFrame, nodes: DataFrame, label: DataFrame, all_pairs: bool) -> DataFrame:
+    """a, b (a < b): pairs of nodes of different groups that share a deciding shingle and may be similar: a forest of them
+    for each task, or `all_pairs`. decide: shingle, node, n, has; nodes: node, sketch; label: node, group, for nodes that
+    aren't alone in their group."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def meet(node, group, n, has) -> np.ndarray:
-        """Pairs of one shingle's nodes, a strip of nodes against all that come after it."""
-        found = [np.zeros((0, 2), np.int64)]
-        for k in range(0, len(node), 256):
-            i, j = np.arange(k, min(k + 256, len(node))), np.arange(k, len(node))
-            most = np.minimum(has[i][:, None], has[j][None, :])
-            ok = (group[i][:, None] != group[j][None, :]) & (PER * most >= PART * (n[i][:, None] + n[j][None, :] - most)) & (node[i][:, None] < node[j][None, :])
-            x, y = np.nonzero(ok)
-            found.append(np.stack([node[i[x]], node[j[y]]], 1))
-        return np.concatenate(found)
+    def near_pairs(node, group, n, has, sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of one shingle's nodes: all pairs by the sketch bits of the one with fewer, a strip of nodes at a time."""
+        bits = np.array([8 * len(x) for x in sketches])
+        out = []
+        for own in np.unique(bits):
+            rows, others = np.flatnonzero(bits == own), np.flatnonzero(bits >= own)
+            others = others[n[others] * PART <= n[rows].max() * PER]
+            words = np.stack([fold(sketches[k], int(own)) for k in others])
+            place = np.searchsorted(others, rows)
+            step = max(1, (1 << 21) // max(1, words.size))
+            for k in range(0, len(rows), step):
+                i, w = rows[k : k + step], words[place[k : k + step]]
+                most = np.minimum(has[i][:, None], has[others][None, :])
+                both = n[i][:, None] + n[others][None, :]
+                ok = (group[i][:, None] != group[others][None, :]) & (PER * most >= PART * (both - most)) & ((bits[others] > own)[None, :] | (node[i][:, None] < node[others][None, :]))
+                x, y = np.nonzero(ok)
+                differ = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(w[x[c : c + 65536]] ^ words[y[c : c + 65536]]).sum(1).astype(np.int64) for c in range(0, len(x), 65536))])
+                keep = may_link(n[i[x]], n[others[y]], differ)
+                out.append((i[x[keep]], others[y[keep]]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 5
-
-        def pairs(columns) -> pa.RecordBatch:
-            s, node, *others = columns
-            order = np.lexsort((node, s))
-            s, node, others = s[order], node[order], [c[order] for c in others]
-            edge = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)]), len(s))
-            found = np.concatenate([np.zeros((0, 2), np.int64), *(meet(node[x:y], *(c[x:y] for c in others)) for x, y in zip(edge, edge[1:]) if y - x > 1)])
-            found = np.unique(found, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=names)
+        joined, rows, now = Joined(), [], None
+
+        def finish() -> pa.RecordBatch:
+            node, n, has, sketches, group = zip(*rows)
+            node = np.array(node, np.int64)
+            i, j = (np.concatenate(c) for c in zip(*near_pairs(node, np.array(group, np.int64), np.array(n, np.int64), np.array(has, np.int64), sketches)))
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if not all_pairs:
+                chosen = joined.forest(a, b)
+                a, b = a[chosen], b[chosen]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=names)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            both = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns)]
-            last = int(np.searchsorted(both[0], both[0][-1]))  # the last shingle may go on
-            rest = [c[last:] for c in both]
-            yield pairs([c[:last] for c in both])
-        yield pairs(rest)
+            for shingle, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if shingle != now and len(rows) > 1:
+                    yield finish()
+                if shingle != now:
+                    now, rows = shingle, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield finish()
 
-    return decide.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
+    told = lookup(decide, nodes.select("node", "sketch"), "node").join(label, "node", "left")
+    dealt = told.select("shingle", "node", "n", "has", "sketch", F.coalesce("group", "node").alias("group")).repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -419,9 +474,10 @@ def similar(docs: DataFrame) -> DataFrame:
     nodes = stored(full.select(F.col("rid").alias("node"), "n", "sketch", "keys").join(equal.select("node"), "node", "left_semi"), "nodes")
     sets = known.select("rid", "n", "shingles")
     links = stored(groups(nodes, sets), "links")
-    label = stored(components(links).select(F.col("node").alias("rid"), F.col("root").alias("group")), "groups")
+    label = stored(components(links).select("node", F.col("root").alias("group")), "groups")
     # nodes that aren't alone in their group, and copies of nodes, which the matrix leaves out
-    tags = stored(label.unionByName(members.where("rid != node").select("rid", F.lit(-1).cast("long").alias("group"))), "tags")
+    tags = label.select(F.col("node").alias("rid"), "group").unionByName(members.where("rid != node").select("rid", F.lit(-1).cast("long").alias("group")))
+    tags = stored(tags, "tags")
     few = F.broadcast if tags.count() <= FEW else (lambda x: x)
     tagged = sets.where("n > 0").join(few(tags), "rid", "left").where("coalesce(group, 0) >= 0")
     tagged = tagged.select("rid", F.coalesce("group", "rid").alias("group"), F.col("group").isNull().alias("alone"), "n", "shingles")
@@ -429,12 +485,17 @@ def similar(docs: DataFrame) -> DataFrame:
     bits = max(5, (total // RANGE).bit_length())
     opened = stored(open_units(matrix_ranges(tagged, bits), 1 << bits), "open")
     few = F.broadcast if opened.count() <= FEW else (lambda x: x)
-    found = stored(pairs_across(tagged.join(few(opened), "rid", "left_semi")), "across")
-    close = stored(near(found, nodes).select("a", "b"), "near")
-    if close.limit(1).count():
-        label = components(links.unionByName(stored(check_pairs(close, sets), "links"))).select(F.col("node").alias("rid"), F.col("root").alias("group"))
-        label = stored(label, "groups")
-    label = label.select(F.col("rid").alias("node"), F.col("group").alias("root"))
+    decide = stored(deciding(tagged.join(few(opened), "rid", "left_semi")), "decide")
+    tried = None
+    for all_pairs in (False, True):
+        pairs = meet(decide, nodes, label, all_pairs)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "across")
+        if not pairs.limit(1).count():
+            break
+        found = stored(check_pairs(pairs, sets), "links")
+        links, tried = links.unionByName(found), pairs
+        label = stored(components(links).select("node", F.col("root").alias("group")), "groups")
+    label = label.withColumnRenamed("group", "root")
     rooted = equal.join(label, "node", "left").select("node", "first", "_n", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     of_node = stored(lookup(rooted.select("node", "root"), least.select("root", "component_id"), "root", least).select("node", "component_id"), "components")
