@@ -37,7 +37,7 @@ WORDS = 5
 #: Similarity as a fraction: common * PER >= PART * union.
 PART, PER = 75, 100
 #: Bytes of text handled at a time; shingles of a chunk, and of a range of the matrix, about.
-STEP, CHUNK, RANGE = 1 << 18, 1 << 19, 1 << 19
+STEP, CHUNK, RANGE = 1 << 16, 1 << 19, 1 << 19
 #: Rows with texts or sets that are sent to Python at a time.
 BATCH = 500
 #: So many ids are sent to every task instead of shuffling the sets.

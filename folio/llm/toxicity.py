@@ -43,8 +43,8 @@ BEGINNINGS, MOST = (3, 4, 5, 6, 8), 8000
 #: (lower end of the interval).
 SUPPORT, PRECISION = 4, 0.6
 THRESHOLD = 0.3
-#: Characters handled at a time; features that a task holds before it adds them up.
-STEP, MERGE = 1 << 20, 1 << 20
+#: Characters and rows handled at a time; features that a task holds before it adds them up.
+STEP, ROWS, MERGE = 1 << 18, 500, 1 << 20
 _WORD = np.ones(256, bool)
 _WORD[[c for c in range(128) if not chr(c).isalnum()]] = False
 
@@ -324,6 +324,13 @@ def _scorer(features: np.ndarray, weights: np.ndarray, bias: float):
     return whole
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ROWS at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of `docs` (doc_id, text; further columns are not read). A null or empty text has the
     score of no feature. Repeated rows are scored each. An empty table gives an empty result."""
@@ -331,7 +338,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(*shared.value)
-        for batch in batches:
+        for batch in _few(batches):
             found = scorer([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
@@ -344,7 +351,7 @@ def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(*shared.value)
-        for batch in batches:
+        for batch in _few(batches):
             found = scorer([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             yield batch.filter(pa.array(found < threshold))
 
