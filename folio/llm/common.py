@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 256
 #: Rows of a bucket that one task takes without trouble; a key with more rows than HOT is dealt over several tasks.
 BUCKET_ROWS, HOT = 50_000, 4096
+#: Bytes of rows that are sent to Python at a time.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,18 +48,23 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-    """`df` written as a table in the shared folder and read back: lineage ends here and any executor can read it.
-    batch: rows that are sent to Python at a time while it is written, where rows are large."""
+    """`df` written to the shared folder and read again: its lineage ends there, so an executor that is lost costs only
+    what it was working on. Rows are sent to Python by BATCH_BYTES at a time while it is written, and by `batch` of them
+    at most, so a worker's memory is bound by bytes, whatever the rows' size."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    if batch:
+        before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        limits["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(min(batch, before) if before > 0 else batch)
+    kept = {k: spark.conf.get(k) for k in limits}
     try:
-        if batch:
-            spark.conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
+        for k, v in limits.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,17 +77,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, rows: DataFrame | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """`left` joined with `right`, which has one row for each key. Of a key that has more than HOT rows in `left`, right's
     row is copied and left's rows are dealt over the copies, so no task takes them all. rows: key and _n, the number of
-    its rows in `left`, or rows of left to count. What is broadcast is one row for every HOT rows of `left` at most."""
+    its rows in `left`, or rows of left to count. What is broadcast is one row for every HOT rows of `left` at most. how: inner or left."""
     if rows is None or "_n" not in rows.columns:
         rows = (left if rows is None else rows).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(rows.where(F.col("_n") > HOT).select(key, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts")))
     dealt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.col("_parts"))).cast("int")
     one = left.join(hot, key, "left").withColumn("_copy", dealt).drop("_parts")
     two = right.join(hot, key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return one.join(two, [key, "_copy"]).drop("_copy")
+    return one.join(two, [key, "_copy"], how).drop("_copy")
 
 
 def buckets_for(rows: int) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import chat, decontam, fim, jaccard, langid, mixing, sharding, suffixes, tokens, topk, toxicity
+from folio.llm import chat, decontam, fim, jaccard, langid, mixing, pq, sharding, suffixes, tokens, topk, toxicity, warczip
 
 
 def queries():
@@ -17,9 +17,11 @@ def queries():
         "op5_jaccard": jaccard.op5_jaccard,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_sharding": lambda spark, d: sharding.op7_sharding(spark.read.parquet(f"{d}/documents.parquet")),
+        "op11_codes": pq.op11_codes,
+        "op12_warc": warczip.op12_warc,
         "op13_fim": fim.op13_fim,
     }
 
 
 def oracle_sql():
-    return {"op1_topk": topk.OP1_SQL, "op9_chat": chat.OP9_SQL, "op13_fim": fim.OP13_SQL}
+    return {"op1_topk": topk.OP1_SQL, "op9_chat": chat.OP9_SQL, "op11_codes": pq.OP11_SQL, "op12_warc": warczip.OP12_SQL, "op13_fim": fim.OP13_SQL}
