@@ -31,6 +31,8 @@ from folio.llm.common import lookup, new_path, stored, table
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of payload after which a task begins another package; bytes of records that one range reads, about.
 PACKAGE_BYTES, RANGE_BYTES = 1 << 28, 1 << 22
+#: Packages whose directories a task reads, ranges that a task reads, about.
+PACKAGES_A_TASK, RANGES_A_TASK = 32, 4
 #: Rows with payloads, or their bytes, that are handed on at a time.
 ROWS, STEP = 256, 1 << 21
 #: Fixed values of the ZIP format: signatures and the field that says "see ZIP64".
@@ -392,7 +394,8 @@ def read_archives(packages: DataFrame, range_bytes: int = RANGE_BYTES, payload:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to, and with `payload` the payload (binary, null
     for revisits), of every response and revisit of the `packages` (path). Ranges of records are dealt over tasks,
     whichever package they are in."""
-    ranges = stored(locate(packages.repartition(F.col("path")), range_bytes), "ranges")
+    # rows are small and what they stand for isn't, so the number of tasks is told by their number
+    ranges = stored(locate(packages.repartition(-(-max(1, packages.count()) // PACKAGES_A_TASK), "path"), range_bytes), "ranges")
     kinds = [("page_id", "long", pa.int64()), ("url", "string", pa.string()), ("record_type", "string", pa.string()), ("payload_bytes", "long", pa.int64()), ("payload_digest", "string", pa.string()), ("refers_to", "long", pa.int64())]
     kinds += [("payload", "binary", pa.binary())] if payload else []
     names = pa.schema([(n, t) for n, _, t in kinds])
@@ -412,7 +415,7 @@ def read_archives(packages: DataFrame, range_bytes: int = RANGE_BYTES, payload:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), names)], schema=names)
 
-    dealt = ranges.repartition(F.xxhash64("path", "offset"))
+    dealt = ranges.repartition(-(-max(1, ranges.count()) // RANGES_A_TASK), "path", "offset")
     return dealt.select("path", "offset", "length", "gzipped").mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in kinds))
 
 
