@@ -138,6 +138,60 @@ def next_page(nodes: DataFrame, is_group: Column) -> DataFrame:
     return found.select(*PAGE, F.col("p.block").alias("block"), F.col("q.block").alias("next_block"), F.least("p_x1", "q_x1").alias("x1"), F.greatest("p_x2", "q_x2").alias("x2"))
 
 
+def stitched(nodes: DataFrame, is_group: Column) -> DataFrame:
+    """token, page, path, block, taken, x1, x2: groups whose caption goes on, the nodes that they take one after the other
+    (an array of page, path and block), and their sides then.
+
+    A group takes the top node after it as `next_column` and `next_page` tell, and then the one after that: what it has
+    taken is part of its text, a node from the next page widens it, and a node on the page of the last one must stand in
+    another column, one on the page after that one below it. It ends at a group, at a type that captions don't go on
+    with, and where a text ends or begins a paragraph. These ends are told by windows over a document's nodes in order;
+    only what follows a group without one is collected, and folded with the group's sides as the state.
+    """
+    order = ["page", "path"]
+    tops = _tops(nodes, is_group).withColumn("_head", F.col("group") | ~F.col("type").isin(*GOES_ON))
+    runs = tops.withColumn("_run", F.sum(F.col("_head").cast("int")).over(Window.partitionBy("token").orderBy(*order)))
+    of_run = Window.partitionBy("token", "_run").orderBy(*order)
+    told = F.last("said", True).over(of_run.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("*", told.alias("_told"), (F.col("page") - F.lag("page").over(of_run)).alias("_step"), F.max("group").over(Window.partitionBy("token", "_run")).alias("_has"))
+    unfinished = F.col("_told").isNull() | ~ends_paragraph(F.col("_told"))
+    goes_on = F.col("_step").between(0, 1) & unfinished & (F.col("said").isNull() | F.col("_told").isNull() | ~starts_paragraph(F.col("said")))
+    cut = F.max((~F.col("_head") & ~goes_on).cast("int")).over(of_run)
+    row = F.struct("page", "path", "block", "x1", "x2")
+    # a run that no head begins has no group
+    lists = runs.where("_has").withColumn("_cut", cut).where("_cut = 0").groupBy("token", "_run").agg(F.array_sort(F.collect_list(row)).alias("r")).where("size(r) > 1")
+    first = F.element_at("r", 1)
+    state = lambda x1, x2, page, n, open_: F.struct(x1.alias("x1"), x2.alias("x2"), page.alias("page"), n.alias("n"), open_.alias("open"))
+
+    def take(a: Column, q: Column) -> Column:
+        near = (F.least(a["x2"], q["x2"]) - F.greatest(a["x1"], q["x1"])) / (F.greatest(a["x2"], q["x2"]) - F.least(a["x1"], q["x1"]) + F.lit(1e-5))
+        by_page = q["page"] > a["page"]
+        wide = lambda f, c: F.when(by_page, f(a[c], q[c])).otherwise(a[c])
+        fits = a["open"] & F.when(by_page, near >= 0.5).otherwise(near <= 0)
+        return F.when(fits, state(wide(F.least, "x1"), wide(F.greatest, "x2"), q["page"], a["n"] + 1, F.lit(True))).otherwise(state(a["x1"], a["x2"], a["page"], a["n"], F.lit(False)))
+
+    begin = state(first["x1"], first["x2"], first["page"], F.lit(0), F.lit(True))
+    folded = lists.withColumn("s", F.aggregate(F.slice("r", 2, F.size("r") - 1), begin, take)).where("s.n > 0")
+    taken = F.transform(F.slice("r", F.lit(2), F.col("s.n")), lambda q: F.struct(q["page"].alias("page"), q["path"].alias("path"), q["block"].alias("block")))
+    return folded.select("token", first["page"].alias("page"), first["path"].alias("path"), first["block"].alias("block"), taken.alias("taken"), "s.x1", "s.x2")
+
+
+def with_stitched(nodes: DataFrame, chains: DataFrame) -> DataFrame:
+    """nodes with `item_page`, the page that each comes from, after the `chains` of `stitched`: what a group takes moves,
+    with all below it, behind the group's children, and the group has its new sides."""
+    top = F.slice("path", 1, 1)
+    children = nodes.where(F.size("path") == 2).groupBy(*PAGE, top.alias("path")).agg((F.max(F.element_at("path", 2)) + 1).alias("_n"))
+    of = chains.join(children, [*PAGE, "path"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    moves = of.select("token", F.col("page").alias("_to"), F.col("path").alias("_group"), "_n", F.posexplode("taken").alias("_k", "_q"))
+    moves = moves.select("token", F.col("_q.page").alias("page"), F.col("_q.path").alias("_top"), "_to", F.concat("_group", F.array(F.col("_n") + F.col("_k"))).alias("_at"))
+    sides = chains.select(*PAGE, F.col("path").alias("_top"), F.col("x1").alias("_x1"), F.col("x2").alias("_x2"))
+    rows = nodes.withColumn("_top", top).join(moves, [*PAGE, "_top"], "left").join(sides, [*PAGE, "_top"], "left")
+    rest = F.when(F.size("path") > 1, F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    new = {"path": F.when(F.col("_at").isNotNull(), F.concat("_at", rest)).otherwise(F.col("path")), "page": F.coalesce("_to", "page")}
+    new |= {c: F.when(F.size("path") == 1, F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in ("x1", "x2")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in nodes.columns], F.col("page").alias("item_page"))
+
+
 def scheme_titles(nodes: DataFrame) -> DataFrame:
     """token, page, block, title_block, x1, y1, x2, y2: images and groups right after a title that begins with `scheme`,
     and the bounds of both."""

@@ -11,6 +11,8 @@ from folio.plans.groups import _NODES, _is_group, _nodes, _same, _under
 from folio.plans.groups import _kids as _kids_sql
 from folio.sources.blocks import CONTAINERS
 
+UPPER, MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".!?:;"
+
 
 def _keyword():
     """A keyword for groups with a caption, a supplementary one for every fifth page."""
@@ -51,9 +53,28 @@ def caption_columns(spark, sf_dir):
     return figures.next_column(_nodes(spark, sf_dir), _any_group())
 
 
+def _flowing(spark, sf_dir):
+    """Pages that end with their group, in the column in which the next one begins; two of three pages are in small
+    letters without closing marks, so that captions go on over them."""
+    small = F.rtrim(F.translate("text", UPPER, UPPER.lower()), F.lit(MARKS))
+    return _nodes(spark, sf_dir).where(~F.col("block").isin(0, 10, 11)).withColumn("text", F.when(F.col("page") % 3 < 2, small).otherwise(F.col("text")))
+
+
 def caption_pages(spark, sf_dir):
-    """Without page furniture and the block beside the first, so that pages end and begin in the same column."""
-    return figures.next_page(_nodes(spark, sf_dir).where(~F.col("block").isin(0, 1, 11)), _any_group())
+    return figures.next_page(_flowing(spark, sf_dir), _any_group())
+
+
+def stitched_captions(spark, sf_dir):
+    """Groups with what they take over columns and pages, page/block each."""
+    taken = F.array_join(F.transform("taken", lambda q: F.concat_ws("/", q["page"].cast("string"), q["block"].cast("string"))), ",")
+    return figures.stitched(_flowing(spark, sf_dir), _any_group()).select(*PAGE, "block", F.size("taken").alias("n"), taken.alias("taken"), "x1", "x2")
+
+
+def stitched_nodes(spark, sf_dir):
+    """All nodes after groups have taken theirs."""
+    nodes = _flowing(spark, sf_dir)
+    moved = figures.with_stitched(nodes, figures.stitched(nodes, _any_group()))
+    return moved.select(*PAGE, F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"), "block", "item_page", "x1", "x2")
 
 
 def scheme_titles(spark, sf_dir):
@@ -69,7 +90,7 @@ def legend_boxes(spark, sf_dir):
     return out.select(*PAGE, F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"), "legend", F.array_join(F.transform("box", lambda c: c.cast("string")), ",").alias("box"))
 
 
-QUERIES = {f.__name__: f for f in (figure_groups, figure_contexts, figure_info, caption_columns, caption_pages, scheme_titles, legend_boxes)}
+QUERIES = {f.__name__: f for f in (figure_groups, figure_contexts, figure_info, caption_columns, caption_pages, stitched_captions, stitched_nodes, scheme_titles, legend_boxes)}
 
 _list = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
 _tail = f"""regexp_matches(trim(regexp_replace({{0}}, '{T.CLOSED}', ''), ' ' || chr(10) || chr(13) || chr(9)), '{T.TAIL}')"""
@@ -90,10 +111,17 @@ q AS (SELECT *, CASE WHEN keyword IS NULL THEN 'no keyword' WHEN NOT shows THEN
 groups AS (SELECT token, page, 0 AS g, keyword, skipped, CASE WHEN skipped IS NULL THEN CASE WHEN n_pages = 1 AND over THEN 'single_full' WHEN over THEN 'cross_page' ELSE 'cross_column' END END AS concat_type,
   format('Page.{{:03d}}-Group.{{:02d}}', page, 0) || coalesce('-Cap.' || keyword, '') AS name, format('{{}}#{{:03d}}#{{:02d}}', token, page, 0) AS key, CAST(coalesce(len(captions), 0) AS INTEGER) AS n_captions, coalesce(array_to_string(captions, ' '), '') AS caption FROM q)"""
 _PARAS = ", paras AS (SELECT token, page * 12 + block AS pos, text, unnest(['Fig' || block % 4, 'Fig$1']) AS keyword FROM nodes WHERE type = 'paragraph')"
+_FLOWING = f"""{_NODES.replace("nodes AS", "raw_nodes AS")}, nodes AS (SELECT * REPLACE (CASE WHEN page % 3 < 2 THEN rtrim(translate(text, '{UPPER}', '{UPPER.lower()}'), '{MARKS}') ELSE text END AS text) FROM raw_nodes WHERE block NOT IN (0, 10, 11))"""
 _TOPS = f""", says AS (SELECT a.token, a.page, a.path, nullif(string_agg(n.text, ' ' ORDER BY n.path), '') AS said FROM nodes n JOIN nodes a ON {_same('n', 'a')} AND len(a.path) = 1 AND {_under} WHERE n.type IN {figures.READ} GROUP BY a.token, a.page, a.path),
 tops AS (SELECT n.*, n.type IN {_list(CONTAINERS)} AS grp, s.said FROM nodes n LEFT JOIN says s ON {_same('n', 's')} AND s.path = n.path WHERE len(n.path) = 1)"""
 _goes = f"p.grp AND (p.said IS NULL OR NOT {_ends('p.said')}) AND (q.said IS NULL OR p.said IS NULL OR NOT {_starts('q.said')}) AND q.type IN {figures.GOES_ON}"
 _near = "(least(p.x2, q.x2) - greatest(p.x1, q.x1)) / (greatest(p.x2, q.x2) - least(p.x1, q.x1) + 0.00001::DOUBLE)"
+#: From each group on, one node a step, by recursion.
+_CHAINS = f"""{_FLOWING.replace("WITH", "WITH RECURSIVE", 1)}{_TOPS}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY token ORDER BY page, path) AS r FROM tops),
+p AS (SELECT token, page, path, block, r, said, x1, x2, page AS at, 0 AS n, '' AS taken, true AS grp FROM o WHERE grp
+  UNION ALL SELECT p.token, p.page, p.path, p.block, q.r, coalesce(q.said, p.said), CASE WHEN q.page > p.at THEN least(p.x1, q.x1) ELSE p.x1 END, CASE WHEN q.page > p.at THEN greatest(p.x2, q.x2) ELSE p.x2 END, q.page, p.n + 1, p.taken || ',' || q.page || '/' || q.block, true
+  FROM p JOIN o q ON q.token = p.token AND q.r = p.r + 1 WHERE NOT q.grp AND q.page - p.at IN (0, 1) AND {_goes} AND CASE WHEN q.page = p.at THEN {_near} <= 0 ELSE {_near} >= 0.5 END),
+chains AS (SELECT token, page, path, block, max(n) AS n, max_by(taken, n) AS taken, max_by(x1, n) AS x1, max_by(x2, n) AS x2 FROM p GROUP BY token, page, path, block HAVING max(n) > 0)"""
 SQL = {
     "figure_groups": f"{_GROUPS} SELECT * FROM groups",
     "figure_contexts": f"""{_GROUPS}{_PARAS} SELECT g.token, g.page, g.g, CAST(count(p.pos) AS INTEGER) AS n, sha256(coalesce(string_agg(p.text, chr(10) ORDER BY p.pos), '')) AS hash FROM groups g LEFT JOIN paras p ON p.token = g.token AND p.keyword = g.keyword WHERE g.skipped IS NULL GROUP BY g.token, g.page, g.g""",
@@ -104,7 +132,13 @@ r AS (SELECT token, string_agg(keyword, ', ' ORDER BY page, g) FILTER (skipped I
 SELECT e.token, all_names, coalesce(kept, '') AS kept, coalesce(ignored, '') AS ignored, coalesce(extracted, 0) AS extracted, CASE WHEN n > 0 THEN printf('%.2f%%', 100.0::DOUBLE * coalesce(k, 0) / n) ELSE '-' END AS ratio FROM e LEFT JOIN r USING (token)""",
     "caption_columns": f"""{_NODES}{_TOPS}, o AS (SELECT *, row_number() OVER (PARTITION BY token, page ORDER BY path) AS r FROM tops)
 SELECT p.token, p.page, p.block, q.block AS next_block FROM o p JOIN o q ON {_same('p', 'q')} AND q.r = p.r + 1 WHERE {_goes} AND {_near} <= 0""",
-    "caption_pages": f"""{_NODES}{_TOPS}, o AS (SELECT *, row_number() OVER (PARTITION BY token, page ORDER BY path) AS r, row_number() OVER (PARTITION BY token, page ORDER BY path DESC) AS z FROM tops WHERE block NOT IN (0, 1, 11))
+    "stitched_captions": f"""{_CHAINS} SELECT token, page, block, n, taken[2:] AS taken, x1, x2 FROM chains""",
+    "stitched_nodes": f"""{_CHAINS}, k AS (SELECT token, page, path[1] AS top, max(path[2]) + 1 AS n FROM nodes WHERE len(path) = 2 GROUP BY token, page, path[1]),
+m AS (SELECT c.token, c.page AS to_page, c.path || [coalesce(k.n, 0) + i] AS at, CAST(split_part(split_part(c.taken[2:], ',', i + 1), '/', 1) AS INTEGER) AS page, CAST(split_part(split_part(c.taken[2:], ',', i + 1), '/', 2) AS INTEGER) AS block
+  FROM (SELECT *, unnest(range(n)) AS i FROM chains) c LEFT JOIN k ON k.token = c.token AND k.page = c.page AND k.top = c.path[1])
+SELECT n.token, coalesce(m.to_page, n.page) AS page, array_to_string(CASE WHEN m.at IS NULL THEN n.path ELSE m.at || n.path[2:] END, '/') AS path, n.block, n.page AS item_page, CASE WHEN len(n.path) = 1 THEN coalesce(c.x1, n.x1) ELSE n.x1 END AS x1, CASE WHEN len(n.path) = 1 THEN coalesce(c.x2, n.x2) ELSE n.x2 END AS x2
+FROM nodes n JOIN nodes t ON n.token = t.token AND n.page = t.page AND len(t.path) = 1 AND t.path[1] = n.path[1] LEFT JOIN m ON m.token = n.token AND m.page = n.page AND m.block = t.block LEFT JOIN chains c ON c.token = n.token AND c.page = n.page AND c.block = t.block""",
+    "caption_pages": f"""{_FLOWING}{_TOPS}, o AS (SELECT *, row_number() OVER (PARTITION BY token, page ORDER BY path) AS r, row_number() OVER (PARTITION BY token, page ORDER BY path DESC) AS z FROM tops)
 SELECT p.token, p.page, p.block, q.block AS next_block, least(p.x1, q.x1) AS x1, greatest(p.x2, q.x2) AS x2 FROM o p JOIN o q ON p.token = q.token AND q.page = p.page + 1 AND p.z = 1 AND q.r = 1 WHERE {_goes} AND {_near} >= 0.5""",
     "scheme_titles": f"""{_NODES}, o AS (SELECT *, lag(block) OVER w AS tb, lag(type) OVER w AS tt, lag(x1) OVER w AS a, lag(y1) OVER w AS b, lag(x2) OVER w AS c, lag(y2) OVER w AS d FROM nodes WHERE len(path) = 1 WINDOW w AS (PARTITION BY token, page ORDER BY path))
 SELECT token, page, block, tb AS title_block, least(a, x1) AS x1, least(b, y1) AS y1, greatest(c, x2) AS x2, greatest(d, y2) AS y2 FROM o WHERE tt = 'title' AND type IN ('image', 'group', 'figuregroup')""",

@@ -80,8 +80,9 @@ def legend_groups(spark, sf_dir):
 
 
 def wrapped_figures(spark, sf_dir):
-    """Pages whose image holds one node: those of nine blocks."""
-    return _written(tree.wrapped(_nodes(spark, sf_dir)), *PAGE, "image", "path")
+    """Every second page's image holds one node, and is the only one."""
+    one = _nodes(spark, sf_dir).where("block != 9 or page % 2 = 1")
+    return _written(tree.wrapped(one.withColumn("type", F.when((F.col("type") == "image") & (F.col("block") != 7), "paragraph").otherwise(F.col("type")))), *PAGE, "image", "path")
 
 
 def group_bounds(spark, sf_dir):
@@ -100,7 +101,7 @@ def overlay_order(spark, sf_dir):
     return tree.largest_first(_nodes(spark, sf_dir)).select(*PAGE, "block", "layer")
 
 
-def _sources(spark, sf_dir):
+def sources(spark, sf_dir):
     """Nodes with image sources: data URLs, bare base64, and what is neither; some share their content."""
     n, k = _nodes(spark, sf_dir), F.col("block")
     body = F.base64(F.encode(F.concat(F.lit("picture number "), (k % 4).cast("string"), F.lit(" of this document, all of it")), "utf-8"))
@@ -110,11 +111,11 @@ def _sources(spark, sf_dir):
 
 
 def image_files(spark, sf_dir):
-    return content.image_files(_sources(spark, sf_dir)).select(*PAGE, "block", "name", "n")
+    return content.image_files(sources(spark, sf_dir)).select(*PAGE, "block", "name", "n")
 
 
 def content_list(spark, sf_dir):
-    out = content.content_list(_sources(spark, sf_dir))
+    out = content.content_list(sources(spark, sf_dir))
     return out.select("token", "id", "type", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "img_path", "caption")
 
 
@@ -169,8 +170,8 @@ SELECT token, page, array_to_string(g_path, '/') AS path, array_to_string(best,
   FROM kids WHERE g_type = 'group' GROUP BY token, page, g_path)
 SELECT g.token, g.page, {_p.format('k.')}, legends, least(x1, lx1) AS x1, least(y1, ly1) AS y1, greatest(x2, lx2) AS x2, greatest(y2, ly2) AS y2 FROM g JOIN kids k ON {_same('k', 'g')} AND k.g_path = g.g_path
   AND k.type = CASE WHEN images = 1 THEN 'image' WHEN images = 0 AND figures = 1 THEN 'figuregroup' END WHERE n > 0""",
-    "wrapped_figures": f"""{_NODES}, i AS (SELECT token, page, path[1] AS top, min(path) AS image FROM nodes WHERE type = 'image' AND len(path) > 1 GROUP BY token, page, path[1] HAVING count(*) = 1),
-k AS (SELECT n.token, n.page, i.image, count(*) AS n, min(n.path) FILTER (n.type IN ('chart', 'figure', 'expression')) AS path FROM nodes n JOIN i ON {_same('i', 'n')} AND i.image = {_up('n')} AND len(n.path) > 1 GROUP BY n.token, n.page, i.image)
+    "wrapped_figures": f"""{_NODES}, own AS (SELECT * REPLACE (CASE WHEN type = 'image' AND block <> 7 THEN 'paragraph' ELSE type END AS type) FROM nodes WHERE block <> 9 OR page % 2 = 1), i AS (SELECT token, page, path[1] AS top, min(path) AS image FROM own WHERE type = 'image' AND len(path) > 1 GROUP BY token, page, path[1] HAVING count(*) = 1),
+k AS (SELECT n.token, n.page, i.image, count(*) AS n, min(n.path) FILTER (n.type IN ('chart', 'figure', 'expression')) AS path FROM own n JOIN i ON {_same('i', 'n')} AND i.image = {_up('n')} AND len(n.path) > 1 GROUP BY n.token, n.page, i.image)
 SELECT token, page, array_to_string(image, '/') AS image, {_p.format('')} FROM k WHERE n = 1 AND path IS NOT NULL""",
     "group_bounds": f"""{_NODES}{_kids}, c AS (SELECT token, page, g_path AS path, any_value(g_x1) AS gx1, any_value(g_y1) AS gy1, any_value(g_x2) AS gx2, any_value(g_y2) AS gy2, min(x1) AS a, min(y1) AS b, max(x2) AS c, max(y2) AS d FROM kids GROUP BY token, page, g_path),
 o AS (SELECT *, a <= gx1 + 300 / 1024.0::DOUBLE AND b <= gy1 + 300 / 1024.0::DOUBLE AND c >= gx2 - 300 / 1024.0::DOUBLE AND d >= gy2 - 300 / 1024.0::DOUBLE AS ok FROM c)

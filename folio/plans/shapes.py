@@ -121,6 +121,9 @@ _areas = "(a_x2 - a_x1) * (a_y2 - a_y1)", "(b_x2 - b_x1) * (b_y2 - b_y1)"
 _quote = lambda c: f"replace(replace({c}, '*', '%2A'), '!', '%21')"
 _pad = lambda n: bytes(b ^ n for b in SECRET.encode().ljust(64, b"\0")).hex()
 _mac = f"sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(raw))))"
+_quoted = "url_encode(s)"
+for _c in T.KEPT:
+    _quoted = f"replace({_quoted}, '%{ord(_c):02X}', '{_c}')"
 _given = lambda c: f"({c} IS NOT NULL)"
 _b64, _path = f"regexp_matches(s, '{T.BASE64}')", f"regexp_matches(s, '{T.PATH}')"
 
@@ -173,7 +176,7 @@ SELECT token, page, block, coalesce(type = 'title' AND (y2 < top OR y1 > bottom)
 e AS (SELECT *, CASE WHEN {_given('f')}::INT + {_given('i')}::INT + {_given('u')}::INT <> 1 THEN 'exactly one of file, image and url' WHEN u IS NOT NULL AND NOT regexp_matches(u, '^https?://') THEN 'url must start with http:// or https://' END AS error FROM r)
 SELECT page_id, replace(url, '#', '%23') || '/a%20b/~x%2A%2B%C3%A9?k=1&v=%5B2%5D' AS quoted, regexp_replace(raw, '{T.JSON_QUERY}', '\\1?<redacted>', 'g') AS redacted, {_mac} AS mac, page_id % 2 = 0 AS ok, CASE WHEN error IS NOT NULL THEN NULL WHEN u IS NOT NULL THEN 'url' WHEN i IS NOT NULL THEN 'image' ELSE 'file' END AS kind, error FROM e""",
     "image_references": f"""WITH s AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN base64(encode(url)) WHEN 2 THEN 'img/' || md5(url) || ' 1.png' ELSE ' ' END AS s FROM pages), k AS (SELECT *, CASE WHEN trim(s) = '' THEN '' WHEN {_b64} THEN 'b' WHEN {_path} THEN 'p' ELSE '' END AS k FROM s)
-SELECT page_id, CASE k WHEN 'b' THEN '![figure](data:image/png;base64,' || s || ')' WHEN 'p' THEN '![figure](<' || s || '>)' ELSE '' END AS markdown, CASE k WHEN 'b' THEN '\\includegraphics[width=0.5\\textwidth]{{}}' WHEN 'p' THEN '\\includegraphics[width=0.5\\textwidth]{{' || replace(s, ' ', '%20') || '}}' ELSE '' END AS latex,
+SELECT page_id, CASE k WHEN 'b' THEN '![figure](data:image/png;base64,' || s || ')' WHEN 'p' THEN '![figure](<' || s || '>)' ELSE '' END AS markdown, CASE k WHEN 'b' THEN '\\includegraphics[width=0.5\\textwidth]{{}}' WHEN 'p' THEN '\\includegraphics[width=0.5\\textwidth]{{' || {_quoted} || '}}' ELSE '' END AS latex,
 CASE k WHEN 'b' THEN '<img src=''data:image/png;base64,' || s || ''' alt=''figure''/>' WHEN 'p' THEN '<img src=''' || s || ''' alt=''figure''/>' ELSE '' END AS html FROM k""",
     "wrapped_documents": f"""{_W}, r AS (SELECT token, page, block, {', '.join(map(_render_sql, ('plain', 'markdown', 'latex', 'html')))} FROM blocks), d AS (SELECT token, CASE count(*) % 3 WHEN 0 THEN 'digital' WHEN 1 THEN 'ocr-fast' END AS alias, {', '.join(map(_wrap_sql, ('plain', 'markdown', 'latex', 'html')))} FROM r GROUP BY token)
 SELECT token, plain, markdown, latex, html, {_modes_sql('textual')} AS textual, {_modes_sql('chart')} AS chart, coalesce(alias, 'ocr-hq') AS alias FROM d""",

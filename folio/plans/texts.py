@@ -35,9 +35,9 @@ def source_kinds(spark, sf_dir):
 
 
 def text_functions(spark, sf_dir):
-    """Short form, preview, escaped form and hash of each whole document. `stripped` is of the first five characters; `stripped_texts` has it of the whole text."""
+    """Short form, preview, length and the escaped form's hash of each whole document."""
     t = F.coalesce("text", F.lit(""))
-    return _read(spark, sf_dir, "documents").select("doc_id", T.truncate(t).alias("short"), F.substring(t, 1, 2000).alias("preview"), F.length(t).alias("content_chars"), F.sha2(T.html_escape(t), 256).alias("escaped_hash"), T.strip_images(F.concat(F.lit("![a](b.png)x"), F.left(t, F.lit(5)), F.lit("y"))).alias("stripped"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.truncate(t).alias("short"), F.substring(t, 1, 2000).alias("preview"), F.length(t).alias("content_chars"), F.sha2(T.html_escape(t), 256).alias("escaped_hash"))
 
 
 def stripped_texts(spark, sf_dir):
@@ -71,16 +71,22 @@ def rendered(spark, sf_dir):
     return blocks(spark, sf_dir).select("token", "page", "block", *[render(f).alias(f) for f in ("plain", "markdown", "latex", "html")])
 
 
-def job_outcomes(spark, sf_dir):
+def job_state(event):
     names = F.create_map(*[F.lit(x) for x in ("signup", "undefined", "view", "waiting", "click", "undefined", "purchase", "success", "error", "error")])
-    e = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", names[F.col("event_type")].alias("state"))
+    return names[event]
+
+
+def job_outcomes(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", job_state(F.col("event_type")).alias("state"))
     return jobs.outcomes(e, "user_id", ["ts", "event_id"])
 
 
 def run_metadata(spark, sf_dir):
     """Counts of a run."""
-    b = blocks(spark, sf_dir)
-    return b.agg(F.count(F.lit(1)).alias("items"), F.countDistinct("token").alias("documents"), F.countDistinct("token", "page").alias("pages"), F.count_if(F.col("type").isin("image", "figure")).alias("images"))
+    images = F.count_if(F.col("type").isin("image", "figure"))
+    pages = blocks(spark, sf_dir).groupBy("token", "page").agg(F.count(F.lit(1)).alias("items"), images.alias("images"))
+    documents = pages.groupBy("token").agg(F.sum("items").alias("items"), F.count(F.lit(1)).alias("pages"), F.sum("images").alias("images"))
+    return documents.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.coalesce(F.sum("images"), F.lit(0)).alias("images"))
 
 
 QUERIES = {f.__name__: f for f in (url_functions, source_kinds, text_functions, stripped_texts, chart_rows, caption_keywords, clean_texts, rendered, job_outcomes, run_metadata)}
@@ -111,7 +117,7 @@ SELECT page_id, CASE WHEN a = '' THEN 'url_document' ELSE a END AS stem, CASE WH
     "source_kinds": f"""WITH s AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN base64(encode(url)) WHEN 2 THEN 'img/' || md5(url) || '.png' WHEN 3 THEN '' ELSE '  <' || url END AS s FROM pages)
 SELECT page_id, CASE WHEN regexp_matches(s, '{T.BASE64}') THEN 'base64' WHEN regexp_matches(s, '{T.PATH}') THEN 'path' WHEN regexp_matches(s, '(?i)^https?://') THEN 'url' ELSE 'none' END AS source_kind,
 CASE WHEN trim(s) = '' THEN 'error' WHEN regexp_matches(trim(s), '^https?://') THEN 'url' WHEN regexp_matches(trim(s), '(?i)\\.(png|jpg|jpeg|webp)$') THEN 'image' ELSE 'file' END AS input_kind FROM s""",
-    "text_functions": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 30 THEN t ELSE left(t, 20) || '...' || right(t, 10) END AS short, substr(t, 1, 2000) AS preview, length(t) AS content_chars, sha256({_esc}) AS escaped_hash, trim(regexp_replace('x' || left(t, 5) || 'y', '\\n{{3,}}', chr(10) || chr(10), 'g')) AS stripped FROM d""",
+    "text_functions": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 30 THEN t ELSE left(t, 20) || '...' || right(t, 10) END AS short, substr(t, 1, 2000) AS preview, length(t) AS content_chars, sha256({_esc}) AS escaped_hash FROM d""",
     "stripped_texts": f"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '{T.MD_IMAGE}', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '{T.SPACES}') AS t FROM documents) SELECT doc_id, sha256(t) AS stripped_hash, length(t) AS stripped_chars FROM d""",
     "chart_rows": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS row FROM documents),
 c AS (SELECT doc_id, row, list_transform(string_split(regexp_replace(translate(line, ' ', '|'), '^\\|+|\\|+$', '', 'g'), '|'), lambda x: nullif(trim(x), '')) AS cells FROM l)

@@ -80,5 +80,6 @@ def retained(rows: DataFrame, ts: str, now: str, hours: int = 24) -> DataFrame:
 
 
 def capped(requests: DataFrame, most: int = 5) -> DataFrame:
-    """Requests dealt over `most` tasks at most, so that a connector run on each row has no more of them open at once."""
-    return requests.coalesce(most)
+    """Requests dealt over `most` tasks, so that a connector run on each row has no more of them open at once; what comes
+    before keeps its own tasks."""
+    return requests.repartition(most)
