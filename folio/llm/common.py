@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,7 +22,7 @@ BUCKETS = 256
 #: Rows of a bucket that one task takes without trouble; a key with more rows than HOT is dealt over several tasks.
 BUCKET_ROWS, HOT = 50_000, 4096
 #: Bytes of rows that are sent to Python at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,24 +53,51 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python by BATCH_BYTES at a time, if not by less, so that a worker's memory
+    and the buffers beside the heap are bound by bytes, whatever the rows' size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(key).lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".find(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def released(run: Callable) -> Callable:
+    """`run`, after which a worker gives back what it has freed, as workers stay for the next task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return whole
+
+
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with bounded batches, by workers that give back what they have freed."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(released(run), schema)
+
+
 def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """`df` written to the shared folder and read again: its lineage ends there, so an executor that is lost costs only
-    what it was working on. Rows are sent to Python by BATCH_BYTES at a time while it is written, and by `batch` of them
-    at most, so a worker's memory is bound by bytes, whatever the rows' size."""
+    what it was working on. batch: rows that are sent to Python at a time at most."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    if batch:
-        before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-        limits["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(min(batch, before) if before > 0 else batch)
-    kept = {k: spark.conf.get(k) for k in limits}
+    bounded(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
     try:
-        for k, v in limits.items():
-            spark.conf.set(k, v)
+        if batch:
+            spark.conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
         df.write.parquet(path)
     finally:
-        for k, v in kept.items():
-            spark.conf.set(k, v)
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

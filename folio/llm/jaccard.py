@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import bytehash, common
-from folio.llm.common import lookup
+from folio.llm.common import lookup, mapped
 from folio.llm.components import components
 
 WORDS = 5
@@ -40,6 +40,8 @@ PART, PER = 75, 100
 STEP, CHUNK, RANGE = 1 << 16, 1 << 19, 1 << 19
 #: Rows with texts or sets that are sent to Python at a time.
 BATCH = 500
+#: Nodes of a block of a shingle's nodes, about.
+MEET = 1024
 #: So many ids are sent to every task instead of shuffling the sets.
 FEW = 1_000_000
 #: Bands of two smallest shingles by which nodes meet at first.
@@ -159,7 +161,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                 rid += b - a
 
     schema = "rid long, doc_id long, n long, digest binary, keys array<long>, sketch binary, shingles binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -180,7 +182,7 @@ def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = lookup(lookup(pairs.select("a", "b"), of("b"), "b"), of("a"), "a")
-    return both.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(run, "a long, b long, d long")
+    return mapped(both.select("a", "na", "sa", "b", "nb", "sb"), run, "a long, b long, d long")
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,7 +203,7 @@ def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     few = F.broadcast if pairs.count() <= FEW else (lambda x: x)
     one = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")).join(few(pairs.select("a", "b")), "b")
     two = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")).join(few(pairs.select("a").distinct()), "a", "left_semi")
-    return lookup(one, two, "a", pairs).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return mapped(lookup(one, two, "a", pairs).select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -290,7 +292,7 @@ def matrix_ranges(members: DataFrame, bits: int) -> DataFrame:
             yield from flush()
 
     schema = "range int, chunk long, head boolean, units int, low binary, counts binary, told binary, rids binary, at binary, groups binary"
-    return members.select("rid", "group", "alone", "n", "shingles").mapInArrow(run, schema)
+    return mapped(members.select("rid", "group", "alone", "n", "shingles"), run, schema)
 
 
 def open_units(ranges: DataFrame, parts: int) -> DataFrame:
@@ -300,11 +302,12 @@ def open_units(ranges: DataFrame, parts: int) -> DataFrame:
         """Rows by their key, which they are sorted by."""
         held: list[dict] = []
         for batch in batches:
-            for k, x in enumerate(batch.column(key).to_pylist()):
-                if held and held[-1][batch.schema.field(key).name] != x:
+            name = batch.schema.field(key).name
+            for row in batch.to_pylist():
+                if held and held[-1][name] != row[name]:
                     yield held
                     held = []
-                held.append(batch.slice(k, 1).to_pylist()[0])
+                held.append(row)
         if held:
             yield held
 
@@ -345,13 +348,13 @@ def open_units(ranges: DataFrame, parts: int) -> DataFrame:
             rid = np.frombuffer(head["rids"], np.int64)[go[np.frombuffer(head["unit"], np.uint32)]]
             yield pa.RecordBatch.from_arrays([pa.array(rid)], names=["rid"])
 
-    counted = ranges.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(count, "chunk long, units int, shared binary, smallest binary, unit binary, rids binary")
-    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(decide, "rid long")
+    counted = mapped(ranges.repartition(parts, "range").sortWithinPartitions("range"), count, "chunk long, units int, shared binary, smallest binary, unit binary, rids binary")
+    return mapped(counted.repartition("chunk").sortWithinPartitions("chunk"), decide, "rid long")
 
 
 def deciding(members: DataFrame) -> DataFrame:
-    """shingle, node, n, has: the shingles of the opened nodes that decide, by 3. of the module, and how many of a node's
-    other groups have. members: rid, group, n, shingles of the opened nodes."""
+    """shingle, node, n, has, many: the shingles of the opened nodes that decide, by 3. of the module, how many of a node's
+    other groups have, and how many nodes have the shingle. members: rid, group, n, shingles of the opened nodes."""
     row = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("group", pa.int64()), ("n", pa.int64())])
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +364,7 @@ def deciding(members: DataFrame) -> DataFrame:
                 values = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(values), *(pa.array(np.full(len(values), x[k])) for x in (rid, group, n))], schema=row)
 
-    rows = stored(members.select("rid", "group", "n", "shingles").mapInArrow(flat, "shingle long, node long, group long, n long"), "opened")
+    rows = stored(mapped(members.select("rid", "group", "n", "shingles"), flat, "shingle long, node long, group long, n long"), "opened")
     by_group = rows.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("_n"))
     often = by_group.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.sum("_n").alias("_n")).where("df > 1")
     shared = lookup(rows, often.select("shingle", "df"), "shingle", often)
@@ -372,7 +375,7 @@ def deciding(members: DataFrame) -> DataFrame:
     # shingles of the same nodes count once; their nodes are told by a sum of hashes and their number
     held = decide.groupBy("shingle").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     one = stored(held.groupBy("who", "_n").agg(F.min("shingle").alias("shingle")), "shingles")
-    return lookup(decide, one.select("shingle"), "shingle", one).select("shingle", "node", "n", "has")
+    return lookup(decide, one.select("shingle", F.col("_n").alias("many")), "shingle", one).select("shingle", "node", "n", "has", "many")
 
 
 class Joined:
@@ -406,12 +409,14 @@ class Joined:
 
 def meet(decide: DataFrame, nodes: DataFrame, label: DataFrame, all_pairs: bool) -> DataFrame:
     """a, b (a < b): pairs of nodes of different groups that share a deciding shingle and may be similar: a forest of them
-    for each task, or `all_pairs`. decide: shingle, node, n, has; nodes: node, sketch; label: node, group, for nodes that
-    aren't alone in their group."""
+    for each task, or `all_pairs`. decide: shingle, node, n, has, many; nodes: node, sketch; label: node, group, for nodes
+    that aren't alone in their group. A shingle's nodes are dealt to blocks of MEET about, and every two blocks meet in a
+    task of their own, so a task holds two blocks of sketches however many nodes a shingle has."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def near_pairs(node, group, n, has, sketches) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of one shingle's nodes: all pairs by the sketch bits of the one with fewer, a strip of nodes at a time."""
+    def near_pairs(node, group, n, has, sketches, block, two) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of one shingle's nodes: all pairs by the sketch bits of the one with fewer, a strip of nodes at a time; with
+        `two` blocks those of a node of each."""
         bits = np.array([8 * len(x) for x in sketches])
         out = []
         for own in np.unique(bits):
@@ -425,6 +430,8 @@ def meet(decide: DataFrame, nodes: DataFrame, label: DataFrame, all_pairs: bool)
                 most = np.minimum(has[i][:, None], has[others][None, :])
                 both = n[i][:, None] + n[others][None, :]
                 ok = (group[i][:, None] != group[others][None, :]) & (PER * most >= PART * (both - most)) & ((bits[others] > own)[None, :] | (node[i][:, None] < node[others][None, :]))
+                if two:
+                    ok &= block[i][:, None] != block[others][None, :]
                 x, y = np.nonzero(ok)
                 differ = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(w[x[c : c + 65536]] ^ words[y[c : c + 65536]]).sum(1).astype(np.int64) for c in range(0, len(x), 65536))])
                 keep = may_link(n[i[x]], n[others[y]], differ)
@@ -435,9 +442,9 @@ def meet(decide: DataFrame, nodes: DataFrame, label: DataFrame, all_pairs: bool)
         joined, rows, now = Joined(), [], None
 
         def finish() -> pa.RecordBatch:
-            node, n, has, sketches, group = zip(*rows)
+            node, n, has, sketches, group, block = zip(*rows)
             node = np.array(node, np.int64)
-            i, j = (np.concatenate(c) for c in zip(*near_pairs(node, np.array(group, np.int64), np.array(n, np.int64), np.array(has, np.int64), sketches)))
+            i, j = (np.concatenate(c) for c in zip(*near_pairs(node, np.array(group, np.int64), np.array(n, np.int64), np.array(has, np.int64), sketches, np.array(block, np.int64), now[1] != now[2])))
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             if not all_pairs:
                 chosen = joined.forest(a, b)
@@ -445,18 +452,22 @@ def meet(decide: DataFrame, nodes: DataFrame, label: DataFrame, all_pairs: bool)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=names)
 
         for batch in batches:
-            for shingle, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if shingle != now and len(rows) > 1:
+            for *key, node, n, has, sketch_, group, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now and len(rows) > 1:
                     yield finish()
-                if shingle != now:
-                    now, rows = shingle, []
-                rows.append(row)
+                if key != now:
+                    now, rows = key, []
+                rows.append((node, n, has, sketch_, group, block))
         if len(rows) > 1:
             yield finish()
 
     told = lookup(decide, nodes.select("node", "sketch"), "node").join(label, "node", "left")
-    dealt = told.select("shingle", "node", "n", "has", "sketch", F.coalesce("group", "node").alias("group")).repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    blocks = F.ceil(F.col("many") / MEET).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(17), "node"), blocks).cast("int")
+    placed = told.select("*", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "has", "sketch", F.coalesce("group", "node").alias("group"), "block")
+    dealt = placed.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
+    return mapped(dealt, run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import buckets_for, spread, stored
+from folio.llm.common import buckets_for, lookup, spread, stored
 
 DIMS = ("d_size", "d_source", "d_lang", "d_id")
 BINS, ROUNDS = 1024, 3
@@ -115,7 +115,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
         shards = max(1, -(-total // target_bytes))
     target = total / shards
     groups = facts.groupBy("gid").agg(
-        F.sum("size").alias("weight"), F.max("size").alias("one"), F.min(F.struct("_source", "_lang")).alias("m"), F.min("doc_id").alias("id")
+        F.sum("size").alias("weight"), F.max("size").alias("one"), F.min(F.struct("_source", "_lang")).alias("m"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("_n")
     )
     span = max(1, (totals["top"] or 0) - (totals["low"] or 0))
     unit = lambda c: (F.pmod(F.xxhash64(c), F.lit(65536)) / F.lit(65535.0))
@@ -123,6 +123,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
         groups.select(
             "gid",
             "weight",
+            "_n",
             F.least(F.log2(F.col("one").cast("double")) / 40, F.lit(1.0)).alias("d_size"),
             unit("m._source").alias("d_source"),
             unit("m._lang").alias("d_lang"),
@@ -142,7 +143,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     fixed = spark.createDataFrame([(r["gid"], k) for r, k in zip(whole, at, strict=True)] + [(r["gid"], -1) for r in torn], "gid long, shard int")
     by_group = _split_points(small, room).select("gid", F.col("shard").cast("int")).unionByName(fixed)
     # rows that are alike get their shard through their group; the torn groups' rows are dealt by a hash of the row
-    dealt = facts.join(by_group, "gid").withColumn("shard", F.when(F.col("shard") < 0, F.pmod(F.xxhash64("_row", F.lit(3)), F.lit(shards))).otherwise(F.col("shard")).cast("int"))
+    dealt = lookup(facts, by_group, "gid", points).withColumn("shard", F.when(F.col("shard") < 0, F.pmod(F.xxhash64("_row", F.lit(3)), F.lit(shards))).otherwise(F.col("shard")).cast("int"))
     if any(r["weight"] > target for r in torn):
         # equal rows of a torn group (same doc_id too) would all hash alike: number them first
         same = spread(dealt.join(F.broadcast(spark.createDataFrame([(r["gid"],) for r in torn], "gid long")), "gid", "left_semi"), "gid", "_row", ["doc_id"], buckets_for(rows)).withColumn("shard", F.pmod(F.col("pos"), F.lit(shards)).cast("int")).drop("pos")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import bytehash
-from folio.llm.common import stored
+from folio.llm.common import lookup, stored
 
 #: Bytes of a string, of the parts from which its minimizer is taken; strings of a segment at most (bits of a mask).
 LENGTH, PART, MOST = 50, 24, 63
@@ -274,13 +274,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     raw = F.coalesce("text", F.lit("")).cast("binary")
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc"), raw.alias("raw")).withColumn("row", F.xxhash64("raw", F.length("raw")))
     known = stored(slim.select("doc", "row", F.unhex(F.sha2("raw", 256)).alias("digest")).distinct(), "known")
-    first = known.groupBy("digest").agg(F.min("doc").alias("first"), F.first("row").alias("row"))
+    first = known.groupBy("digest").agg(F.min("doc").alias("first"), F.first("row").alias("row"), F.count(F.lit(1)).alias("_n"))
     lows = stored(shared_minimizers(slim), "lows")
     chosen = lows.join(first, "row").select(F.col("row"), F.col("first").alias("doc"), "lows")
     # equal rows of one doc are one
     opened = slim.join(chosen, ["row", "doc"])
     found = removals(segments(opened)).groupBy("row", "doc").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts"))
-    copies = known.join(first.select("digest", "first"), "digest").select("doc", "row", (F.col("doc") > F.col("first")).alias("copy"))
+    # a text of which there are very many copies is dealt over tasks
+    copies = lookup(known, first.select("digest", "first"), "digest", first).select("doc", "row", (F.col("doc") > F.col("first")).alias("copy"))
     plan = copies.join(stored(found, "cuts"), ["row", "doc"], "left")
     names = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 

@@ -38,8 +38,9 @@ from folio.llm.common import new_path, stored
 
 #: Text bytes of a shard, about.
 SHARD_BYTES = 32 << 20
-#: Text bytes that are encoded at a time, and the distinct pieces that a task remembers at most.
-STEP_BYTES, REMEMBERED = 1 << 20, 1_500_000
+#: Text bytes that are encoded at a time, the distinct pieces that a task remembers at most, and the bytes that these
+#: have at most: longer ones (a whole text in a script without spaces is one piece) are encoded each time.
+STEP_BYTES, REMEMBERED, SHORT = 1 << 20, 1_500_000, 32
 END_ID = 0
 _LEVELS, _SPACE = 40, 2.0
 #: ASCII letters, and marks that always begin a new piece after one.
@@ -123,6 +124,25 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 # ---- encoding
 
 
+class Grown:
+    """32-bit integers that are added to; room is doubled, so adding costs its own length."""
+
+    def __init__(self) -> None:
+        self.room, self.size = np.zeros(1 << 10, np.int32), 0
+
+    @property
+    def data(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.room):
+            room = np.zeros(max(2 * len(self.room), self.size + len(more)), np.int32)
+            room[: self.size] = self.data
+            self.room = room
+        self.room[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 class PieceEncoder:
     """Encodes many texts at once; see the module's docstring."""
 
@@ -140,7 +160,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         """Pieces known by their hashes, in two sorted runs of which the second is short; and their ids."""
         self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
-        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.starts, self.counts = (Grown() for _ in range(3))
 
     def _recall(self, keys: np.ndarray) -> np.ndarray:
         """The number of each piece that is known, else -1."""
@@ -162,6 +182,19 @@ class PieceEncoder:
         order = np.argsort(short[0], kind="stable")
         self.runs = [long, (short[0][order], short[1][order])]
 
+    def _keep(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Remember those pieces that have few bytes, so that what is kept is bound by their number; too many: begin anew."""
+        short = size <= SHORT
+        if not short.any():
+            return
+        ids, counts, keys = ids[np.repeat(short, counts)], counts[short].astype(np.int32), keys[short]
+        if self.counts.size + len(counts) > REMEMBERED:
+            self._forget()
+        self._remember(keys, (self.counts.size + np.arange(len(counts))).astype(np.int32))
+        self.starts.add((self.ids.size + np.cumsum(counts) - counts).astype(np.int32))
+        self.counts.add(counts)
+        self.ids.add(ids)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and their number for each text."""
         n = len(offsets) - 1
@@ -217,23 +250,25 @@ class PieceEncoder:
         own, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = self._recall(own)
         new = np.flatnonzero(at < 0)
-        if len(self.counts) + len(new) > REMEMBERED:
-            self._forget()
-            new = np.arange(len(own))
+        # ids of what is new stand by themselves; short pieces are remembered after
+        begins, counts, fresh = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(0, np.int32)
+        known = at >= 0
+        begins[known], counts[known] = self.starts.data[at[known]], self.counts.data[at[known]]
         if len(new):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int32, len(found))
-            at[new] = len(self.counts) + np.arange(len(new))
-            self._remember(own[new], at[new].astype(np.int32))
-            self.starts = np.append(self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32))
-            self.counts = np.append(self.counts, counts)
-            self.ids = np.append(self.ids, np.array(list(chain.from_iterable(found)), np.int32))
-        piece = at[inverse]
-        counts = self.counts[piece]
-        before = np.cumsum(counts, dtype=np.int64) - counts
-        flat = self.ids[np.repeat(self.starts[piece] - before, counts) + np.arange(int(counts.sum()))]
+            counts[new] = np.fromiter(map(len, found), np.int32, len(found))
+            begins[new] = np.cumsum(counts[new]) - counts[new]
+            fresh = np.fromiter(chain.from_iterable(found), np.int32, int(counts[new].sum()))
+        count = counts[inverse]
+        before = np.cumsum(count, dtype=np.int64) - count
+        place = np.repeat(begins[inverse] - before, count) + np.arange(int(count.sum()))
+        old = np.repeat(known[inverse], count)
+        flat = np.empty(len(place), np.int32)
+        flat[old], flat[~old] = self.ids.data[place[old]], fresh[place[~old]]
+        self._keep(own[new], counts[new], fresh, (end - start)[first[new]])
+        counts = count
         text_of = np.searchsorted(offsets, start, "right") - 1
         return flat, np.bincount(text_of, counts, n).astype(np.int64)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import bytehash
-from folio.llm.common import stored
+from folio.llm.common import mapped, stored
 
 #: Insults by kind: for persons, and for what they do or are (fixed values).
 LEXICON = (
@@ -212,7 +212,7 @@ def fit(rows: DataFrame, most: int = MOST) -> Model:
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(classes) < 2:
         return Model(own, np.full(len(own), 3.0), -3.0)
-    counted = sample.select("text", "toxic").mapInArrow(_counts, "feature long, kind int, total long, positive long").groupBy("feature").agg(F.max("kind").alias("kind"), F.sum("total").alias("total"), F.sum("positive").alias("positive"))
+    counted = mapped(sample.select("text", "toxic"), _counts, "feature long, kind int, total long, positive long").groupBy("feature").agg(F.max("kind").alias("kind"), F.sum("total").alias("total"), F.sum("positive").alias("positive"))
     rate = F.col("positive") / F.col("total")
     lower = rate - F.sqrt((rate * (1 - rate) + 0.25 / F.col("total")) / F.col("total"))
     table = counted.where((F.col("positive") >= SUPPORT) & (lower >= PRECISION)).select("feature", "kind").toArrow()
@@ -292,7 +292,7 @@ def _matrix(sample: DataFrame, used: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 numbers.append(np.unique(np.concatenate(own)).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(numbers, pa.binary())], names=["h", "toxic", "numbers"])
 
-    found = sample.select("h", "text", "toxic").mapInArrow(run, "h long, toxic int, numbers binary").orderBy("h").toArrow()
+    found = mapped(sample.select("h", "text", "toxic"), run, "h long, toxic int, numbers binary").orderBy("h").toArrow()
     own = [np.frombuffer(x.as_py(), np.int32) for x in found.column(2)]
     return found.column(1).to_numpy().astype(np.int64), np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate([*own, np.zeros(0, np.int32)]).astype(np.int64)
 
@@ -342,7 +342,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = scorer([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -355,7 +355,7 @@ def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             found = scorer([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             yield batch.filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
