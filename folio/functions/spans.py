@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.latex import unicode_to_latex
 from folio.functions.text import SPACES, html_escape
 
 # What a span looks like, and what makes the text between dollars an equation.
@@ -13,7 +14,7 @@ EQUATIONS = (r"\\\[.+?\\\]", r"\\\(.+?\\\)", r"\$\$.+?\$\$", r"\$(?:\\.|[^$\\\n]
 SPAN = "(?s)" + "|".join(MOLECULES + EQUATIONS)
 LATEX_MARK = r"\\[A-Za-z]+|[\^_{}=]|[A-Za-z]\s*[+\-*/=<>]\s*[A-Za-z0-9\\]"
 TEXT, MOLECULE, EQUATION = "text", "molecule", "equationinline"
-#: Characters with a meaning in LaTeX, and how they are written.
+#: Characters with a meaning in LaTeX, and how a table's cells have them.
 LATEX = (("\\", r"\textbackslash "), ("%", r"\%"), ("#", r"\#"), ("&", r"\&"), ("_", r"\_"), ("$", r"\$"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde "), ("^", r"\textasciicircum "))
 _STRUCT = "struct<content:string,type:string>"
 
@@ -61,7 +62,7 @@ def spans_of(contents: Column, types: Column) -> Column:
 
 
 def latex_escape(s: Column) -> Column:
-    """ASCII characters that LaTeX reads as commands, written out; other characters are kept."""
+    """A table's cell for LaTeX: ASCII characters that it reads as commands are written out, others are kept."""
     marks = [chr(0xE000 + k) for k in range(len(LATEX))]  # private use: an escape isn't escaped again
     s = F.translate(s, "".join(a for a, _ in LATEX), "".join(marks))
     for mark, (_, written) in zip(marks, LATEX):
@@ -73,8 +74,8 @@ def format_span(content: Column, kind: Column, form: str) -> Column:
     """One span in plain, markdown, latex or html."""
     eq = {"plain": ("\\(", "\\)"), "markdown": ("$", "$"), "latex": ("\\(", "\\)"), "html": ("\\(", "\\)")}[form]
     equation = F.concat(F.lit(eq[0]), content, F.lit(eq[1]))
-    molecule = {"plain": content, "markdown": F.concat(F.lit("`"), content, F.lit("`")), "latex": F.concat(F.lit("\\texttt{"), latex_escape(content), F.lit("}")), "html": F.concat(F.lit("<code>"), html_escape(content), F.lit("</code>"))}[form]
-    text = {"plain": content, "markdown": content, "latex": latex_escape(content), "html": html_escape(content)}[form]
+    molecule = {"plain": content, "markdown": F.concat(F.lit("`"), content, F.lit("`")), "latex": F.concat(F.lit("\\texttt{"), unicode_to_latex(content), F.lit("}")), "html": F.concat(F.lit("<code>"), html_escape(content), F.lit("</code>"))}[form]
+    text = {"plain": content, "markdown": content, "latex": unicode_to_latex(content), "html": html_escape(content)}[form]
     return F.when(kind.isin("equation", EQUATION), equation).when(kind == MOLECULE, molecule).otherwise(text)
 
 

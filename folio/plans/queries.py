@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions.geometry import area, intersection, iou
 from folio.functions.render import render
 from folio.operators.layout import page_pairs
-from folio.plans import figures, files, groups, layout, orders, probes, qa, records, rich, shapes, texts, trees
+from folio.plans import figures, files, groups, layout, orders, pdfs, pixels, probes, qa, records, rich, shapes, texts, trees
 from folio.sources.blocks import BLOCKS_SQL, blocks
 
 #: Page furniture that rendering leaves out (fixed values).
@@ -79,6 +79,6 @@ SQL = {
     "job_state_final": "SELECT user_id, CASE last(event_type ORDER BY ts, event_id) WHEN 'signup' THEN 'undefined' WHEN 'view' THEN 'waiting' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'success' ELSE 'error' END AS state, count(*) AS n_events FROM events GROUP BY user_id",
 }
 
-for _more in (layout, qa, texts, trees, rich, groups, shapes, figures, orders, probes, records, files):
+for _more in (layout, qa, texts, trees, rich, groups, shapes, figures, orders, probes, records, files, pdfs, pixels):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL

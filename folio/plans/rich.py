@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions import frames, reactions
 from folio.functions import spans as S
 from folio.functions import text as T
+from folio.functions.latex import unicode_to_latex
 from folio.sources import tables
 from folio.sources.blocks import BLOCKS_SQL, blocks
 
@@ -82,7 +83,13 @@ def expression_tables(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (inline_spans, chart_frames, table_frames, table_spans, expression_tables)}
+def latex_texts(spark, sf_dir):
+    """Hash and length of each whole document as LaTeX."""
+    t = unicode_to_latex(F.coalesce("text", F.lit("")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.alias("t")).select("doc_id", F.sha2("t", 256).alias("latex_hash"), F.length("t").alias("latex_chars"))
+
+
+QUERIES = {f.__name__: f for f in (inline_spans, latex_texts, chart_frames, table_frames, table_spans, expression_tables)}
 
 _esc = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _esc3 = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -96,11 +103,29 @@ def _lat(c: str) -> str:
     return out
 
 
+#: How the accented letters of the given texts are written in LaTeX.
+ACCENTED = {
+    "Ä": '\\"A', "Ç": "\\c C", "È": "\\`E", "É": "\\'E", "Ê": "\\^E", "Í": "\\'I", "Ñ": "\\~N", "Ó": "\\'O", "Ö": '\\"O', "Ü": '\\"U', "ß": "{\\ss}", "ä": '\\"a', "ç": "\\c c", "è": "\\`e", "é": "\\'e", "ê": "\\^e",
+    "í": "{\\'\\i}", "ñ": "\\~n", "ó": "\\'o", "ö": '\\"o', "ü": '\\"u',
+}
+
+
+def _uni(c: str) -> str:
+    """LaTeX of a text of ASCII and those letters."""
+    marks = {"\\": "{\\textbackslash}", "%": "\\%", "#": "\\#", "&": "\\&", "_": "\\_", "$": "\\$", "{": "\\{", "}": "\\}", "~": "{\\textasciitilde}", "^": "{\\textasciicircum}"}
+    out = f"translate({c}, '{''.join(marks)}', '{''.join(chr(0xFDD0 + k) for k in range(len(marks)))}')"
+    for k, written in enumerate(marks.values()):
+        out = f"replace({out}, '{chr(0xFDD0 + k)}', '{written}')"
+    for letter, written in ACCENTED.items():
+        out = "replace({}, '{}', '{}')".format(out, letter, written.replace("'", "''"))
+    return out
+
+
 def _mark_sql(form: str) -> str:
     """A mark m with its kind (M, E or T) and inner text c in one format."""
     eq = {"plain": ("\\(", "\\)"), "markdown": ("$", "$"), "latex": ("\\(", "\\)"), "html": ("\\(", "\\)")}[form]
-    mol = {"plain": "c", "markdown": "'`' || c || '`'", "latex": f"'\\texttt{{' || {_lat('c')} || '}}'", "html": f"'<code>' || {_esc('c')} || '</code>'"}[form]
-    text = {"plain": "c", "markdown": "c", "latex": _lat("c"), "html": _esc("c")}[form]
+    mol = {"plain": "c", "markdown": "'`' || c || '`'", "latex": f"'\\texttt{{' || {_uni('c')} || '}}'", "html": f"'<code>' || {_esc('c')} || '</code>'"}[form]
+    text = {"plain": "c", "markdown": "c", "latex": _uni("c"), "html": _esc("c")}[form]
     return f"CASE k WHEN 'E' THEN '{eq[0]}' || c || '{eq[1]}' WHEN 'M' THEN {mol} ELSE {text} END AS {form}"
 
 
@@ -142,6 +167,7 @@ def _reaction_sql(form: str) -> str:
 
 
 SQL = {
+    "latex_texts": f"""WITH d AS (SELECT doc_id, {_uni("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, sha256(t) AS latex_hash, length(t) AS latex_chars FROM d""",
     "inline_spans": f"""WITH {BLOCKS_SQL}, r AS (SELECT token, page, block, CASE block % 4 WHEN 0 THEN text || ' $a_1$ and $5 or $6 ***CCO***' WHEN 1 THEN '`N#N`\\(x^2 \\) ' || text
   WHEN 2 THEN text || '$$ E = mc^2 $$<code> C1 </code> \\[ z \\]tail %' ELSE text END AS t FROM blocks),
 p AS (SELECT token, page, block, string_split_regex(t, '{S.SPAN}') AS pieces, regexp_extract_all(t, '{S.SPAN}', 0) AS marks FROM r),

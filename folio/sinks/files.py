@@ -3,6 +3,10 @@ part; nothing passes through the driver."""
 
 from __future__ import annotations
 
+from itertools import count
+from pathlib import Path
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,49 @@ def free_path(spark: SparkSession, path: str) -> str:
     return out
 
 
+def claimed_path(spark: SparkSession, path: str) -> str:
+    """A new folder: `path`, or the first of path_1, path_2 and so on that nobody has. Making it claims it, so of several
+    that ask at once each gets its own. Folders of the user's own (the root, the home, the working folder, what is above
+    them, a repository's .git) are refused."""
+    base = path.rstrip("/")
+    local = _local(spark, base)
+    if local is not None:
+        _own_folder(local)
+        local.parent.mkdir(parents=True, exist_ok=True)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for n in count():
+        out = base if n == 0 else f"{base}_{n}"
+        try:
+            if local is not None:
+                Path(f"{local}{out[len(base):]}").mkdir()
+            else:
+                mark = jvm.org.apache.hadoop.fs.Path(f"{out}/.claimed")
+                where = mark.getFileSystem(conf)
+                if where.exists(mark.getParent()):
+                    continue
+                where.create(mark, False).close()
+            return out
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, Py4JJavaError) and "AlreadyExists" not in str(e.java_exception):
+                raise
+    raise AssertionError
+
+
+def _local(spark: SparkSession, path: str) -> Path | None:
+    """The path on this machine, or None where it is elsewhere."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    where = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return Path(where.makeQualified(at).toUri().getPath()) if where.getScheme() == "file" else None
+
+
+def _own_folder(target: Path) -> None:
+    at = target.parent.resolve() / target.name
+    kept = {Path("/"), *(q for p in (Path.home(), Path.cwd()) for q in (p.resolve(), *p.resolve().parents))}
+    if at in kept or ".git" in at.parts:
+        raise ValueError(f"{target} isn't a folder for output")
+
+
 def is_plain_name(stem: Column) -> Column:
     """Whether a name stays inside the folder that it is joined to."""
     return F.coalesce(~stem.isin("", ".", "..") & ~stem.rlike(r"[/\\\x00]"), F.lit(False))
