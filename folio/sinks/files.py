@@ -27,7 +27,7 @@ def claimed_path(spark: SparkSession, path: str) -> str:
     """A new folder: `path`, or the first of path_1, path_2 and so on that nobody has. Making it claims it, so of several
     that ask at once each gets its own. Folders of the user's own (the root, the home, the working folder, what is above
     them, a repository's .git) are refused."""
-    base = path.rstrip("/")
+    base = path.rstrip("/") or "/"
     local = _local(spark, base)
     if local is not None:
         _own_folder(local)

@@ -129,10 +129,11 @@ class Png:
         inflate = zlib.decompressobj()
         try:
             for body in self.data:
-                part = inflate.decompress(body, PIECE)
-                while part or inflate.unconsumed_tail:
-                    yield part
-                    part = inflate.decompress(inflate.unconsumed_tail, PIECE)
+                for a in range(0, len(body), PIECE):
+                    part = inflate.decompress(body[a : a + PIECE], PIECE)
+                    while part or inflate.unconsumed_tail:
+                        yield part
+                        part = inflate.decompress(inflate.unconsumed_tail, PIECE)
             yield inflate.flush()
         except zlib.error as e:
             raise PngError(f"the data are damaged: {e}") from e
