@@ -54,7 +54,9 @@ MADE_OF = {c: d for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
 
 
 def _map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
+    """A constant map: one expression, which Spark folds, however many entries."""
+    pair, part = chr(_SPARE + 30), chr(_SPARE + 31)
+    return F.str_to_map(F.lit(pair.join(k + part + v for k, v in entries.items())), F.lit(pair), F.lit(part))
 
 
 def escaped(s: Column) -> Column:

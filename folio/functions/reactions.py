@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.frames import frame
-from folio.functions.spans import MOLECULE, format_span, inline_spans, inline_text
+from folio.functions.frames import bound, frame
+from folio.functions.spans import MOLECULE, inline_spans, inline_text
 from folio.functions.text import SPACES
 
 COMPONENT = "struct<bbox:struct<x1:double,y1:double,x2:double,y2:double>,category:string,category_id:int,text:string>"
 REACTIONS = f"array<struct<reactants:array<{COMPONENT}>,conditions:array<{COMPONENT}>,products:array<{COMPONENT}>>>"
 
+PARTS = ("reactants", "conditions", "products")
+FORMS = ("plain", "markdown", "latex", "html")
+
 
 def read_reactions(raw: Column) -> Column:
     """JSON to reactions; unknown fields go, missing lists are empty."""
     found = F.from_json(raw, REACTIONS)
-    lists = lambda r: [F.coalesce(r[k], F.array().cast(f"array<{COMPONENT}>")).alias(k) for k in ("reactants", "conditions", "products")]
+    lists = lambda r: [F.coalesce(r[k], F.array().cast(f"array<{COMPONENT}>")).alias(k) for k in PARTS]
     return F.transform(found, lambda r: F.struct(*lists(r)))
 
 
@@ -24,14 +27,22 @@ def is_molecule(c: Column) -> Column:
     return F.coalesce(c["category_id"] == 1, F.lit(False)) | F.coalesce(c["category"] == "[Mol]", F.lit(False))
 
 
-def component_text(c: Column, form: str) -> Column:
-    """A component in plain, markdown, latex or html: a molecule, or text with inline spans; empty without text."""
+def component_texts(c: Column) -> Column:
+    """struct of a component in each of FORMS: a molecule, or text with inline spans; empty without text. The text is cut
+    into spans once for all forms."""
     text = F.trim(F.coalesce(c["text"], F.lit("")), F.lit(SPACES))
-    return F.when(text == "", F.lit("")).when(is_molecule(c), format_span(text, F.lit(MOLECULE), form)).otherwise(inline_text(inline_spans(text), form))
+    none = F.array().cast("array<struct<content:string,type:string>>")
+    spans = F.when(text == "", none).when(is_molecule(c), F.array(F.struct(text.alias("content"), F.lit(MOLECULE).alias("type")))).otherwise(inline_spans(text))
+    return bound(spans, lambda s: F.struct(*[inline_text(s, form).alias(form) for form in FORMS]))
+
+
+def reaction_texts(reactions: Column) -> Column:
+    """The reactions with `component_texts` in place of each component, from which `expression` makes its tables."""
+    return F.transform(reactions, lambda r: F.struct(*[F.transform(r[k], component_texts).alias(k) for k in PARTS]))
 
 
-def components_text(components: Column, form: str, between: str = ",") -> Column:
-    return F.array_join(F.filter(F.transform(components, lambda c: component_text(c, form)), lambda t: t != ""), between)
+def components_text(texts: Column, form: str, between: str = ",") -> Column:
+    return F.array_join(F.filter(F.transform(texts, lambda c: c[form]), lambda t: t != ""), between)
 
 
 def all_components(reaction: Column) -> Column:
@@ -50,8 +61,8 @@ def summary(reaction: Column) -> Column:
 
 
 def expression(reactions: Column, form: str) -> Column:
-    """All reactions as a table: number, reactants, products and conditions; in html reactants, conditions and products,
-    with a line for each component. Empty without a reaction."""
+    """All reactions (as `reaction_texts` has them) as a table: number, reactants, products and conditions; in html
+    reactants, conditions and products, with a line for each component. Empty without a reaction."""
     if form == "html":
         cell = lambda cs: F.concat(F.lit("<td>"), components_text(cs, "html", "<br>"), F.lit("</td>"))
         rows = F.transform(reactions, lambda r: F.concat(F.lit("<tr>"), cell(r["reactants"]), cell(r["conditions"]), cell(r["products"]), F.lit("</tr>")))

@@ -72,11 +72,12 @@ def latex_escape(s: Column) -> Column:
 
 def format_span(content: Column, kind: Column, form: str) -> Column:
     """One span in plain, markdown, latex or html."""
-    eq = {"plain": ("\\(", "\\)"), "markdown": ("$", "$"), "latex": ("\\(", "\\)"), "html": ("\\(", "\\)")}[form]
-    equation = F.concat(F.lit(eq[0]), content, F.lit(eq[1]))
-    molecule = {"plain": content, "markdown": F.concat(F.lit("`"), content, F.lit("`")), "latex": F.concat(F.lit("\\texttt{"), unicode_to_latex(content), F.lit("}")), "html": F.concat(F.lit("<code>"), html_escape(content), F.lit("</code>"))}[form]
-    text = {"plain": content, "markdown": content, "latex": unicode_to_latex(content), "html": html_escape(content)}[form]
-    return F.when(kind.isin("equation", EQUATION), equation).when(kind == MOLECULE, molecule).otherwise(text)
+    before, after = {"plain": ("\\(", "\\)"), "markdown": ("$", "$"), "latex": ("\\(", "\\)"), "html": ("\\(", "\\)")}[form]
+    equation = F.concat(F.lit(before), content, F.lit(after))
+    body = {"plain": content, "markdown": content, "latex": unicode_to_latex(content), "html": html_escape(content)}[form]
+    marks = {"plain": ("", ""), "markdown": ("`", "`"), "latex": ("\\texttt{", "}"), "html": ("<code>", "</code>")}[form]
+    around = [F.when(kind == MOLECULE, m).otherwise("") for m in marks]
+    return F.when(kind.isin("equation", EQUATION), equation).otherwise(body if form == "plain" else F.concat(around[0], body, around[1]))
 
 
 def inline_text(spans: Column, form: str) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folio.operators import viewer
 from folio.plans import figures as figure_plans
 from folio.plans import groups, texts
+from folio.plans.rich import _esc
 from folio.sinks import placed
 from folio.sinks.shared import shared_folder
-from folio.streaming import service
+from folio.streaming import callbacks, service
 
 
 def placed_images(spark, sf_dir):
@@ -27,6 +29,17 @@ def placed_groups(spark, sf_dir):
     return placed.read_placed(spark, at).select("name", part("$.keyword").alias("keyword"), part("$.concat_type").alias("concat_type"), part("$.caption").alias("caption"), part("$.kept").alias("kept"), part("$.ratio").alias("ratio"))
 
 
+def placed_viewers(spark, sf_dir):
+    """Every page of the viewers, as written and read back: a hash of what is shown, and the nodes of its JSON."""
+    at = shared_folder(spark, "viewers")
+    placed.place(viewer.viewers(groups._nodes(spark, sf_dir).where("token is not null")), at)
+    text = F.split(F.decode("content", "utf-8"), '<section id="')
+    pages = placed.read_placed(spark, at).select("name", F.size(text).alias("n"), F.explode(F.slice(text, 2, F.size(text))).alias("s"))
+    shown = F.split("s", '<script type="application/json">')
+    rows = F.from_json(F.substring_index(F.element_at(shown, 2), "</script>", 1), "array<struct<path:array<int>,text:string>>")
+    return pages.select("name", (F.col("n") - 1).alias("n_pages"), F.regexp_extract("s", r"^p(\d+)", 1).cast("int").alias("page"), F.sha2(F.element_at(shown, 1), 256).alias("hash"), F.size(rows).alias("n_nodes"), F.sha2(F.array_join(F.transform(rows, lambda r: r["text"]), "\n"), 256).alias("texts"))
+
+
 def polled_jobs(spark, sf_dir):
     """A job for each user of the events, whose states are its answers; outcomes as the stream of polls has them."""
     at = shared_folder(spark, "jobs")
@@ -43,11 +56,28 @@ def polled_jobs(spark, sf_dir):
     return ended.select(F.col("token").cast("long").alias("user_id"), "outcome", "checks")
 
 
-QUERIES = {f.__name__: f for f in (placed_images, placed_groups, polled_jobs)}
+def accepted_callbacks(spark, sf_dir):
+    """Events as callbacks, a key for each user and type: those that count, by their ids."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    calls = e.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).cast("int").alias("attempt"), F.encode(F.col("event_id").cast("string"), "utf-8").alias("body"))
+    return callbacks.accepted(calls).select("key", F.decode("body", "utf-8").cast("long").alias("event_id"), "attempt")
+
+
+QUERIES = {f.__name__: f for f in (placed_images, placed_groups, placed_viewers, polled_jobs, accepted_callbacks)}
 _groups = figure_plans.SQL["figure_groups"].removesuffix("SELECT * FROM groups")
 SQL = {
     "placed_images": f"""{groups._NODES}{groups._files} SELECT f.token || '/' || f.name AS name, any_value(sha256(s.raw)) AS hash, CAST(any_value(octet_length(s.raw)) AS INTEGER) AS bytes FROM files f JOIN src s ON s.token = f.token AND s.page = f.page AND s.block = f.block GROUP BY f.token, f.name""",
     "placed_groups": f"""{_groups} SELECT token || '/' || name || '.json' AS name, keyword, concat_type, caption, NULL AS kept, NULL AS ratio FROM groups WHERE skipped IS NULL
 UNION ALL SELECT token || '/global_info.json', NULL, NULL, NULL, kept, ratio FROM ({figure_plans.SQL["figure_info"]})""",
+    "placed_viewers": f"""{groups.SQL["tree_text"].replace("SELECT token, page, string_agg(t, chr(10) ORDER BY path) AS text FROM l GROUP BY token, page", "")},
+t AS (SELECT token, page, string_agg(t, chr(10) ORDER BY path) AS lines FROM l GROUP BY token, page),
+v AS (SELECT *, array_to_string(path, '-') AS k, row_number() OVER (PARTITION BY token, page ORDER BY (x2 - x1) * (y2 - y1) DESC, path) AS layer, CAST(round(x1 * 1024) AS BIGINT) AS a, CAST(round(y1 * 1024) AS BIGINT) AS b, CAST(round(x2 * 1024) AS BIGINT) AS c, CAST(round(y2 * 1024) AS BIGINT) AS d FROM nodes),
+p AS (SELECT token, page, string_agg('<a href="#n' || page || '-' || k || '"><rect x="' || a || '" y="' || b || '" width="' || (c - a) || '" height="' || (d - b) || '"><title>' || type || '</title></rect></a>', '' ORDER BY layer) AS boxes,
+  string_agg('<article id="n' || page || '-' || k || '"><b>' || type || '</b> ' || {_esc("text")} || '</article>', '' ORDER BY path) AS cards, count(*) AS n, string_agg(text, chr(10) ORDER BY path) AS texts FROM v GROUP BY token, page)
+SELECT token || '/index.html' AS name, CAST(count(*) OVER (PARTITION BY token) AS INTEGER) AS n_pages, page, sha256('p' || page || '"><h2>' || page || '</h2><pre>' || {_esc("lines")} || '</pre><svg viewBox="0 0 1024 1024">' || boxes || '</svg>' || cards) AS hash, CAST(n AS INTEGER) AS n_nodes, sha256(texts) AS texts FROM p JOIN t USING (token, page)""",
+    "accepted_callbacks": """WITH RECURSIVE e AS (SELECT concat_ws('-', user_id, event_type) AS key, ts, event_id, CAST(event_id % 3 AS INTEGER) AS attempt FROM events WHERE ts IS NOT NULL),
+o AS MATERIALIZED (SELECT *, min(ts) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM e QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY attempt, CAST(event_id AS VARCHAR)) = 1),
+t AS (SELECT key, min(ts) AS ts FROM o GROUP BY key UNION ALL SELECT t.key, o.next FROM t JOIN o ON o.key = t.key AND o.ts = t.ts WHERE o.next IS NOT NULL)
+SELECT key, event_id, attempt FROM o SEMI JOIN t USING (key, ts)""",
     "polled_jobs": f"""SELECT user_id, CASE outcome WHEN 'pending' THEN 'failed' ELSE outcome END AS outcome, checks FROM ({texts.SQL["job_outcomes"]})""",
 }

@@ -73,13 +73,13 @@ def _reactions():
 
 def expression_tables(spark, sf_dir):
     """Reactions as tables, with the number of components, the third of them, and the summary of the first."""
-    b = blocks(spark, sf_dir).select(*PAGE, "block", reactions.read_reactions(_reactions()).alias("r"))
+    b = blocks(spark, sf_dir).select(*PAGE, "block", reactions.read_reactions(_reactions()).alias("r")).withColumn("t", reactions.reaction_texts(F.col("r")))
     first = F.col("r")[0]
     s = reactions.summary(first)
     return b.select(
         *PAGE, "block", F.size(reactions.all_components(first)).alias("n_components"), F.get(reactions.all_components(first), F.lit(2))["text"].alias("third"),
         F.concat_ws("|", F.array_join(s["prev_mols"], ","), F.array_join(s["post_mols"], ","), s["condition"]["text"], F.array_join(s["condition"]["catalyst"], ",")).alias("summary"),
-        *[reactions.expression(F.col("r"), f).alias(f) for f in ("plain", "markdown", "latex", "html")],
+        *[reactions.expression(F.col("t"), f).alias(f) for f in ("plain", "markdown", "latex", "html")],
     )
 
 
