@@ -1,13 +1,16 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram's vector is the product (binding) of its letters'
-vectors, each permuted by its place; a text's vector is the sum (bundling) of its trigrams' vectors, and a language's
-prototype is the bundle of its training texts, from which the mean of all prototypes is taken away, so that what all
-languages share doesn't count. A text gets the language whose prototype has the highest cosine with its vector.
-
-A text's product with a prototype is the sum over its trigrams of the trigram's product with the prototype, so those
-are worked out once, for each trigram seen in training, and no text's vector is ever laid out. For its length the
-trigrams' vectors count as orthogonal, as random vectors of that many dimensions nearly are.
+Every letter, told by its code point, has a random vector of +1 and -1. A letter trigram's vector is the product
+(binding) of its letters' vectors, each permuted by its place; a text's vector is the sum (bundling) of its trigrams'
+vectors, and a language's prototype is the bundle of its training texts, from which the mean of all prototypes is taken
+away, so that what all languages share doesn't count. A text gets the language whose prototype has the highest cosine
+with its vector.
+
+Vectors are bits, so binding is an exclusive or. Trigrams are counted and bundled by the executors; what the driver holds
+is a vector for each language, whatever the scripts. A text's product with a prototype is the sum over its trigrams of
+the trigram's product with the prototype, so those are worked out once for the trigrams that a worker meets, and no
+text's vector is laid out. For its length the trigrams' vectors count as orthogonal, as random vectors of that many
+dimensions nearly are.
 """
 
 from __future__ import annotations
@@ -20,48 +23,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.bytehash import mix64
+from folio.llm.common import mapped, stored
 
-#: Dimensions; letter classes (26 for a-z, the others by code point), 0 being no letter; characters handled at a time.
-DIMS, CLASSES, STEP = 2048, 64, 1 << 20
+#: Dimensions (a multiple of 64); characters handled at a time; trigrams laid out at a time.
+DIMS, STEP, LAID = 2048, 1 << 18, 1024
 #: How sharply a difference of cosines tells in the score.
 SHARPNESS = 30.0
-#: Languages whose counts a task holds before it hands them on.
-HELD = 32
+#: Trigrams that a task holds before it hands their counts on, and whose products a worker remembers.
+HELD, KNOWN = 1 << 20, 1 << 18
+#: Shares are added up as integers of this part, so that sums don't depend on their order.
+UNIT = 1 << 32
+_TOP = 0x110000
+_letters: list[np.ndarray] = []
 
 
-def _classes() -> np.ndarray:
-    """The class of every code point: a-z have their own, other letters share the rest by code point, 0 is no letter."""
-    points = np.arange(0x110000)
-    letter = np.fromiter((unicodedata.category(chr(p))[0] == "L" for p in range(0x110000)), bool, 0x110000)
-    table = np.where(letter, 27 + points % (CLASSES - 27), 0).astype(np.int32)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
-
-
-_table: list[np.ndarray] = []
+def _is_letter() -> np.ndarray:
+    if not _letters:
+        _letters.append(np.fromiter((unicodedata.category(chr(p))[0] == "L" for p in range(_TOP)), bool, _TOP))
+    return _letters[0]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all texts' letter trigrams (a non-letter on either side is the class 0), each one's text, and which
-    texts have a letter."""
-    if not _table:
-        _table.append(_classes())
+    """All texts' letter trigrams (three code points of 21 bits, 0 for a non-letter on either side), each one's text, and
+    which texts have a letter."""
     lowered = [t.lower() for t in texts]
     lengths = np.fromiter(map(len, lowered), np.int64, len(lowered))
     # a character that is no letter before, between and after the texts
     joined = "\n" + "\n".join(lowered) + "\n"
-    c = _table[0][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    point = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    point[~_is_letter()[point]] = 0
     text_of = np.repeat(np.arange(len(texts)), lengths + 1)
-    middle = np.flatnonzero(c[1:-1]) + 1
-    code = (c[middle - 1] * CLASSES + c[middle]) * CLASSES + c[middle + 1]
+    middle = np.flatnonzero(point[1:-1]) + 1
+    code = (point[middle - 1] << 42) | (point[middle] << 21) | point[middle + 1]
     owner = text_of[middle - 1]
     return code, owner, np.bincount(owner, minlength=len(texts)) > 0
 
 
-def trigram_vectors(codes: np.ndarray, dims: int = DIMS, seed: int = 5) -> np.ndarray:
-    letters = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (CLASSES, dims), dtype=np.int8) * 2 - 1
-    a, b, c = codes // (CLASSES * CLASSES), codes // CLASSES % CLASSES, codes % CLASSES
-    return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
+def letter_bits(points: np.ndarray, dims: int = DIMS, seed: int = 5) -> np.ndarray:
+    """A row of random bits (64 a word) for each code point."""
+    at = points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, dims // 64 + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return mix64(mix64(at) ^ np.uint64(seed))
+
+
+def _turned(bits: np.ndarray) -> np.ndarray:
+    """Each row permuted: all bits one place on, the last to the front."""
+    return (bits << np.uint64(1)) | np.roll(bits >> np.uint64(63), 1, axis=1)
+
+
+def trigram_vectors(codes: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Rows of +1 and -1 (float32), one for each trigram: its letters' vectors, turned twice, once and not, bound."""
+    mask = (1 << 21) - 1
+    points, at = np.unique(np.stack([codes >> 42, codes >> 21 & mask, codes & mask]), return_inverse=True)
+    own = letter_bits(points, dims)
+    once = _turned(own)
+    a, b, c = at.reshape(3, -1)
+    bound = _turned(once)[a] ^ once[b] ^ own[c]
+    return 1 - 2 * np.unpackbits(bound.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
 
 
 def _steps(texts: list[str]):
@@ -75,91 +93,142 @@ def _steps(texts: list[str]):
         yield at, len(texts)
 
 
-def count_trigrams(rows: DataFrame) -> DataFrame:
-    """lang, code, n over rows of text and lang; each task sums its own first."""
-    names = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
 
-    def emit(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lang, n in held.items():
-            code = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(n[code], pa.int64())], schema=names)
+
+def count_trigrams(rows: DataFrame) -> DataFrame:
+    """lang, code, n over rows of text and lang; each task sums its own first, HELD trigrams at a time."""
+    names = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                code, n = _added(parts)
+                for k in range(0, len(code), 1 << 16):
+                    c, m = code[k : k + (1 << 16)], n[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c), pa.array(m)], schema=names)
+            held.clear()
+
         for batch in batches:
-            for a, b in _steps(texts := batch.column(0).to_pylist()):
+            texts = batch.column(0).to_pylist()
+            for a, b in _steps(texts):
                 langs = np.array(batch.column(1)[a:b].to_pylist(), object)
                 code, owner, _ = trigrams(texts[a:b])
                 for lang in dict.fromkeys(langs.tolist()):
-                    n = np.bincount(code[(langs == lang)[owner]], minlength=CLASSES**3)
-                    if len(held) >= HELD and lang not in held:
-                        yield from emit(held)
-                        held = {}
-                    held[lang] = held.get(lang, 0) + n
-        yield from emit(held)
+                    own = np.unique(code[(langs == lang)[owner]], return_counts=True)
+                    held[lang] = [_added([*held[lang], own])] if lang in held else [own]
+                size = sum(len(p[0]) for parts in held.values() for p in parts)
+                if size > HELD:
+                    yield from emit()
+        yield from emit()
 
-    return rows.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return mapped(rows, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, dims: int = DIMS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, trigram codes in ascending order, and each trigram's product with each language's unit prototype.
+def bundles(shares: DataFrame, dims: int = DIMS) -> DataFrame:
+    """lang, place, total: the sum over a language's trigrams of their share times their vector, in units of 1 / UNIT.
+    shares: lang, code, share (a whole number of units). A task adds up its own first."""
+    names = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("total", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, code, share = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for a in range(0, len(code), LAID):
+                part = slice(a, a + LAID)
+                vectors = trigram_vectors(code[part], dims).astype(np.float64)
+                for lang in dict.fromkeys(langs[part].tolist()):
+                    # whole numbers below 2**53, so exact
+                    own = np.where(langs[part] == lang, share[part], 0).astype(np.float64)
+                    total[lang] = total.get(lang, 0) + (own @ vectors).astype(np.int64)
+        for lang, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dims, pa.string()), pa.array(np.arange(dims, dtype=np.int32)), pa.array(own)], schema=names)
+
+    return mapped(shares.select("lang", "code", "share"), run, "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total"))
 
-    rows: text, lang; those with a null lang or text don't count. What reaches the driver is a count for each language
-    and trigram, CLASSES**3 for each language at most, whatever the input.
-    """
-    found = count_trigrams(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")).toArrow()
-    lang, code, n = (found.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-    langs = sorted(set(lang.tolist()))
-    codes, at = np.unique(code, return_inverse=True)
-    counts = np.zeros((len(langs), len(codes)))
-    counts[np.searchsorted(np.array(langs, object), lang) if len(langs) else [], at] = n
-    if not langs:
-        return [], codes, np.zeros((len(codes), 0), np.float32)
-    share = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-    share -= share.mean(0) if len(langs) > 1 else 0
-    prototypes = np.zeros((len(langs), dims))
-    parts = [slice(k, k + 4096) for k in range(0, len(codes), 4096)]
-    for p in parts:
-        prototypes += share[:, p] @ trigram_vectors(codes[p], dims).astype(np.float64)
-    prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
-    products = [trigram_vectors(codes[p], dims).astype(np.float64) @ prototypes.T for p in parts]
-    return langs, codes, np.concatenate([*products, np.zeros((0, len(langs)))]).astype(np.float32)
 
+def fit(rows: DataFrame, dims: int = DIMS) -> tuple[list[str], np.ndarray]:
+    """Languages and their unit prototypes (a row each).
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], dims: int = DIMS) -> DataFrame:
+    rows: text, lang; those with a null lang or text, or without a letter, don't count. What reaches the driver is a
+    count and a vector for each language, whatever the input.
+    """
+    counts = stored(count_trigrams(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")), "trigrams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counts.join(totals, "lang").select("lang", "code", F.round(F.sqrt(F.col("n") / F.col("total")) * UNIT).cast("long").alias("share"))
+    found = bundles(shares, dims).toArrow()
+    names, place, total = (found.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+    langs = sorted(set(names.tolist()))
+    prototypes = np.zeros((len(langs), dims))
+    if langs:
+        prototypes[np.searchsorted(np.array(langs, object), names), place] = total / UNIT
+        prototypes -= prototypes.mean(0) if len(langs) > 1 else 0
+        prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
+    return langs, prototypes
+
+
+class Products:
+    """Trigrams' products with the prototypes, remembered for KNOWN trigrams."""
+
+    def __init__(self, prototypes: np.ndarray):
+        self.to = prototypes.T.astype(np.float32)
+        self.codes, self.rows = np.zeros(0, np.int64), np.zeros((0, len(prototypes)), np.float32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """codes: distinct, ascending."""
+        at = np.searchsorted(self.codes, codes)
+        known = np.append(self.codes, -1)[at] == codes
+        out = np.empty((len(codes), self.rows.shape[1]), np.float32)
+        out[known] = self.rows[at[known]]
+        new = codes[~known]
+        if len(new):
+            own = np.concatenate([trigram_vectors(new[k : k + LAID], len(self.to)) @ self.to for k in range(0, len(new), LAID)])
+            out[~known] = own
+            if len(self.codes) + len(new) > KNOWN:
+                self.codes, self.rows = new[:KNOWN], own[:KNOWN]
+            else:
+                both, rows = np.concatenate([self.codes, new]), np.concatenate([self.rows, own])
+                order = np.argsort(both)
+                self.codes, self.rows = both[order], rows[order]
+        return out
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score of `docs` (doc_id, text; further columns are not read).
 
     lang_pred is `und`, with score 0, where the text is null or has no letter or no language was learned; equal cosines
     go to the language first in order. score is the language's part in the softmax of the cosines. Repeated rows are
-    scored each. Every task gets the products, CLASSES**3 by the number of languages at most.
+    scored each. Every task gets the prototypes: a vector for each language.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, codes, products = shared.value
-        place = np.full(CLASSES**3, len(codes), np.int64)
-        place[codes] = np.arange(len(codes))
-        table = np.concatenate([products, np.zeros((1, len(langs)), np.float32)])
+        langs, prototypes = shared.value
+        products, dims = Products(prototypes), prototypes.shape[1]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _steps(texts):
                 code, owner, lettered = trigrams(texts[a:b])
-                key, n = np.unique(owner * CLASSES**3 + code, return_counts=True)
-                who, row = key // CLASSES**3, place[key % CLASSES**3]
-                length = np.sqrt(dims * np.bincount(who, n.astype(float) ** 2, b - a))
-                cosine = np.stack([np.bincount(who, n * table[row, k], b - a) for k in range(len(langs))], 1) / np.maximum(length, 1e-12)[:, None] if langs else np.zeros((b - a, 0))
                 if langs:
+                    codes, at = np.unique(code, return_inverse=True)
+                    key, n = np.unique(owner * max(1, len(codes)) + at, return_counts=True)
+                    who, table = key // max(1, len(codes)), products.of(codes)[key % max(1, len(codes))]
+                    length = np.sqrt(dims * np.bincount(who, n.astype(float) ** 2, b - a))
+                    cosine = np.stack([np.bincount(who, n * table[:, k], b - a) for k in range(len(langs))], 1) / np.maximum(length, 1e-12)[:, None]
                     e = np.exp(SHARPNESS * (cosine - cosine.max(1, keepdims=True)))
-                    best = cosine.argmax(1)
-                    pred = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist())]
+                    pred = [langs[k] if ok else "und" for k, ok in zip(cosine.argmax(1).tolist(), lettered.tolist())]
                     score = np.where(lettered, 1 / e.sum(1), 0.0)
                 else:
                     pred, score = ["und"] * (b - a), np.zeros(b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(pred, pa.string()), pa.array(score)], schema=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def op8_langid(spark, sf_dir):
