@@ -22,7 +22,7 @@ def doi_blocks(spark, sf_dir):
 def molecule_names(spark, sf_dir):
     """Blocks in groups of four: a molecule, its id, another molecule, text."""
     b, k = blocks(spark, sf_dir), F.col("block") % 4
-    kids = b.select(*PAGE, F.array(F.floor(F.col("block") / 4).cast("int"), k.cast("int")).alias("path"), F.when(k == 1, "moleculeid").when(k == 3, "text").otherwise("molecule").alias("type"), F.concat(F.left("text", F.lit(5)), F.when(F.col("page") % 3 == 2, F.lit("<sep>x")).otherwise(F.lit(" "))).alias("text"), F.when(k == 0, F.concat(F.lit("C<sep>"), "text")).when(F.col("block") < 8, F.concat(F.lit(" N"), F.length("text").cast("string"))).alias("smi"), F.left("text", F.lit(3)).alias("caption"))
+    kids = b.select(*PAGE, F.array(F.floor(F.col("block") / 4).cast("int"), k.cast("int")).alias("path"), F.when(k == 1, "moleculeid").when(k == 3, "text").otherwise("molecule").alias("type"), F.concat("text", F.when(F.col("page") % 3 == 2, F.lit("<sep>x")).otherwise(F.lit(" "))).alias("text"), F.when(k == 0, F.concat(F.lit("C<sep>"), "text")).when(F.col("block") < 8, F.concat(F.lit(" N"), F.length("text").cast("string"))).alias("smi"), F.col("text").alias("caption"))
     tops = b.select(*PAGE, F.array(F.floor(F.col("block") / 4).cast("int")).alias("path")).distinct().withColumns({"type": F.lit("moleculegroup"), "text": F.lit(None).cast("string"), "smi": F.lit(None).cast("string"), "caption": F.lit(None).cast("string")})
     out = O.molecules(kids.unionByName(tops))
     return out.select(*PAGE, F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"), "smiles", "caption", "name")
@@ -85,8 +85,8 @@ SQL = {
     "doi_blocks": f"""WITH {BLOCKS_SQL}, d AS (SELECT token, page, block, text AS t, CASE block % 4 WHEN 0 THEN 'DOI:10.1/a ' || text WHEN 1 THEN 'F IGU R E https://doi.org/10.5/x doi:10.2/b, ' || text WHEN 2 THEN text || ' doi:10.3/c' ELSE text END AS text FROM blocks)
 SELECT token, page, block, replace(CASE WHEN block % 4 = 2 THEN CASE WHEN regexp_matches(t, '{_doi_start}', 'i') THEN '' ELSE t END WHEN contains(lower(text), 'doi:10.') OR contains(lower(text), 'https://doi.org/') THEN regexp_replace(text, '{_doi}', '', 'gi') ELSE text END, 'F IGU R E', 'FIGURE') AS text,
 CAST(CASE WHEN block % 4 = 2 THEN 1 ELSE 0 END AS INTEGER) AS n_lines FROM d WHERE NOT regexp_matches(text, '{_doi_start}', 'i')""",
-    "molecule_names": f"""WITH {BLOCKS_SQL}, m AS (SELECT token, page, block, block // 4 AS g, block % 4 AS k, text FROM blocks), i AS (SELECT token, page, g, CASE WHEN page % 3 = 2 THEN '' ELSE trim(left(text, 5)) END AS name FROM m WHERE k = 1)
-SELECT m.token, m.page, g || '/' || k AS path, CASE k WHEN 0 THEN 'C' ELSE 'N' || length(text) END AS smiles, trim(left(text, 3)) AS caption, coalesce(name, '') AS name FROM m LEFT JOIN i USING (token, page, g) WHERE k = 0 OR (k = 2 AND block < 8)""",
+    "molecule_names": f"""WITH {BLOCKS_SQL}, m AS (SELECT token, page, block, block // 4 AS g, block % 4 AS k, text FROM blocks), i AS (SELECT token, page, g, CASE WHEN page % 3 = 2 THEN '' ELSE trim(text) END AS name FROM m WHERE k = 1)
+SELECT m.token, m.page, g || '/' || k AS path, CASE k WHEN 0 THEN 'C' ELSE 'N' || length(text) END AS smiles, trim(text) AS caption, coalesce(name, '') AS name FROM m LEFT JOIN i USING (token, page, g) WHERE k = 0 OR (k = 2 AND block < 8)""",
     "image_paths": "SELECT page_id, 'img/' || page_id % 20 || '.png' AS rel, CASE WHEN page_id % 20 < 10 THEN '/store/' || page_id % 20 ELSE '/base/img/' || page_id % 20 || '.png' END AS path FROM pages",
     "progress_counters": f"""WITH {BLOCKS_SQL}, t AS (SELECT token, CASE WHEN length(token) < 6 THEN -1 ELSE 1 END AS s, count(DISTINCT page) AS a, count(DISTINCT page) FILTER (block > 3) AS b, count(*) AS c, count(*) FILTER (type = 'paragraph') AS d FROM blocks GROUP BY token)
 SELECT CAST(sum(a * s) AS BIGINT) AS total_page, CAST(sum(b * s) AS BIGINT) AS proc_page, CAST(sum(c * s) AS BIGINT) AS total_block, CAST(sum(d * s) AS BIGINT) AS proc_block FROM t""",

@@ -40,14 +40,14 @@ def chart_frames(spark, sf_dir):
 
 
 def table_frames(spark, sf_dir):
-    """Each page as an HTML table of its lines' first four words, read back as cells and shown as Markdown."""
-    cells = F.transform(F.slice(F.split("text", " "), 1, 4), T.html_escape)
+    """Each page as an HTML table of its lines, a word a cell, read back as cells: digests of its table in text formats."""
+    cells = F.transform(F.split("text", " "), T.html_escape)
     row = lambda tag: F.concat(F.lit(f"<tr><{tag}>"), F.array_join(cells, f"</{tag}><{tag}>"), F.lit(f"</{tag}></tr>"))
     line = F.struct("block", F.when(F.col("block") == 0, F.concat(F.lit("<thead>"), row("th"), F.lit("</thead>"))).otherwise(row("td")).alias("t"))
     page = blocks(spark, sf_dir).groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda e: e["t"]), "\n").alias("r"))
     page = page.select(*PAGE, F.concat(F.lit("<table>\n"), F.col("r"), F.lit("</table>")).alias("html"))
     rows = tables.table_rows(tables.table_cells(page, "html", ("token", "page")), ("token", "page"))
-    return rows.select(*PAGE, F.size("rows").alias("n_rows"), frames.frame(F.col("rows"), "markdown").alias("markdown"))
+    return rows.select(*PAGE, F.size("rows").alias("n_rows"), *[F.sha2(frames.frame(F.col("rows"), f), 256).alias(f) for f in ("plain", "markdown", "latex")])
 
 
 def table_spans(spark, sf_dir):
@@ -186,10 +186,11 @@ sha256(CASE WHEN ok THEN '\\begin{{tabular}}{{' || repeat('l', len(h)) || '}}' |
   || array_to_string(list_transform(b, lambda r: array_to_string(list_transform(r, lambda c: {_lat("coalesce(c, 'None')")}), ' & ') || ' \\\\' || chr(10)), '') || '\\end{{tabular}}' || chr(10) ELSE '' END) AS latex,
 sha256(CASE WHEN ok THEN '<table border="1" class="dataframe">' || chr(10) || '  <thead>' || chr(10) || '    <tr style="text-align: right;">' || chr(10) || {_html_row('h', 'th')} || '  </thead>' || chr(10) || '  <tbody>' || chr(10)
   || array_to_string(list_transform(b, lambda r: '    <tr>' || chr(10) || {_html_row('r', 'td')}), '') || '  </tbody>' || chr(10) || '</table>' ELSE '' END) AS html FROM w""",
-    "table_frames": f"""WITH {BLOCKS_SQL}, l AS (SELECT token, page, block, string_split(text, ' ')[1:4] AS r FROM blocks), g AS (SELECT token, page, list(r ORDER BY block) AS raw, max(len(r)) AS wide FROM l GROUP BY token, page),
+    "table_frames": f"""WITH {BLOCKS_SQL}, l AS (SELECT token, page, block, string_split(text, ' ') AS r FROM blocks), g AS (SELECT token, page, list(r ORDER BY block) AS raw, max(len(r)) AS wide FROM l GROUP BY token, page),
 q AS (SELECT token, page, list_transform(raw, lambda r: list_transform(list_resize(r, wide), lambda c: coalesce(c, ''))) AS r FROM g),
 n AS (SELECT token, page, r[1] AS h, list_filter(r[2:], lambda x: array_to_string(x, '') <> '') AS b FROM q), w AS (SELECT *, {_WIDE} AS w FROM n)
-SELECT token, page, CAST(len(b) + 1 AS INTEGER) AS n_rows, CASE WHEN len(b) > 0 THEN {_PIPE} ELSE '' END AS markdown FROM w""",
+SELECT token, page, CAST(len(b) + 1 AS INTEGER) AS n_rows, sha256(CASE WHEN len(b) > 0 THEN {_PIPE} ELSE '' END) AS plain, sha256(CASE WHEN len(b) > 0 THEN {_PIPE} ELSE '' END) AS markdown,
+sha256(CASE WHEN len(b) > 0 THEN '\\begin{{tabular}}{{' || repeat('l', len(h)) || '}}' || chr(10) || array_to_string(h, ' & ') || ' \\\\' || chr(10) || array_to_string(list_transform(b, lambda r: array_to_string(r, ' & ') || ' \\\\' || chr(10)), '') || '\\end{{tabular}}' || chr(10) ELSE '' END) AS latex FROM w""",
     "table_spans": f"""WITH {BLOCKS_SQL}, t AS (SELECT token, page, block, {_word} AS w FROM blocks)
 SELECT token, page, block, '{_structure}' AS structure, w || ' |x_1|R&D ' || w || '|C' AS contents, 'text|equationinline|text|molecule' AS types,
 '<table><tr><td>' || w || ' \\(x_1\\)</td><td>R&amp;D ' || w || 'C</td></tr></table>' AS plain, '<table><tr><td>' || w || ' $x_1$</td><td>R&amp;D ' || w || '`C`</td></tr></table>' AS markdown,
