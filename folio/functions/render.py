@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions.kinds import MARGINALIA, semantic
-from folio.functions.text import html_escape, image_reference
+from folio.functions.text import SPACES, html_escape, image_reference
 
 # What stands before and after a text, by type; {t} is the type.
 CAPTIONS = ("caption", "tablecaption", "figurecaption", "imagecaption", "algorithmcaption", "expressioncaption")
@@ -76,3 +76,22 @@ def format_by(formats: dict[str, str], images: dict[str, str], source: Column, m
         shown = F.when(empty, image[form]).otherwise(F.lit("")) if name in images and form in image else F.lit("")
         out = out.when(kind == name, F.concat(render_all(form), shown, F.lit("<br>" if form == "html" else "")))
     return out.otherwise(F.lit(""))
+
+
+def molecule_text(markush: Column, smi: Column, caption: Column) -> Column:
+    """A molecule's text: its formula, or its caption where it stands for many or has no formula."""
+    named = F.coalesce(smi, F.lit("")) != ""
+    return F.when(F.coalesce(markush, F.lit(False)) | ~named, F.coalesce(caption, F.lit(""))).otherwise(smi)
+
+
+def block_text(kind: Column, latex: Column, table: Column, inline: Column, formulas: list[Column], text: Column) -> Column:
+    """What a block says in a list of questions and answers: an equation's LaTeX between double dollars (unless it has
+    dollars already), a table's text, then inline spans, a molecule's first formula in backticks, then its text. Blank
+    ones are passed over."""
+    bare = lambda c: F.trim(F.coalesce(c, F.lit("")), F.lit(SPACES))
+    k, own = F.lower(bare(kind)), bare(latex)
+    equation = F.when(own.startswith("$"), own).otherwise(F.concat(F.lit("$$\n"), own, F.lit("\n$$")))
+    formula = bare(F.coalesce(*[F.nullif(f, F.lit("")) for f in formulas]))
+    out = F.when((k == "equation") & (own != ""), equation).when((k == "table") & (F.coalesce(table, F.lit("")) != ""), table)
+    out = out.when(F.coalesce(inline, F.lit("")) != "", bare(inline)).when((k == "molecule") & (formula != ""), F.concat(F.lit("`"), formula, F.lit("`")))
+    return out.otherwise(bare(text))

@@ -82,6 +82,19 @@ def success_records(results: DataFrame, preview: int = 2000) -> DataFrame:
     )
 
 
+def error_records(outcomes: DataFrame, stage: str = "get_result_poll", deadline: int = 1800) -> DataFrame:
+    """token, code, record (JSON) of jobs (token, outcome, checks, and description if there is one) that didn't succeed:
+    TOKEN_NOT_FOUND, PARSE_ERROR, or UPLOAD_ERROR for what couldn't be sent. Without a token: MISSING_TOKEN."""
+    said = F.nullif(F.col("description"), F.lit("")) if "description" in outcomes.columns else F.lit(None).cast("string")
+    named = F.coalesce("token", F.lit("")) != ""
+    code = F.when(~named, "MISSING_TOKEN").when(F.col("outcome") == "not_found", "TOKEN_NOT_FOUND").when(F.col("outcome") == "failed", "UPLOAD_ERROR").otherwise("PARSE_ERROR")
+    message = F.when(~named, "--token is required. Use the token from a prior successful parse trigger response.").when(F.col("outcome") == "not_found", F.concat(F.lit("The service did not recognize this token after "), F.col("checks").cast("string"), F.lit(" checks.")))
+    message = message.when(F.col("outcome") == "timeout", f"Timed out after {deadline}s waiting for parsing to finish.").otherwise(F.coalesce(said, F.concat(F.lit("status: "), F.coalesce("outcome", F.lit("none")))))
+    failed = outcomes.where(~named | (F.coalesce("outcome", F.lit("none")) != "success")).withColumn("code", code)
+    error = F.when(F.col("code") == "MISSING_TOKEN", F.struct("code", message.alias("message"), F.lit(None).cast("string").alias("stage"))).otherwise(F.struct("code", message.alias("message"), F.lit(stage).alias("stage")))
+    return failed.select("token", "code", F.to_json(F.struct(F.lit(False).alias("ok"), F.when(named, F.col("token")).alias("token"), error.alias("error"))).alias("record"))
+
+
 def one_after_the_other(*parts: DataFrame) -> DataFrame:
     """Rows of all parts with `part`, their place: the top of a page, its bottom and its margin, say."""
     return reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)])

