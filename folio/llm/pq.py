@@ -25,8 +25,8 @@ from folio.llm.common import lookup, stored, table
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Vectors that are searched at a time; entries of a block, after which best distances are renewed.
-STEP, BLOCK = 512, 64
-#: Positions that are summed before sums of pairs are kept apart for the entries that are left.
+STEP, BLOCK = 1024, 64
+#: One of so many positions is summed for all entries before the first mask; from there on sums are of pairs that are left.
 DENSE = 2
 #: Below this no sum of squares of a part's positions can leave 64 bits; larger components are worked on as Python's integers.
 SAFE = 1 << 24
@@ -55,17 +55,24 @@ def search(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x, book = x[:, place], book[:, place]
     # a whole distance to begin with: that of the entry which is nearest in the first position
     order = np.argsort(book[:, 0], kind="stable")
-    near = np.minimum(np.searchsorted(book[order, 0], x[:, 0]), k - 1)
-    at = order[near]
-    best = ((x - book[at]) ** 2).sum(1)
+    at = order[np.minimum(np.searchsorted(book[order, 0], x[:, 0]), k - 1)]
+    best = ((x - book[at]) ** 2).sum(1, dtype=x.dtype if x.dtype != object else None)
+    rows, dense = np.arange(n), max(1, w // DENSE)
     for a in range(0, k, BLOCK):
         block = book[a : a + BLOCK]
         total = np.zeros((n, len(block)), x.dtype)
-        for p in range(min(DENSE, w)):
-            total += (x[:, p, None] - block[None, :, p]) ** 2
+        for p in range(dense):
+            part = x[:, p, None] - block[None, :, p]
+            part *= part
+            total += part
+        # the whole distance of the entry that is nearest so far bounds the others
+        near = total.argmin(1)
+        whole = total[rows, near] + ((x[:, dense:] - block[near, dense:]) ** 2).sum(1, dtype=x.dtype if x.dtype != object else None)
+        better = (whole < best) | ((whole == best) & (near + a < at))
+        best[better], at[better] = whole[better], near[better] + a
         i, j = np.nonzero(total <= best[:, None])
         total = total[i, j]
-        for p in range(DENSE, w):
+        for p in range(dense, w):
             total = total + (x[i, p] - block[j, p]) ** 2
             stay = total <= best[i]
             if not stay.all():
@@ -89,11 +96,15 @@ def encode(x: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
     for book in books:
         own = x[:, a : a + book.shape[1]]
         a += book.shape[1]
-        if own.size and max(largest(own), largest(book)) >= SAFE:
+        most = max(largest(own), largest(book)) if own.size else 0
+        if most >= SAFE:
             own, book = own.astype(object), book.astype(object)
+        elif 4 * most * most * book.shape[1] < 1 << 31:
+            own, book = own.astype(np.int32), book.astype(np.int32)
         found = [search(own[k : k + STEP], book) for k in range(0, len(own), STEP)]
         codes.append(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]))
-        errors.append(np.concatenate([f[1] for f in found] or [np.zeros(0, own.dtype)]))
+        error = np.concatenate([f[1] for f in found] or [np.zeros(0, own.dtype)])
+        errors.append(error if error.dtype == object else error.astype(np.int64))
     return np.stack(codes, 1), np.stack(errors, 1)
 
 
