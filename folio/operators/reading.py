@@ -7,8 +7,9 @@ by Arrow. Ties go by the order given. A method that would lose a block says so (
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -187,15 +188,7 @@ def regions(boxes: list[Box]) -> list[Region]:
     rows = block_rows(boxes)
     gaps = page_gaps(boxes, rows)
     root = Region(min(g[0][0] for g in gaps) - 1, max(g[-1][1] for g in gaps) + 1, -1, -1)
-    ended, live = [root], []
-
-    def end(region: Region) -> None:
-        edge = region.right - 2
-        over = [e for e in ended if e.left <= edge <= e.right + 1e-4 and e.bottom < region.top]
-        above = max(over, key=lambda e: (e.bottom, e.right))
-        above.below.append(region)
-        ended.append(region)
-
+    ended, live = [], []
     for r, row in enumerate(rows):
         starts, stops = {a for a, _ in gaps[r]}, {b for _, b in gaps[r]}
         going = []
@@ -205,7 +198,7 @@ def regions(boxes: list[Box]) -> list[Region]:
                 region.bottom = r
                 going.append(region)
             else:
-                end(region)
+                ended.append(region)
         live, at = going, 0
         for i in row:
             while boxes[i][0] + 1e-4 > gaps[r][at + 1][0]:
@@ -216,8 +209,12 @@ def regions(boxes: list[Box]) -> list[Region]:
                 own = Region(*sides, r, r)
                 live.append(own)
             own.blocks.append(i)
-    for region in live:
-        end(region)
+    ended += live
+    # the region above is the lowest, then rightmost one that ends higher up and reaches over the right edge
+    lowest = sorted([root, *ended], key=lambda e: (-e.bottom, -e.right))
+    for region in ended:
+        edge = region.right - 2
+        next(e for e in lowest if e.bottom < region.top and e.left <= edge <= e.right + 1e-4).below.append(region)
     out, todo = [], [root]
     while todo:
         region = todo.pop()
@@ -289,40 +286,36 @@ def naive(boxes: list[Box], mode: str = "col") -> list[int]:
     def over(a: Box, b: Box, axis: int) -> float:
         return min(a[axis + 2], b[axis + 2]) - max(a[axis], b[axis])
 
-    def follows(band: Band, last: Band) -> bool:
-        """Whether a row of several columns, as many as the stack has, goes on below its last row."""
-        if last.columns == 1 and over(bounds(band), bounds(last), 1) > -NEAR:
-            return True
-        if band.columns == 1 or band.columns != last.columns:
+    def near(row: Band, last: Band, columns: int) -> bool:
+        """Whether a row goes on below the last one of a stack of so many columns."""
+        below = over(bounds(row), bounds(last), 1) > -NEAR
+        if row.columns == 1:
+            return below
+        if row.columns != columns:
             return False
-        pairs = [(bounds(a), bounds(b)) for a, b in zip(band.parts, last.parts)]
-        return all(over(a, b, 0) >= SAME_COLUMN * min(a[2] - a[0], b[2] - b[0]) and over(a, b, 1) >= -NEAR_COLUMN for a, b in pairs)
+        if last.columns == 1 and below:
+            return True
+        pairs = [(bounds(a), bounds(b)) for a, b in zip(row.parts, last.parts)]
+        return row.columns == last.columns and all(over(a, b, 0) >= SAME_COLUMN * min(a[2] - a[0], b[2] - b[0]) and over(a, b, 1) >= -NEAR_COLUMN for a, b in pairs)
+
+    def stacks(rows: list[Band]) -> list[int]:
+        """The stack that each row is in."""
+        step = lambda held, row: (held[0], held[1], row) if near(row, held[2], held[1]) else (held[0] + 1, row.columns, row)
+        return [stack for stack, _, _ in accumulate(rows[1:], step, initial=(0, rows[0].columns, rows[0]))]
 
-    def read(band: Band) -> list[int]:
+    def keys(band: Band, key: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Each block with what it is read by: its stack, column and row, at every level."""
         if not band.parts:
-            return band.ids
-        if band.axis == 0:
-            return [i for part in band.parts for i in read(part)]
-        stacks: list[tuple[int, list[Band]]] = []
-        for row in band.parts:
-            if stacks:
-                n, rows = stacks[-1]
-                near = over(bounds(row), bounds(rows[-1]), 1) > -NEAR if row.columns == 1 else row.columns == n and follows(row, rows[-1])
-                if near:
-                    rows.append(row)
-                    continue
-            stacks.append((row.columns, [row]))
-        out = []
-        for n, rows in stacks:
-            for k in range(n):
-                for row in rows:
-                    if row.columns == 1:
-                        out += read(row) if k == 0 else []
-                    elif k < row.columns:
-                        out += read(row.parts[k])
-        return out
-
-    return read(bands(list(range(len(boxes))), boxes, 0 if mode == "col" else 1))
+            yield from (((*key, k), i) for k, i in enumerate(band.ids))
+        elif band.axis == 0:
+            for column, part in enumerate(band.parts):
+                yield from keys(part, (*key, column))
+        else:
+            for nth, (row, stack) in enumerate(zip(band.parts, stacks(band.parts))):
+                for column, part in enumerate(row.parts if row.columns > 1 else [row]):
+                    yield from keys(part, (*key, stack, column, nth))
+
+    return [i for _, i in sorted(keys(bands(list(range(len(boxes))), boxes, 0 if mode == "col" else 1)))]
 
 
 # ---- drivers
