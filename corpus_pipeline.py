@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontam, jaccard, mixing, sharding, toxicity
-from folio.llm.common import stored, table
+from folio.llm.common import MADE, drop_made, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,14 +51,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number; one without words stays once. Of
-    rows that are alike in doc_id, source and text, one stands for all, as often as all of them together."""
+    rows that are alike in doc_id, source and text, that with the smallest lang stands for all, as often as all of them
+    together."""
     docs = docs.select(*COLUMNS)
     documents, _, _ = mixing.mix(docs)
     often = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
     times = stored(documents.groupBy("row").agg(F.sum(often).cast("int").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 0"), "times")
     rows = docs.withColumn("row", mixing.row_hash())
     if times.where("rows > 1").limit(1).count():
-        rows = rows.dropDuplicates(["row"])
+        rows = rows.groupBy("row").agg(F.min(F.struct("lang", *[c for c in COLUMNS if c != "lang"])).alias("one")).select("row", "one.*")
     return rows.join(times, "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
@@ -73,7 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage. A stage's own tables, and its input, go when its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        drop_made(spark, since)
     return docs

@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 256
 #: Rows of a bucket that one task takes without trouble; a key with more rows than HOT is dealt over several tasks.
 BUCKET_ROWS, HOT = 50_000, 4096
+#: Paths of the shared folder in the order in which they were made.
+MADE: list[str] = []
 #: Bytes of rows that are sent to Python at a time.
 BATCH_BYTES = 1 << 20
 
@@ -41,9 +43,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
+    MADE.append(path)
     return path
 
 
+def drop_made(spark: SparkSession, since: int) -> None:
+    """Delete what was made since MADE had so many paths, but for the last one: a stage's tables when its result is written."""
+    for path in MADE[since:-1]:
+        remove(spark, path)
+    MADE[since:-1] = []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder; after the session has ended nothing is done."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():

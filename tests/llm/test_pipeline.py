@@ -81,3 +81,17 @@ def test_all_stages_together(spark, rows, folder):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_a_stage_leaves_its_result_only(spark, folder, monkeypatch):
+    """Rows alike but for their language: the smallest stands for all. Tables of a stage go when its result is written."""
+    from folio.llm import common
+
+    rows = [(1, "a b c d e f", lang, "s0", 11) for lang in ("en", "de", "fr")] + [(2, "one two three", "en", "s1", 13)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = pipeline.mix_sources(spark, docs, folder).collect()
+    assert {(r.doc_id, r.lang) for r in got} <= {(1, "de"), (2, "en")}
+    monkeypatch.setattr(pipeline, "STAGES", [("mixing", pipeline.mix_sources), ("sharding", pipeline.shard)])
+    before = len(common.MADE)
+    out = pipeline.run(spark, folder)
+    assert out.count() > 0 and len(common.MADE) == before + 1
