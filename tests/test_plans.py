@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from folio.plans.queries import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
