@@ -43,12 +43,23 @@ def shrink(pix: int) -> dict[str, Column]:
     return {"x1": F.col("x1") + in_x, "y1": F.col("y1") + in_y, "x2": F.col("x2") - in_x, "y2": F.col("y2") - in_y}
 
 
-def rotate(quarter: Column, width: float, height: float) -> dict[str, Column]:
-    """A box after `quarter` turns (0 to 3) of its page of width and height."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+def rotated(box: Column, quarter: Column, width: float, height: float) -> Column:
+    """A struct of x1, y1, x2 and y2 after `quarter` turns (0 to 3) of its page of width and height."""
+    x1, y1, x2, y2 = (box[c] for c in ("x1", "y1", "x2", "y2"))
     turned = {1: (y1, height - x2, y2, height - x1), 2: (width - x2, height - y2, width - x1, height - y1), 3: (width - y2, x1, width - y1, x2)}
     pick = lambda k, same: F.when(quarter == 1, turned[1][k]).when(quarter == 2, turned[2][k]).when(quarter == 3, turned[3][k]).otherwise(same)
-    return {name: pick(k, same) for k, (name, same) in enumerate((("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2)))}
+    return F.struct(*[pick(k, same).alias(name) for k, (name, same) in enumerate((("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2)))])
+
+
+def rotate_all(boxes: Column, quarter: Column, width: float, height: float) -> Column:
+    """Each box of an array (a table's or text's boxes) turned; null boxes stay."""
+    return F.transform(boxes, lambda b: F.when(b.isNotNull(), rotated(b, quarter, width, height)))
+
+
+def rotate(quarter: Column, width: float, height: float) -> dict[str, Column]:
+    """The columns of a box after `quarter` turns (0 to 3) of its page of width and height."""
+    out = rotated(F.struct("x1", "y1", "x2", "y2"), quarter, width, height)
+    return {c: out[c] for c in ("x1", "y1", "x2", "y2")}
 
 
 def axis_iou(p: str, q: str, axis: str) -> Column:

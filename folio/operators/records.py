@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import SPACES
+from folio.functions.text import SPACES, input_kind
 from folio.operators.tree import PAGE, parent_of
 
 # How a DOI line begins, a DOI inside a text, a caption spelled apart, and what parts a molecule's texts.
@@ -82,6 +82,16 @@ def success_records(results: DataFrame, preview: int = 2000) -> DataFrame:
     )
 
 
+def resolved_files(inputs: DataFrame, files: DataFrame) -> DataFrame:
+    """inputs (with a column input) with `kind` (url, image or file) and `error`: an empty input is one, and a path that
+    isn't among the `files` (path, distinct), as Spark lists them."""
+    own = inputs.withColumn("_path", F.trim("input"))
+    there = own.join(files.select(F.col("path").alias("_path"), F.lit(True).alias("_there")), "_path", "left")
+    kind = input_kind(F.coalesce("_path", F.lit("")))
+    error = F.when(kind == "error", "input is empty").when((kind != "url") & F.col("_there").isNull(), F.concat(F.lit("file not found: "), "_path"))
+    return there.select(*inputs.columns, F.when(error.isNull(), kind).alias("kind"), error.alias("error"))
+
+
 def error_records(outcomes: DataFrame, stage: str = "get_result_poll", deadline: int = 1800) -> DataFrame:
     """token, code, record (JSON) of jobs (token, outcome, checks, and description if there is one) that didn't succeed:
     TOKEN_NOT_FOUND, PARSE_ERROR, or UPLOAD_ERROR for what couldn't be sent. Without a token: MISSING_TOKEN."""

@@ -38,6 +38,13 @@ def bbox_rotate(spark, sf_dir):
     return _px(spark, sf_dir).select("token", "page", "block", *[c.alias(k) for k, c in G.rotate(F.col("block") % 4, 1200, 1024).items()])
 
 
+def box_arrays(spark, sf_dir):
+    """All boxes of a page as an array, turned as often as the page's number says."""
+    page = _px(spark, sf_dir).groupBy("token", "page").agg(F.array_sort(F.collect_list(F.struct("block", F.struct("x1", "y1", "x2", "y2").alias("b")))).alias("l"))
+    turned = page.select("token", "page", F.transform("l", lambda e: e["block"]).alias("k"), G.rotate_all(F.transform("l", lambda e: e["b"]), F.col("page") % 4, 1200, 1024).alias("b"))
+    return turned.select("token", "page", F.explode(F.arrays_zip("k", "b")).alias("e")).select("token", "page", F.col("e.k").alias("block"), "e.b.x1", "e.b.y1", "e.b.x2", "e.b.y2")
+
+
 def axis_iou_pairs(spark, sf_dir):
     near = L.page_pairs(blocks(spark, sf_dir)).where("a_block < b_block")
     return near.select("token", "page", "a_block", "b_block", G.axis_iou("a_", "b_", "x").alias("iou_x"), G.axis_iou("a_", "b_", "y").alias("iou_y"))
@@ -100,7 +107,7 @@ def reading_order(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (bbox_anchors, bbox_expand, bbox_shrink, bbox_rotate, axis_iou_pairs, parent_assignment, best_container, all_containers, overlap_suppression, clean_types, column_types)
+    for f in (bbox_anchors, bbox_expand, bbox_shrink, bbox_rotate, box_arrays, axis_iou_pairs, parent_assignment, best_container, all_containers, overlap_suppression, clean_types, column_types)
     + (page_extent, x_profile, usual_left, block_numbers, page_neighbours, paragraph_runs, reading_order)
 }
 
@@ -138,3 +145,5 @@ SQL = {
     "page_neighbours": f"{_W}, z AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY token, page ORDER BY block DESC) = 1), f AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY token, page ORDER BY block) = 1) SELECT z.token, z.page, z.block AS last_block, f.block AS first_block, CASE WHEN least(z.x2, f.x2) > greatest(z.x1, f.x1) THEN 'cross_page' ELSE 'cross_column' END AS join_type FROM z JOIN f ON z.token = f.token AND f.page = z.page + 1",
     "paragraph_runs": f"{_W}, m AS (SELECT token, page, block, text, {_flows} AND NOT {_head} AS goes_on, {_flows} AND NOT {_tail} AS opens FROM blocks), s AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY token ORDER BY page, block) AS stretch FROM m), j AS (SELECT *, goes_on AND coalesce(bool_or(opens) OVER (PARTITION BY token, stretch ORDER BY page, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS joins FROM s), r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY token ORDER BY page, block) AS run FROM j) SELECT token, CAST(min(page * 12 + block) // 12 AS INTEGER) AS first_page, CAST(min(page * 12 + block) % 12 AS INTEGER) AS first_block, CAST(count(*) AS INTEGER) AS n_blocks, string_agg(text, ' ' ORDER BY page, block) AS text FROM r GROUP BY token, run",
 }
+#: The same turns, told by the page.
+SQL["box_arrays"] = SQL["bbox_rotate"].replace("block % 4", "page % 4")

@@ -81,6 +81,15 @@ def patient_outcomes(spark, sf_dir):
     return jobs.outcomes(e, "user_id", ["ts", "event_id"], None)
 
 
+def resolved_files(spark, sf_dir):
+    """Inputs of URLs, of paths that are there or not, and empty ones."""
+    p, k = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("page_id")
+    name = F.concat(F.lit("in/"), (k % 40).cast("string"), F.when(k % 2 == 0, ".PDF").otherwise(".png"))
+    asked = p.select("page_id", F.when(k % 7 == 0, F.col("url")).when(k % 7 == 1, "  ").otherwise(F.concat(F.lit(" "), name)).alias("input"))
+    files = p.where("page_id < 30").select(name.alias("path")).distinct()
+    return O.resolved_files(asked, files)
+
+
 def job_errors(spark, sf_dir):
     """The error of each user's job that didn't succeed."""
     found = texts.job_outcomes(spark, sf_dir)
@@ -106,11 +115,15 @@ def upgraded_tables(spark, sf_dir):
     return tables.upgraded(raw).select(*PAGE, "block", "structure", listed("placeholders"), listed("contents"), listed("types"))
 
 
-QUERIES = {f.__name__: f for f in (job_errors, block_texts, upgraded_tables, doi_blocks, molecule_names, image_paths, progress_counters, keyword_bookkeeping, unknown_types, success_records, retained_events, patient_outcomes)}
+QUERIES = {f.__name__: f for f in (resolved_files, job_errors, block_texts, upgraded_tables, doi_blocks, molecule_names, image_paths, progress_counters, keyword_bookkeeping, unknown_types, success_records, retained_events, patient_outcomes)}
 
 _doi_start, _doi = O.DOI_START.replace("(?i)", ""), O.DOI.replace("(?i)", "")
 _word = "regexp_replace(text, '[^a-z ]', '', 'g')"
 SQL = {
+    "resolved_files": """WITH n AS (SELECT page_id, 'in/' || page_id % 40 || CASE WHEN page_id % 2 = 0 THEN '.PDF' ELSE '.png' END AS name, url FROM pages), f AS (SELECT DISTINCT name FROM n WHERE page_id < 30),
+i AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN '  ' ELSE ' ' || name END AS input, name FROM n)
+SELECT page_id, input, CASE WHEN page_id % 7 = 0 THEN 'url' WHEN page_id % 7 > 1 AND name IN (SELECT name FROM f) THEN CASE WHEN page_id % 2 = 0 THEN 'file' ELSE 'image' END END AS kind,
+CASE WHEN page_id % 7 = 1 THEN 'input is empty' WHEN page_id % 7 > 1 AND name NOT IN (SELECT name FROM f) THEN 'file not found: ' || name END AS error FROM i""",
     "job_errors": f"""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS token, outcome, checks FROM ({texts.SQL["job_outcomes"]}) WHERE outcome <> 'success'),
 c AS (SELECT *, CASE outcome WHEN 'not_found' THEN 'TOKEN_NOT_FOUND' ELSE 'PARSE_ERROR' END AS code FROM o)
 SELECT token, code, '{{"ok":false,"token":"' || token || '","error":{{"code":"' || code || '","message":"' || CASE outcome WHEN 'not_found' THEN 'The service did not recognize this token after ' || checks || ' checks.' ELSE 'status: ' || outcome END || '","stage":"get_result_poll"}}}}' AS record FROM c""",
