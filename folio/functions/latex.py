@@ -49,45 +49,67 @@ def _greek() -> dict[str, str]:
 
 
 SINGLE = OWN | {c: rf"\ensuremath{{\{name}}}" for c, name in FORMULAS.items()} | _greek()
-#: Latin letters with marks: what each is made of, if all its marks have commands.
-MADE_OF = {c: d for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and d[0].isalpha() and all(m in MARKS for m in d[1:])}
 
 
-def _map(entries: dict[str, str]) -> Column:
-    """A constant map: one expression, which Spark folds, however many entries."""
-    pair, part = chr(_SPARE + 30), chr(_SPARE + 31)
-    return F.str_to_map(F.lit(pair.join(k + part + v for k, v in entries.items())), F.lit(pair), F.lit(part))
+def _made_of() -> dict[str, tuple[str, str]]:
+    """Latin letters with marks: the letter without the last mark, and that mark, if all marks have commands."""
+    out = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        whole = unicodedata.normalize("NFD", c)
+        if len(whole) > 1 and whole[0].isascii() and whole[0].isalpha() and all(m in MARKS for m in whole[1:]):
+            out[c] = unicodedata.normalize("NFC", whole[:-1]), whole[-1]
+    return out
+
+
+MADE_OF = _made_of()
+#: Marks that a letter with marks has at most.
+_DEEP = max(len(unicodedata.normalize("NFD", c)) - 1 for c in MADE_OF)
+
+
+def _mapped(c: Column, entries: dict[str, str]) -> Column:
+    """A character by a table of characters; others stay."""
+    return F.translate(c, "".join(entries), "".join(entries.values()))
 
 
 def escaped(s: Column) -> Column:
     """ASCII characters that LaTeX reads as commands, written out; other characters are kept."""
     spare = [chr(_SPARE + k) for k in range(len(ESCAPES))]  # an escape isn't escaped again
-    s = F.translate(s, "".join(ESCAPES), "".join(spare))
+    out = F.translate(s, "".join(ESCAPES), "".join(spare))
     for mark, written in zip(spare, ESCAPES.values()):
-        s = F.replace(s, F.lit(mark), F.lit(written))
-    return s
+        out = F.replace(out, F.lit(mark), F.lit(written))
+    return F.when(s.rlike("[" + "".join(f"\\{c}" for c in ESCAPES) + "]"), out).otherwise(s)
 
 
 def _around(base: Column, mark: Column, inner: Column) -> Column:
     """A mark's command around a letter, or around what has one already (`inner`)."""
-    command = F.try_element_at(_map(MARKS), mark)
-    letter = command.rlike("[A-Za-z]")
+    command = _mapped(mark, MARKS)
+    gap = F.when(command.rlike("[A-Za-z]"), " ").otherwise("")
     dotless = base.isin("i", "j") & ~mark.isin(*BELOW)
-    first = F.when(dotless, F.concat(F.lit("{\\"), command, F.when(letter, " ").otherwise(""), F.lit("\\"), base, F.lit("}"))).otherwise(F.concat(F.lit("\\"), command, F.when(letter, " ").otherwise(""), base))
+    first = F.when(dotless, F.concat(F.lit("{\\"), command, gap, F.lit("\\"), base, F.lit("}"))).otherwise(F.concat(F.lit("\\"), command, gap, base))
     return F.when(inner.isNull(), first).otherwise(F.concat(F.lit("\\"), command, F.lit("{"), inner, F.lit("}")))
 
 
 def _written(sequence: Column) -> Column:
     """How a letter with its marks, or a symbol, is written; itself where a part has no command."""
-    head, rest = F.left(sequence, F.lit(1)), F.substring(sequence, F.lit(2), F.length(sequence))
-    whole = F.concat(F.coalesce(F.try_element_at(_map(MADE_OF), head), head), rest)
-    base, marks = F.left(whole, F.lit(1)), F.filter(F.split(F.substring(whole, F.lit(2), F.length(whole)), ""), lambda m: m != "")
-    known = base.rlike("[A-Za-z]") & F.forall(marks, lambda m: F.map_contains_key(_map(MARKS), m)) & (F.size(marks) > 0)
-    made = F.aggregate(marks, F.lit(None).cast("string"), lambda inner, m: _around(base, m, inner))
-    return F.when(known, made).otherwise(F.coalesce(F.try_element_at(_map(SINGLE), sequence), sequence))
+    base, marks = F.left(sequence, F.lit(1)), F.substring(sequence, F.lit(2), F.length(sequence))
+    for _ in range(_DEEP):  # a mark less each time
+        less = _mapped(base, {c: b for c, (b, _) in MADE_OF.items()})
+        marks = F.concat(F.when(less != base, _mapped(base, {c: m for c, (_, m) in MADE_OF.items()})).otherwise(""), marks)
+        base = less
+
+    def made(parts: Column) -> Column:
+        each = F.filter(F.split(parts["m"], ""), lambda m: m != "")
+        return F.aggregate(each, F.lit(None).cast("string"), lambda inner, m: _around(parts["b"], m, inner))
+
+    known = base.rlike("[A-Za-z]") & marks.rlike(f"^[{''.join(MARKS)}]+$")
+    number = F.ascii(_mapped(sequence, {c: chr(k + 1) for k, c in enumerate(SINGLE)}))
+    symbol = F.when((F.length(sequence) == 1) & (number <= len(SINGLE)), F.get(F.array(*map(F.lit, SINGLE.values())), number - 1))
+    # the parts are bound once, however often they are named
+    return F.when(known, F.get(F.transform(F.array(F.struct(base.alias("b"), marks.alias("m"))), made), F.lit(0))).otherwise(F.coalesce(symbol, sequence))
 
 
 def unicode_to_latex(s: Column) -> Column:
     """A text as LaTeX source; what has no command is kept."""
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(SEQUENCE), F.lit(0))), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
-    return F.aggregate(found, escaped(s), lambda held, q: F.replace(held, q, _written(q)))
+    whole = F.aggregate(found, escaped(s), lambda held, q: F.replace(held, q, _written(q)))
+    return F.when(s.rlike(r"[^\x00-\x7f]"), whole).otherwise(escaped(s))

@@ -12,6 +12,8 @@ from folio.functions.text import SPACES, html_escape
 MOLECULES = (r"\*\*\*.+?\*\*\*", "<code>.+?</code>", "`.+?`")
 EQUATIONS = (r"\\\[.+?\\\]", r"\\\(.+?\\\)", r"\$\$.+?\$\$", r"\$(?:\\.|[^$\\\n])+?\$")
 SPAN = "(?s)" + "|".join(MOLECULES + EQUATIONS)
+#: What a marked passage begins with; what is put around passages.
+OPENS, CUT = r"[*<`\\$]", "\ufdd1\ufdd2"
 LATEX_MARK = r"\\[A-Za-z]+|[\^_{}=]|[A-Za-z]\s*[+\-*/=<>]\s*[A-Za-z0-9\\]"
 TEXT, MOLECULE, EQUATION = "text", "molecule", "equationinline"
 #: Characters with a meaning in LaTeX, and how a table's cells have them.
@@ -41,11 +43,13 @@ def _read_mark(m: Column) -> Column:
 def inline_spans(text: Column) -> Column:
     """array<struct<content,type>>: a text cut into spans; neighbouring text is one span. Null or empty: none.
 
-    The text between marked passages and the passages themselves come from one pattern, so they alternate.
+    One pass puts CUT (two code points that no text has) around each marked passage, so that passages are every second
+    piece between cuts.
     """
-    between, marks = F.split(F.coalesce(text, F.lit("")), SPAN, -1), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPAN), F.lit(0))
-    every = F.zip_with(between, marks, lambda t, m: F.array(_span(t, TEXT), F.when(m.isNotNull(), _read_mark(m))))
-    parts = F.filter(F.flatten(every), lambda s: s.isNotNull() & ((s["type"] != TEXT) | (s["content"] != "")))
+    own = F.coalesce(text, F.lit(""))
+    pieces = F.when(own.rlike(OPENS), F.split(F.regexp_replace(own, SPAN, f"{CUT}$0{CUT}"), CUT, -1)).otherwise(F.array(own))
+    every = F.transform(pieces, lambda p, n: F.when(n % 2 == 1, _read_mark(p)).otherwise(_span(p, TEXT)))
+    parts = F.filter(every, lambda s: (s["type"] != TEXT) | (s["content"] != ""))
 
     def add(held: Column, s: Column) -> Column:
         last = F.try_element_at(held, F.lit(-1))
