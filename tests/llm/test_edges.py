@@ -99,8 +99,10 @@ def test_jaccard_of_chains_copies_and_shared_passages(spark):
     assert got == {k: (len(sets[k]), want[k]) for k in want}
 
 
-def test_jaccard_by_the_matrix_alone(spark, monkeypatch):
-    """Without the first grouping all links are found by the token-group matrix, also where ids are shuffled."""
+@pytest.mark.parametrize("meet", [1024, 3])
+def test_jaccard_by_the_matrix_alone(spark, monkeypatch, meet):
+    """Without the first grouping all links are found by the token-group matrix, also where ids are shuffled, and where a
+    shingle's nodes meet by blocks."""
     r = random.Random(4)
     word = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
     texts = []
@@ -111,6 +113,12 @@ def test_jaccard_by_the_matrix_alone(spark, monkeypatch):
             for _ in range(r.randrange(1 + len(w) // 25)):
                 w[r.randrange(len(w))] = word(1)[0]
             texts.append(" ".join(w))
+    base = word(70)
+    for _ in range(25):
+        w = list(base)
+        w[r.randrange(70)] = word(1)[0]
+        texts.append(" ".join(w))
+    monkeypatch.setattr(jaccard, "MEET", meet)
     monkeypatch.setattr(jaccard, "groups", lambda nodes, sets: sets.sparkSession.createDataFrame([], "a long, b long"))
     monkeypatch.setattr(jaccard, "FEW", 0)
     want = by_links([shingles(t) for t in texts])
