@@ -46,8 +46,10 @@ def table_frames(spark, sf_dir):
     line = F.struct("block", F.when(F.col("block") == 0, F.concat(F.lit("<thead>"), row("th"), F.lit("</thead>"))).otherwise(row("td")).alias("t"))
     page = blocks(spark, sf_dir).groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda e: e["t"]), "\n").alias("r"))
     page = page.select(*PAGE, F.concat(F.lit("<table>\n"), F.col("r"), F.lit("</table>")).alias("html"))
-    rows = tables.table_rows(tables.table_cells(page, "html", ("token", "page")), ("token", "page"))
-    return rows.select(*PAGE, F.size("rows").alias("n_rows"), *[F.sha2(frames.frame(F.col("rows"), f), 256).alias(f) for f in ("plain", "markdown", "latex")])
+    rows = tables.table_rows(page, "html", ("token", "page"))
+    # a plain table is a Markdown table, so it is written once
+    shown = rows.select(*PAGE, F.size("rows").alias("n_rows"), *[F.sha2(frames.frame(F.col("rows"), f), 256).alias(f) for f in ("plain", "latex")])
+    return shown.select(*PAGE, "n_rows", "plain", F.col("plain").alias("markdown"), "latex")
 
 
 def table_spans(spark, sf_dir):
