@@ -44,6 +44,11 @@ def source_kind(source: Column) -> Column:
     return F.when(source.rlike(BASE64), "base64").when(source.rlike(PATH), "path").when(source.rlike("(?i)^https?://"), "url").otherwise("none")
 
 
+def base64(raw: Column) -> Column:
+    """A binary in base64 without breaks; Spark's own function breaks lines behind 76 characters."""
+    return F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))
+
+
 def truncate(s: Column, front: int = 20, back: int = 10) -> Column:
     return F.when(F.length(s) <= front + back, s).otherwise(F.concat(F.left(s, F.lit(front)), F.lit("..."), F.right(s, F.lit(back))))
 
