@@ -81,7 +81,7 @@ def quoted_texts(spark, sf_dir):
 
 def image_references(spark, sf_dir):
     k, u = F.col("page_id") % 4, F.col("url")
-    s = F.when(k == 0, u).when(k == 1, F.base64(F.encode(u, "utf-8"))).when(k == 2, F.concat(F.lit("img/"), F.md5(u), F.lit(" 1.png"))).otherwise(F.lit(" "))
+    s = F.when(k == 0, u).when(k == 1, T.base64(F.encode(u, "utf-8"))).when(k == 2, F.concat(F.lit("img/"), F.md5(u), F.lit(" 1.png"))).otherwise(F.lit(" "))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", *[T.image_reference(F.lit("figure"), s, f).alias(f) for f in ("markdown", "latex", "html")])
 
 

@@ -18,3 +18,7 @@ def _equal(spark, tmp_path, con, name):
 
 def test_long_base64_has_no_breaks_in_source_kinds(spark, tmp_path):
     _equal(spark, tmp_path, _pages(spark, tmp_path), "source_kinds")
+
+
+def test_long_base64_has_no_breaks_in_image_references(spark, tmp_path):
+    _equal(spark, tmp_path, _pages(spark, tmp_path), "image_references")
