@@ -12,12 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.batches import bounded
+
 # The key that decides a node's kind, in this order; where its text is.
 KINDS = {"reactions": "expression", "placeholders": "table", "markush": "molecule", "data": "chart", "desc": "figure", "latex_repr": "equation", "text": "textual", "items": "group"}
 TEXTS = {"chart": "data", "figure": "desc", "equation": "latex_repr", "textual": "text", "molecule": "smi"}
 NODE = "token string, page int, path string, parent string, depth int, block int, type string, kind string, ord int, subtree int, x1 double, y1 double, x2 double, y2 double, text string, error string"
 FIELDS = [f.split()[0] for f in NODE.split(", ")]
-BATCH = 10_000
+TEXT = FIELDS.index("text")
+#: Rows, and characters of text, of a batch that leaves a task.
+BATCH, CHARS = 10_000, 1 << 20
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -89,14 +93,17 @@ def nodes(documents: DataFrame, by_order: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list] = []
+        size = 0
         for batch in batches:
             for token, raw in zip(batch["token"], batch["raw"]):
                 for row in walk(token, raw, by_order):
                     held.append(row)
-                    if len(held) >= BATCH:
+                    size += len(row[TEXT] or "")
+                    if len(held) >= BATCH or size >= CHARS:
                         yield pd.DataFrame(held, columns=FIELDS).astype(object)
-                        held = []
+                        held, size = [], 0
         if held:
             yield pd.DataFrame(held, columns=FIELDS).astype(object)
 
+    bounded(documents.sparkSession)
     return documents.select("token", "raw").mapInPandas(run, NODE)
