@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folio.operators import tree
 from folio.plans.groups import _NODES, _nodes
 from folio.sources import png
+from folio.sources.batches import tasks
 
 WIDTH, HEIGHT, KINDS = 96, 64, ("figure", "chart", "image", "table")
 
@@ -32,7 +33,8 @@ def _images(pages: DataFrame) -> DataFrame:
                     content.append(png.encoded((sample % 256).astype(np.uint8), (0, 1, 2, 3, 4), d % 3 == 0))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(content, pa.binary())], names=["token", "page", "content"])
 
-    return pages.select("token", "page").distinct().mapInArrow(run, "token string, page int, content binary")
+    # an image costs much more than its row, so the rows' bytes mustn't decide on the tasks
+    return pages.select("token", "page").distinct().repartition(tasks(pages.sparkSession), "token", "page").mapInArrow(run, "token string, page int, content binary")
 
 
 def cropped_images(spark, sf_dir):

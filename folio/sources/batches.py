@@ -17,3 +17,9 @@ def bounded(spark: SparkSession) -> None:
     number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(key).lower()).groups()
     if not 0 < int(number) << 10 * " kmgt".find(unit or " ") <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work on small rows that costs Python much time: a number that is asked for isn't brought down by the
+    rows' bytes, as the session's own is."""
+    return 4 * spark.sparkContext.defaultParallelism
