@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folio.sinks import placed
 from folio.sinks.shared import shared_folder
+from folio.sources.batches import tasks
 from folio.sources.blocks import PER_PAGE
 from folio.sources.pdfs import Name, Ref, Stream, assembled, concatenated, joined, page_boxes, written
 
@@ -97,7 +98,7 @@ def pdf_pages(spark, sf_dir):
     """The geometry of every document's pages, and their numbers in a file of JOINED documents each."""
     files = _files(spark, sf_dir)
     parts = files.select(F.floor(F.col("doc_id") / JOINED).alias("output"), F.col("doc_id").alias("nth"), "path")
-    rows = joined(page_boxes(files.repartition("path")), parts).join(files, "path")
+    rows = joined(page_boxes(files.repartition(tasks(spark), "path")), parts).join(files, "path")
     return rows.select("doc_id", "page", "output", "n", "x1", "y1", "x2", "y2", "rotate", "width", "height")
 
 
@@ -107,7 +108,7 @@ def pdf_joined(spark, sf_dir):
     at = shared_folder(spark, "joined")
     placed.place(concatenated(parts), at)
     outputs = parts.select(F.regexp_extract("output", r"\d+", 0).cast("long").alias("output"), F.concat(F.lit(f"{at}/"), "output").alias("path")).distinct()
-    return page_boxes(outputs.repartition("path")).join(outputs, "path").select("output", F.col("page").alias("n"), "rotate", "width", "height", "error")
+    return page_boxes(outputs.repartition(tasks(spark), "path")).join(outputs, "path").select("output", F.col("page").alias("n"), "rotate", "width", "height", "error")
 
 
 QUERIES = {f.__name__: f for f in (pdf_pages, pdf_joined)}
