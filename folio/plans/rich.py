@@ -56,11 +56,8 @@ def table_spans(spark, sf_dir):
     """Tables of two cells with formulas: placeholders in, and back in all formats."""
     word = F.regexp_replace("text", "[^a-z ]", "")
     html = F.concat(F.lit("<table><tr><td>"), word, F.lit(" $x_1$</td><td><b>R&amp;D "), word, F.lit("</b>***C***</td></tr></table>"))
-    b = blocks(spark, sf_dir).select(*PAGE, "block", tables.split_tables(html).alias("t"))
-    spans = S.spans_of(F.col("t.contents"), F.col("t.types"))
-    filled = [S.fill_placeholders(F.col("t.structure"), F.col("t.placeholders"), spans, f).alias(f) for f in ("plain", "markdown", "html")]
-    qa = S.qa_table_text(F.col("t.structure"), F.col("t.placeholders"), S.qa_spans(F.col("t.contents"), F.col("t.types")))
-    return b.select(*PAGE, "block", F.col("t.structure").alias("structure"), F.array_join("t.contents", "|").alias("contents"), F.array_join("t.types", "|").alias("types"), *filled, qa.alias("qa"))
+    t = tables.filled_tables(blocks(spark, sf_dir).select(*PAGE, "block", html.alias("html")), "html", (*PAGE, "block"))
+    return t.select(*PAGE, "block", "structure", F.array_join("contents", "|").alias("contents"), F.array_join("types", "|").alias("types"), *tables.FORMS)
 
 
 def _reactions():

@@ -1,5 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
+from folio.functions import spans as S
+from folio.plans.queries import QUERIES
 from folio.sources import tables
 from folio.sources.batches import BATCH_BYTES, bounded
 
@@ -34,3 +37,31 @@ def test_plain_tags_are_read_as_the_parser_reads_them(html, monkeypatch):
     fast = tables.split_table(html), list(tables.cells(html))
     monkeypatch.setattr(tables, "_TAG", tables.re.compile("(?!)"))
     assert (tables.split_table(html), list(tables.cells(html))) == fast
+
+
+def _columns(spark, sources):
+    """What the Column functions make of tables."""
+    t = spark.createDataFrame([(k, *tables.split_table(s or "")) for k, s in enumerate(sources)], f"k long, {tables.SPLIT}")
+    filled = [S.fill_placeholders(F.col("structure"), F.col("placeholders"), S.spans_of(F.col("contents"), F.col("types")), f).alias(f) for f in ("plain", "markdown", "html")]
+    qa = S.qa_table_text(F.col("structure"), F.col("placeholders"), S.qa_spans(F.col("contents"), F.col("types")))
+    return t.select("*", *filled, qa.alias("qa"))
+
+
+def test_tables_are_filled_in_the_pass_that_reads_them(spark):
+    cells = ["", " ", "a &amp; b", "<b>R&amp;D</b> $x_1$ ***C***", "***`C`***", "\\($x$\\) $ 5 $", "[[VL_TABLE_0_0]] `x&lt;\"y'`", "\\[a<b\\]", "<table><tr><td>in</td></tr></table>", "[[VL_TABLE_1_0]]", "<code> C </code> é", "a<br/>b &# <i title='x'>c</i>"]
+    sources = [*(f" <table><tr><td>{a}</td><td colspan='2'>{b}</td></tr></table>\n" for a in cells for b in cells), None, "", "no table", "[[VL_TABLE_0_0]]<table><tr><td>x", "<table><tr><td>" + "w $a_1$ " * 500]
+    got = tables.filled_tables(spark.createDataFrame(list(enumerate(sources)), "k long, html string"), "html", ("k",))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, _columns(spark, sources).collect()))
+    assert tables.filled_tables(spark.createDataFrame([], "k long, html string"), "html", ("k",)).count() == 0
+
+
+def test_table_spans_fills_tables_in_one_pass(spark):
+    plan = _plan(QUERIES["table_spans"](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in plan and "aggregate(" not in plan and "zip_with(" not in plan
+
+
+@pytest.mark.parametrize("html", ["<b>R&amp;D</b> x", "a<i>b</i>&lt;p&gt;", "a<br>b", "<b>x &amp", "a <b c='d'>e</b>", "<script><b></script>", "&am<b>p;</b>"])
+def test_plain_text_is_read_as_the_parser_reads_it(html, monkeypatch):
+    fast = tables.inner_text(html)
+    monkeypatch.setattr(tables, "_TAG", tables.re.compile("(?!)"))
+    assert tables.inner_text(html) == fast
