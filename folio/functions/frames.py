@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions.spans import latex_escape
-from folio.functions.text import SPACES
+from folio.functions.text import SPACES, bound
 
 ROWS = "array<array<string>>"
 
@@ -47,8 +45,9 @@ def pipe_table(header: Column, rows: Column) -> Column:
         wide = F.transform(names, lambda n, j: F.greatest(F.length(n) + 2, F.coalesce(F.array_max(F.transform(body, lambda r: F.length(F.coalesce(F.get(r, j), F.lit(""))))), F.lit(0))))
 
         def table(w: Column) -> Column:
-            cell = lambda c, n: F.concat(F.lit(" "), F.rpad(F.coalesce(c, F.lit("")), n, " "), F.lit(" "))
-            line = lambda r: _bars(F.transform(w, lambda n, j: cell(F.get(r, j), n)))
+            # cells beyond the header have no width, so no text, and aren't joined
+            cells = lambda r: F.array_join(F.zip_with(w, r, lambda n, c: F.rpad(F.coalesce(c, F.lit("")), n, " ")), " | ")
+            line = lambda r: F.when(F.size(w) > 0, F.concat(F.lit("| "), cells(r), F.lit(" |"))).otherwise("||")
             rule = _bars(F.transform(w, lambda n: F.concat(F.lit(":"), F.repeat(F.lit("-"), n + 1))))
             return F.array_join(F.concat(F.array(line(names), rule), F.transform(body, line)), "\n")
 
@@ -80,11 +79,6 @@ def latex_table(header: Column, rows: Column, escape: bool = False) -> Column:
     return F.concat(F.lit("\\begin{tabular}{"), F.repeat(F.lit("l"), F.size(header)), F.lit("}\n"), head, body, F.lit("\\end{tabular}\n"))
 
 
-def bound(value: Column, of: Callable[[Column], Column]) -> Column:
-    """`of(value)` with `value` evaluated once for a row, however often `of` names it."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
-
-
 def frame(rows: Column, form: str, escape: bool = False) -> Column:
     """The first row as header, the others as rows, in plain, markdown, latex or html; empty without a row."""
     show = {"plain": pipe_table, "markdown": pipe_table, "html": html_table, "latex": lambda h, b: latex_table(h, b, escape)}[form]

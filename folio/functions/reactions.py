@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.frames import bound, frame
-from folio.functions.spans import MOLECULE, inline_spans, inline_text
-from folio.functions.text import SPACES
+from folio.functions.frames import frame
+from folio.functions.spans import MOLECULE, OPENS, TEXT, format_span, inline_spans, inline_text
+from folio.functions.text import SPACES, bound
 
 COMPONENT = "struct<bbox:struct<x1:double,y1:double,x2:double,y2:double>,category:string,category_id:int,text:string>"
 REACTIONS = f"array<struct<reactants:array<{COMPONENT}>,conditions:array<{COMPONENT}>,products:array<{COMPONENT}>>>"
@@ -28,12 +28,18 @@ def is_molecule(c: Column) -> Column:
 
 
 def component_texts(c: Column) -> Column:
-    """struct of a component in each of FORMS: a molecule, or text with inline spans; empty without text. The text is cut
-    into spans once for all forms."""
-    text = F.trim(F.coalesce(c["text"], F.lit("")), F.lit(SPACES))
-    none = F.array().cast("array<struct<content:string,type:string>>")
-    spans = F.when(text == "", none).when(is_molecule(c), F.array(F.struct(text.alias("content"), F.lit(MOLECULE).alias("type")))).otherwise(inline_spans(text))
-    return bound(spans, lambda s: F.struct(*[inline_text(s, form).alias(form) for form in FORMS]))
+    """struct of a component in each of FORMS: a molecule, or text with inline spans; empty without text. What is one span
+    is written at once; only a text in which a mark could begin is cut into spans, once for all forms."""
+    own = F.struct(F.trim(F.coalesce(c["text"], F.lit("")), F.lit(SPACES)).alias("text"), is_molecule(c).alias("mol"))
+    all_forms = lambda of: F.struct(*[of(form).alias(form) for form in FORMS])
+
+    def written(o: Column) -> Column:
+        text = o["text"]
+        alone = lambda kind: all_forms(lambda form: format_span(text, F.lit(kind), form))
+        cut = bound(inline_spans(text), lambda s: all_forms(lambda form: inline_text(s, form)))
+        return F.when(text == "", all_forms(lambda _: F.lit(""))).when(o["mol"], alone(MOLECULE)).when(~text.rlike(OPENS), alone(TEXT)).otherwise(cut)
+
+    return bound(own, written)
 
 
 def reaction_texts(reactions: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions.latex import unicode_to_latex
-from folio.functions.text import SPACES, html_escape
+from folio.functions.text import SPACES, bound, html_escape
 
 # What a span looks like, and what makes the text between dollars an equation.
 MOLECULES = (r"\*\*\*.+?\*\*\*", "<code>.+?</code>", "`.+?`")
@@ -49,14 +49,15 @@ def inline_spans(text: Column) -> Column:
     own = F.coalesce(text, F.lit(""))
     pieces = F.when(own.rlike(OPENS), F.split(F.regexp_replace(own, SPAN, f"{CUT}$0{CUT}"), CUT, -1)).otherwise(F.array(own))
     every = F.transform(pieces, lambda p, n: F.when(n % 2 == 1, _read_mark(p)).otherwise(_span(p, TEXT)))
-    parts = F.filter(every, lambda s: (s["type"] != TEXT) | (s["content"] != ""))
+    parts = lambda e: F.filter(e, lambda s: (s["type"] != TEXT) | (s["content"] != ""))
 
     def add(held: Column, s: Column) -> Column:
         last = F.try_element_at(held, F.lit(-1))
         joined = F.concat(F.slice(held, 1, F.size(held) - 1), F.array(_span(F.concat(last["content"], s["content"]), TEXT)))
         return F.when((F.size(held) > 0) & (last["type"] == TEXT) & (s["type"] == TEXT), joined).otherwise(F.concat(held, F.array(s)))
 
-    return F.aggregate(parts, F.array().cast(f"array<{_STRUCT}>"), add)
+    # texts are neighbours only where a passage is none
+    return bound(every, lambda e: F.when(F.size(F.filter(e, lambda s, n: (n % 2 == 1) & (s["type"] == TEXT))) > 0, F.aggregate(parts(e), F.array().cast(f"array<{_STRUCT}>"), add)).otherwise(parts(e)))
 
 
 def spans_of(contents: Column, types: Column) -> Column:
@@ -78,7 +79,9 @@ def format_span(content: Column, kind: Column, form: str) -> Column:
     """One span in plain, markdown, latex or html."""
     before, after = {"plain": ("\\(", "\\)"), "markdown": ("$", "$"), "latex": ("\\(", "\\)"), "html": ("\\(", "\\)")}[form]
     equation = F.concat(F.lit(before), content, F.lit(after))
-    body = {"plain": content, "markdown": content, "latex": unicode_to_latex(content), "html": html_escape(content)}[form]
+    # a text without marks is only searched
+    escaped = F.when(content.rlike("[&<>\"']"), html_escape(content)).otherwise(content)
+    body = {"plain": content, "markdown": content, "latex": unicode_to_latex(content), "html": escaped}[form]
     marks = {"plain": ("", ""), "markdown": ("`", "`"), "latex": ("\\texttt{", "}"), "html": ("<code>", "</code>")}[form]
     around = [F.when(kind == MOLECULE, m).otherwise("") for m in marks]
     return F.when(kind.isin("equation", EQUATION), equation).otherwise(body if form == "plain" else F.concat(around[0], body, around[1]))

@@ -60,9 +60,8 @@ def table_spans(spark, sf_dir):
     return t.select(*PAGE, "block", "structure", F.array_join("contents", "|").alias("contents"), F.array_join("types", "|").alias("types"), *tables.FORMS)
 
 
-def _reactions():
-    """JSON of one or two reactions of a block's words; an unknown field is to be left out."""
-    w = F.split(F.regexp_replace("text", "[^a-z ]", ""), " ")
+def _reactions(w):
+    """JSON of one or two reactions of a block's words w; an unknown field is to be left out."""
     part = lambda n, text: F.concat(F.lit(f'{{"category_id":{n},"more":1,"text":"'), text, F.lit('"}'))
     first, last = F.element_at(w, 1), F.element_at(w, -1)
     one = F.concat(F.lit('{"reactants":['), part(1, first), F.lit(","), part(2, F.lit(" and $k_1$ ")), F.lit('],"conditions":['), part(2, last), F.lit(","), part(1, F.lit("Pd&C")), F.lit('],"products":['), part(1, last), F.lit("]}"))
@@ -72,7 +71,9 @@ def _reactions():
 
 def expression_tables(spark, sf_dir):
     """Reactions as tables, with the number of components, the third of them, and the summary of the first."""
-    b = blocks(spark, sf_dir).select(*PAGE, "block", reactions.read_reactions(_reactions()).alias("r")).withColumn("t", reactions.reaction_texts(F.col("r")))
+    # words are a column of their own, so that they aren't cut again wherever the JSON names them
+    words = blocks(spark, sf_dir).select(*PAGE, "block", F.split(F.regexp_replace("text", "[^a-z ]", ""), " ").alias("w"))
+    b = words.select(*PAGE, "block", reactions.read_reactions(_reactions(F.col("w"))).alias("r")).withColumn("t", reactions.reaction_texts(F.col("r")))
     first = F.col("r")[0]
     s = reactions.summary(first)
     return b.select(
