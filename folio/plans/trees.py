@@ -12,7 +12,8 @@ from folio.sources.pages_tree import nodes
 
 def _leaves(spark, sf_dir) -> DataFrame:
     """token, page, all: each page's blocks as structs of the keys that they have."""
-    b = blocks(spark, sf_dir)
+    # a document's pages, and then the document, are put together where its blocks are
+    b = blocks(spark, sf_dir).repartition("token")
     only = lambda key, *kinds: F.when(F.col("type").isin(*kinds), F.col("text")).alias(key)
     other = ("equation", "figure", "chart")
     leaf = F.struct("block", "type", only("latex_repr", "equation"), only("desc", "figure"), only("data", "chart"), F.when(~F.col("type").isin(*other), F.col("text")).alias("text"))

@@ -15,6 +15,8 @@ PAGE = ["token", "page"]
 #: Levels that a tree has at most: Spark's JSON parser takes 1000 brackets inside each other, a level has two. A document
 #: that is deeper isn't parsed, and has an error.
 LEVELS = 500
+#: Levels that are taken apart at once.
+STEP = 8
 #: Further fields of a kind that are read as they are (fixed values): name and type.
 FIELDS = {
     "textual": {"lang": "string", "font_size": "double"},
@@ -57,22 +59,37 @@ def documents(raw: DataFrame) -> DataFrame:
     return parts.select("token", F.when(why.isNull(), F.col("pages")).alias("pages"), why.alias("error"))
 
 
+def _opened() -> str:
+    """Of a row (path, node, done): itself, done and without its items, and its children, which aren't. Only a node whose
+    first deciding key is `items` has any; other rows are done."""
+    others = ", ".join(f"'{k}'" for k in KINDS if k != "items")
+    items = f"try_variant_get(try_element_at(node, 'items'), '$', '{_LIST}')"
+    children = f"filter(transform({items}, (x, k) -> named_struct('path', concat(path, array(k)), 'node', try_variant_get(x, '$', '{_MAP}'), 'done', false)), c -> c.node IS NOT NULL)"
+    bare = "map_concat(map_filter(node, (k, v) -> k != 'items'), map('items', parse_json('null')))"
+    return f"""CASE WHEN done OR {items} IS NULL OR arrays_overlap(map_keys(node), array({others})) THEN array(named_struct('path', path, 'node', node, 'done', true))
+  ELSE concat(array(named_struct('path', path, 'node', {bare}, 'done', true)), {children}) END"""
+
+
 def levels(pages: DataFrame) -> DataFrame:
-    """token, page, path (array of places), depth, node (map of variants) of all nodes of the `pages` (token, pages)."""
+    """token, page, path (array of places), depth, node (map of variants; a group's items are null) of all nodes of the
+    `pages` (token, pages).
+
+    STEP levels are taken apart within a task. Only groups below them go on to the recursive query, which shuffles what
+    each of its rounds gives, a group with all below it: a round takes STEP levels too.
+    """
     spark = pages.sparkSession
     maps = lambda v: F.transform(_as(v, _LIST), lambda n: _as(n, _MAP))
     tops = pages.select("token", F.posexplode("pages").alias("page", "p")).select("token", "page", F.posexplode(maps(F.col("p"))).alias("k", "node"))
-    tops = tops.select("token", "page", F.array("k").alias("path"), "node").where("node is not null")
-    # children of a group only: of a node whose first deciding key is `items`
-    others = ", ".join(f"'{k}'" for k in KINDS if k != "items")
+    tops = tops.where("node is not null").select("token", "page", F.array("k").alias("path"), "node", F.lit(False).alias("done"))
+    for _ in range(STEP):
+        tops = tops.selectExpr("token", "page", f"inline({_opened()})")
+    step = "t WHERE NOT done"
+    for _ in range(STEP):
+        step = f"(SELECT token, page, inline({_opened()}) FROM {step})"
     return spark.sql(
-        f"""WITH RECURSIVE t(token, page, path, node) MAX RECURSION LEVEL {LEVELS} AS (
-  SELECT token, page, path, node FROM {{tops}}
-  UNION ALL
-  SELECT t.token, t.page, concat(t.path, array(c.pos)), c.col
-  FROM t, LATERAL posexplode(transform(try_variant_get(try_element_at(t.node, 'items'), '$', '{_LIST}'), x -> try_variant_get(x, '$', '{_MAP}'))) AS c
-  WHERE c.col IS NOT NULL AND NOT arrays_overlap(map_keys(t.node), array({others}))
-) SELECT token, page, path, size(path) - 1 AS depth, node FROM t LIMIT ALL""",
+        f"""WITH RECURSIVE t(token, page, path, node, done) MAX RECURSION LEVEL {LEVELS} AS (
+  SELECT token, page, path, node, done FROM {{tops}} UNION ALL SELECT token, page, path, node, done FROM {step}
+) SELECT token, page, path, size(path) - 1 AS depth, node FROM t WHERE done LIMIT ALL""",
         tops=tops,
     )
 
